@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, fingerprints, line_dedup, mixing
+from flowlens.llm import chat, fingerprints, line_dedup, mixing, packing, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), tokenizer_path())
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     table = fingerprints.fingerprint_table(docs).select(
@@ -30,6 +42,26 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_copies(table, groups).drop("text_hash", "bytes_sha256")
 
 
+#: Documents of this remainder are kept from the fit, to test it.
+HELD_OUT = 2
+
+
+def held_out(doc_id) -> object:
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train_toxicity(docs.join(labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic"), "doc_id"))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model, "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = tokens.token_table(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return table.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.rotate(_table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["stop"].cast("string"))), ",")
@@ -42,7 +74,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_packing": op2_packing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_toxicity": op5_toxicity,
+    "op7_token_files": op7_token_files,
     "op9_chat": op9_chat,
     "op10_line_dedup": op10_line_dedup,
 }
