@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, fingerprints, line_dedup, mixing, packing, tokens, toxicity
+from flowlens.llm import chat, fingerprints, line_dedup, mixing, neighbours, packing, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.rotate(_table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["stop"].cast("string"))), ",")
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op7_token_files": op7_token_files,
+    "op8_neighbours": op8_neighbours,
     "op9_chat": op9_chat,
     "op10_line_dedup": op10_line_dedup,
 }
