@@ -1,10 +1,80 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: five operators of flowlens.llm over `documents`.
 
-from flowlens.llm import line_dedup, mixing
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept.  All but the last return the columns of documents.
+"""
 
-STAGES = []
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowlens.llm import line_dedup, mixing, ngram_join, packing, toxicity
+from flowlens.llm.common import shared_path
+
+TOKENIZER = "byte_bpe_50k.json"
+#: Documents that score this or more are rejected.
+TOXIC = 0.5
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars anew where the text has changed."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects toxic documents; the models are fitted on labelled ones among docs."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = toxicity.score_toxicity(docs.select(*COLUMNS), model)
+    return scored.where(F.col("toxicity_score") < TOXIC).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated three-line windows out of the texts; all documents stay."""
+    return _counted(line_dedup.dedup_lines(docs.select(*COLUMNS)))
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents, the one with the smallest doc_id stays.
+
+    Rows of that id that differ in text all stay, as do documents without words.
+    """
+    groups = ngram_join.similar_groups(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
+    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces with their token ids; documents taken twice are packed twice."""
+    return packing.packed_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", reject_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram jaccard join", keep_one_of_similar),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Models, links and best-fit plans are beyond SQL: tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = shared_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

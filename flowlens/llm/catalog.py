@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, fingerprints, line_dedup, mixing, neighbours, packing, substring_dedup, tokens, toxicity
+from flowlens.llm import chat, fingerprints, line_dedup, mixing, neighbours, ngram_join, packing, substring_dedup, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     table = fingerprints.fingerprint_table(docs).select(
@@ -84,6 +88,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import partitions, written
 from flowlens.llm.fm_index import FMIndex, range_minimum
+from flowlens.llm.packed import PACKED, heads, packed, spread, split_by, unpacked
 from flowlens.llm.words import Words, _powers_to, blocks, grams, mix
 
 ANCHOR_WORDS = 5
@@ -67,44 +68,15 @@ def _repeats(content: np.ndarray, doc: np.ndarray):
     """Marks records whose content a smaller document among these has, too."""
     order = np.lexsort((doc, content))
     c, d = content[order], doc[order]
-    head = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
+    head = heads(c)
     least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
     out = np.zeros(len(c), bool)
     out[order] = d > least
     return out
 
 
-def _split(key: np.ndarray, *arrays: np.ndarray):
-    """(key, arrays' parts) for each different key."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
-    for a, b in zip(cuts, np.append(cuts[1:], len(key)) if len(key) else [], strict=True):
-        yield int(key[a]), [x[order[a:b]] for x in arrays]
-
-
-def _packed(kind: int, rows: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
-    """Rows of (kind, bucket, columns as bytes)."""
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([kind] * len(rows), pa.int32()),
-            pa.array([k for k, _ in rows], pa.int64()),
-            pa.array([[a.tobytes() for a in arrays] for _, arrays in rows], pa.list_(pa.binary())),
-        ],
-        ["kind", "bucket", "data"],
-    )
-
-
-PACKED = "kind int, bucket long, data array<binary>"
-
-
-def _unpacked(table: pa.Table, *types) -> list[np.ndarray]:
-    rows = table.column("data").to_pylist()
-    return [np.concatenate([np.empty(0, t), *(np.frombuffer(r[k], t) for r in rows)]) for k, t in enumerate(types)]
-
-
 def _covers(uid: np.ndarray, start: np.ndarray, stop: np.ndarray, buckets: int, to: int = 1) -> list:
-    return _packed(to, list(_split(np.mod(uid, buckets), uid, start.astype(np.int32), stop.astype(np.int32))))
+    return packed(to, list(split_by(np.mod(uid, buckets), uid, start.astype(np.int32), stop.astype(np.int32))))
 
 
 def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None) -> tuple[DataFrame, int]:
@@ -126,8 +98,8 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
             go = ~again
             shard = (anchor[go] % np.uint64(n)).astype(np.int64)
             order = np.argsort(uid[go], kind="stable")
-            parts = _split(shard[order], *(x[go][order] for x in (anchor, uid, start.astype(np.int32), windows.astype(np.uint8))))
-            yield _packed(0, list(parts))
+            parts = split_by(shard[order], *(x[go][order] for x in (anchor, uid, start.astype(np.int32), windows.astype(np.uint8))))
+            yield packed(0, list(parts))
 
         for batch in batches:
             uid, doc = batch.column("uid").to_numpy(), batch.column("doc_id").to_numpy()
@@ -144,17 +116,17 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
 
     def shared(table: pa.Table) -> pa.Table:
         """Records whose anchor more than one document has, by bucket of the document."""
-        anchor, uid, start, windows = _unpacked(table, np.uint64, np.int64, np.int32, np.uint8)
+        anchor, uid, start, windows = unpacked(table, np.uint64, np.int64, np.int32, np.uint8)
         order = np.lexsort((uid, anchor))
         a, u = anchor[order], uid[order]
-        head = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
+        head = heads(a)
         group = np.cumsum(head) - 1
         last = np.append(np.flatnonzero(head)[1:], len(a)) - 1 if len(a) else np.empty(0, np.int64)
         many = u[np.flatnonzero(head)] != u[last]
         keep = order[many[group]] if len(a) else order
         words = int(windows[keep].astype(np.int64).sum() + len(keep) * (size - 1))
-        rows = list(_split(np.mod(uid[keep], n), anchor[keep], uid[keep], start[keep], windows[keep]))
-        out = pa.Table.from_batches([_packed(0, rows)])
+        rows = list(split_by(np.mod(uid[keep], n), anchor[keep], uid[keep], start[keep], windows[keep]))
+        out = pa.Table.from_batches([packed(0, rows)])
         return out.append_column("words", pa.array([words] + [0] * (len(rows) - 1) if rows else [], pa.int64()))
 
     by_anchor = pieces.where("kind = 0").groupBy("bucket")
@@ -162,7 +134,7 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
     shards = max(partitions(spark), -(-(candidates.agg(F.sum("words")).first()[0] or 0) // SHARD_WORDS))
 
     def deal(key, texts: pa.Table, found: pa.Table) -> pa.Table:
-        anchor, uid, start, windows = _unpacked(found, np.uint64, np.int64, np.int32, np.uint8)
+        anchor, uid, start, windows = unpacked(found, np.uint64, np.int64, np.int32, np.uint8)
         out = []
         if len(uid):
             u = texts.column("uid").to_numpy()
@@ -179,7 +151,7 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
                 row = np.searchsorted(here, uid[a:b])
                 first = words.first[row] + start[a:b]
                 count = windows[a:b] + size - 1
-                inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                inner = spread(count)
                 held.append((uid[a:b], ids[at + row], start[a:b], windows[a:b], anchor[a:b], _content(words, first, first + count), words.hashes[np.repeat(first, count) + inner], count))
             uid, doc, start, windows, anchor, content, hashes, count = (np.concatenate(c) for c in zip(*held, strict=True))
             again = _repeats(content, doc)
@@ -188,16 +160,16 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
             shard = np.where(again, -1, (mix(anchor) % np.uint64(shards)).astype(np.int64))
             at = np.cumsum(count) - count
             parts = []
-            for k, (i,) in _split(shard, np.arange(len(uid))):
+            for k, (i,) in split_by(shard, np.arange(len(uid))):
                 if k < 0:
                     continue
                 c = count[i]
-                inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                inner = spread(c)
                 vocabulary, code = np.unique(hashes[np.repeat(at[i], c) + inner], return_inverse=True)
                 code = code.astype(np.uint16 if len(vocabulary) < 65536 else np.uint32)
                 parts.append((k, [uid[i], doc[i], start[i].astype(np.int32), windows[i].astype(np.uint8), content[i], vocabulary, code]))
-            out.append(_packed(0, parts))
-        return pa.Table.from_batches(out or [_packed(0, [])])
+            out.append(packed(0, parts))
+        return pa.Table.from_batches(out or [packed(0, [])])
 
     texts = docs.withColumn("bucket", F.pmod("uid", F.lit(n))).groupBy("bucket")
     dealt = texts.cogroup(candidates.groupBy("bucket")).applyInArrow(deal, PACKED)
@@ -220,7 +192,7 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
         count = windows + size - 1
         at = np.cumsum(count) - count
         c = count[pick]
-        inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        inner = spread(c)
         ids = np.unique(word[np.repeat(at[pick], c) + inner], return_inverse=True)[1] + 1
         text = np.zeros(len(ids) + len(pick), np.int64)  # a separator after every segment
         place = np.cumsum(c + 1) - (c + 1)
@@ -229,14 +201,14 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
         owner = np.repeat(np.arange(len(pick)), c + 1)
         least_by_suffix = least[owner][index.order]
         w = windows[pick]
-        inner = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        inner = spread(w)
         pattern = np.repeat(place, w) + inner
         found = np.empty(len(pattern), np.int64)
         for a in range(0, len(pattern), 200_000):
             low, high = index.ranges(text, pattern[a : a + 200_000], size)
             found[a : a + 200_000] = range_minimum(least_by_suffix, low, high)
         first = np.cumsum(w) - w
-        inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        inner = spread(windows)
         record = np.repeat(np.arange(len(uid)), windows)
         hit = found[first[same][record] + inner] < doc[record]
         record, inner = record[hit], inner[hit]
@@ -286,7 +258,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13) -> DataFrame:
     spans, n = repeated_spans(rows.where("doc_id is not null"), size)
 
     def take_out(key, texts: pa.Table, found: pa.Table) -> pa.Table:
-        uid, start, stop = _unpacked(found, np.int64, np.int32, np.int32)
+        uid, start, stop = unpacked(found, np.int64, np.int32, np.int32)
         order = np.argsort(uid, kind="stable")
         uid, start, stop = uid[order], start[order].astype(np.int64), stop[order].astype(np.int64)
         u = texts.column("uid").to_numpy()
@@ -295,7 +267,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13) -> DataFrame:
             here = u[at : at + len(words.first) - 1]
             a, b = np.searchsorted(uid, here), np.searchsorted(uid, here, "right")
             row = np.repeat(np.arange(len(here)), b - a)
-            span = np.repeat(a, b - a) + np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+            span = np.repeat(a, b - a) + spread(b - a)
             delta = np.zeros(len(words) + 1, np.int64)
             np.add.at(delta, words.first[row] + start[span], 1)
             np.add.at(delta, words.first[row] + stop[span], -1)
