@@ -1,4 +1,6 @@
 """All registered queries of the packet and flow engine."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from flowlens.plans import queries
+
+QUERIES = dict(queries.QUERIES)
+ORACLE_SQL = dict(queries.ORACLE_SQL)
