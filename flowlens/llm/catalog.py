@@ -37,13 +37,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    table = fingerprints.fingerprint_table(docs).select(
-        "doc_id", "text_hash", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bytes_sha256",
+    order = fingerprints.followers(docs)
+    table = fingerprints.fingerprint_table(docs, order).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bytes_sha256"
     )
-    table = fingerprints.written(table, "prints")
-    groups = fingerprints.duplicate_groups(docs, table.select("doc_id", "text_hash", "fingerprint"))
-    return fingerprints.with_copies(table, groups).drop("text_hash", "bytes_sha256")
+    return fingerprints.with_copies(table, fingerprints.duplicate_groups(docs, order)).drop("bytes_sha256")
 
 
 #: Documents of this remainder are kept from the fit, to test it.

@@ -37,32 +37,19 @@ def fingerprint(text: Column) -> Column:
     return digest(canonical(text))
 
 
-def duplicate_groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """fingerprint, first_doc_id, copies, parts, bytes_sha256 of all groups of two or more documents.
-
-    prints: doc_id, text_hash, fingerprint of docs.  Only texts in buckets of
-    several rows are looked at again.  Grouping by fingerprint and canonical
-    text compares the bytes; copies are summed before the shuffle, so a group
-    of any size is one row per task.  parts counts the different texts in the
-    bucket: more than 1 is a collision of digests, and those texts stay apart.
-    """
-    multi = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    members = prints.join(multi, "fingerprint").dropDuplicates(["doc_id", "text_hash"])
-    members = members.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "fingerprint")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    canon = texts.join(members, F.expr("doc_id <=> _id and text_hash = _hash")).withColumn("canon", canonical(F.col("text")))
-    exact = canon.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies"))
-    exact = exact.select("fingerprint", "first_doc_id", "copies", F.sha2(F.col("canon"), 256).alias("bytes_sha256"))
-    exact = written(exact, "groups")
-    return exact.withColumn("parts", F.count("*").over(Window.partitionBy("fingerprint"))).where("copies > 1 or parts > 1")
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_hash: the one form in which texts are shuffled, once for all uses."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.withColumn("text_hash", F.xxhash64("text"))
 
 
 def followers(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, prev_id, prev_hash, prev_chars: each document's predecessor
-    by ascending (doc_id, hash of the text), null ids first; the first follows the last."""
-    keys = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("n_chars"))
+    """doc_id, text_hash, times, fingerprint, prev_id, prev_hash, prev_chars: documents with their
+    predecessors by ascending (doc_id, hash of the text), null ids first; the first follows the last."""
     order = ["doc_id", "text_hash"]
-    ranged = in_order(keys.dropDuplicates(order), order, "order")
+    keys = _texts(docs).select(*order, F.length("text").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint"))
+    keys = keys.groupBy(*order).agg(F.count("*").alias("times"), F.first("n_chars").alias("n_chars"), F.first("fingerprint").alias("fingerprint"))
+    ranged = in_order(keys, order, "order")
     this = F.struct("doc_id", "text_hash", "n_chars")
     ends = ranged.groupBy("_range").agg(F.max(this).alias("last"))
     around = Window.orderBy("_range")  # one row per range
@@ -71,37 +58,51 @@ def followers(docs: DataFrame) -> DataFrame:
     own = Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     prev = ranged.withColumn("_prev", F.lag(this).over(own)).join(ends, "_range")
     prev = prev.withColumn("_prev", F.coalesce("_prev", "_before"))
-    return prev.select(
-        "doc_id", "text_hash", F.col("_prev.doc_id").alias("prev_id"), F.col("_prev.text_hash").alias("prev_hash"), F.col("_prev.n_chars").alias("prev_chars")
-    )
+    names = {"doc_id": "prev_id", "text_hash": "prev_hash", "n_chars": "prev_chars"}
+    return written(prev.select(*order, "times", "fingerprint", *(F.col(f"_prev.{c}").alias(n) for c, n in names.items())), "followers")
 
 
-def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, text, edited, fingerprint, edited_fingerprint, near_edited, near_next.
+def duplicate_groups(docs: DataFrame, order: DataFrame) -> DataFrame:
+    """fingerprint, first_doc_id, copies, parts, bytes_sha256 of all groups of two or more documents.
+
+    order: followers(docs).  Only texts in buckets of
+    several rows are looked at again.  Grouping by fingerprint and canonical
+    text compares the bytes; copies are summed before the shuffle, so a group
+    of any size is one row per task.  parts counts the different texts in the
+    bucket: more than 1 is a collision of digests, and those texts stay apart.
+    """
+    multi = order.groupBy("fingerprint").agg(F.sum("times").alias("n")).where("n > 1").select("fingerprint")
+    members = order.join(multi, "fingerprint").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "fingerprint")
+    texts = _texts(docs).join(members, F.expr("doc_id <=> _id and text_hash = _hash")).withColumn("canon", canonical(F.col("text")))
+    exact = texts.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies"))
+    exact = exact.select("fingerprint", "first_doc_id", "copies", F.sha2("canon", 256).alias("bytes_sha256"))
+    return exact.withColumn("parts", F.count("*").over(Window.partitionBy("fingerprint")))
+
+
+def fingerprint_table(docs: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_chars, text, edited, fingerprint, edited_fingerprint, near_edited, near_next, bytes_sha256.
 
     edited is the text with its last floor(n_chars / 4) code points replaced by
     the first as many, or all, of the next document.  An exact digest likens
-    texts with 1.0 or 0.0.  Null texts count as empty; empty texts share one fingerprint.  Rows
+    texts with 1.0 or 0.0.  order: followers(docs), if it is there already.
+    Null texts count as empty; empty texts share one fingerprint.  Rows
     that repeat an id with the same text are one document in this order, and each
     gets its result.  A single document is its own next one; an empty table
     gives an empty table.  Further columns of docs are not looked at.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
-    prevs = written(followers(texts), "followers").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    heads = hashed.join(prevs, F.expr("doc_id <=> _id and text_hash = _hash")).select(
-        "prev_id", "prev_hash",
-        F.left("text", F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"),
-        fingerprint(F.col("text")).alias("next_fingerprint"),
+    order = followers(docs) if order is None else order
+    nexts = order.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "fingerprint": "next_fingerprint"}).drop("times")
+    heads = _texts(docs).join(nexts, F.expr("doc_id <=> _id and text_hash = _hash")).select(
+        "prev_id", "prev_hash", F.left("text", F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), "next_fingerprint"
     )
     heads = heads.dropDuplicates(["prev_id", "prev_hash"])  # a row, though the follower be repeated
-    both = hashed.join(heads, F.expr("doc_id <=> prev_id and text_hash = prev_hash")).drop("prev_id", "prev_hash")
+    both = _texts(docs).join(heads, F.expr("doc_id <=> prev_id and text_hash = prev_hash")).drop("prev_id", "prev_hash")
     n = F.length("text")
     both = both.withColumn("n_chars", n.cast("long"))
     both = both.withColumn("edited", F.concat(F.left("text", n - F.floor(n / 4).cast("int")), F.col("head")))
     both = both.withColumn("_canon", canonical(F.col("text"))).withColumn("_canon_edited", canonical(F.col("edited")))
     return both.select(
-        "doc_id", "text_hash", "n_chars", "text", "edited", "next_fingerprint",
+        "doc_id", "n_chars", "text", "edited", "next_fingerprint",
         digest(F.col("_canon")).alias("fingerprint"), digest(F.col("_canon_edited")).alias("edited_fingerprint"),
         (F.col("_canon") == F.col("_canon_edited")).cast("double").alias("near_edited"),
         F.sha2("_canon", 256).alias("bytes_sha256"),
