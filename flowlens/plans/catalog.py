@@ -1,6 +1,6 @@
 """All registered queries of the packet and flow engine."""
 
-from flowlens.plans import queries
+from flowlens.plans import queries, training
 
-QUERIES = dict(queries.QUERIES)
-ORACLE_SQL = dict(queries.ORACLE_SQL)
+QUERIES = queries.QUERIES | training.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | training.ORACLE_SQL

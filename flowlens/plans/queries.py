@@ -290,7 +290,7 @@ add("protocol_summary_text", on_flows(dashboard.summary_text),
   when 'smb' then 'Observed ' || case when flow_smb_version='' then 'SMB' else flow_smb_version end || ' file-sharing traffic' else 'Protocol evidence observed.' end) as summary from flow""", "flow")
 add("export_filename", on_packets(lambda p: p.select("frame_no", dashboard.export_name(F.timestamp_micros("ts_us"), "records", "csv").alias("name"))), "select frame_no, strftime(make_timestamp(ts_us), '%Y%m%d_%H%M') || '_records.csv' as name from pkt", "pkt")
 add("flow_summary_lines", on_flows(dashboard.flow_lines),
-    "select first_frame_no, flow_src_ip || ':' || cast(flow_src_port as varchar) || ' -> ' || flow_dst_ip || ':' || cast(flow_dst_port as varchar) || ' proto=' || cast(flow_proto as varchar) || ' pkts=' || cast(flow_pkts as varchar) || ' bytes=' || cast(flow_bytes as varchar) || printf(' dur=%.6fs iat_min=%.6fs iat_avg=%.6fs iat_max=%.6fs', flow_duration, flow_iat_min, flow_iat_avg, flow_iat_max) as line from flow", "flow")
+    "select first_frame_no, flow_src_ip || ':' || cast(flow_src_port as varchar) || ' -> ' || flow_dst_ip || ':' || cast(flow_dst_port as varchar) || ' proto=' || cast(flow_proto as varchar) || ' pkts=' || cast(flow_pkts as varchar) || ' bytes=' || cast(flow_bytes as varchar) || printf(' dur=%.6fs iat_min=%.6fs iat_avg=', flow_duration, flow_iat_min) || cast(m//1000000 as varchar) || '.' || lpad(cast(m%1000000 as varchar), 6, '0') || printf('s iat_max=%.6fs', flow_iat_max) as line from (select *, case when flow_pkts>1 then (2*dur_us + flow_pkts-1)//(2*(flow_pkts-1)) else 0 end as m from flow) fm", "flow")
 _OK = "case when {0}=1 then 'OK' else 'BAD' end"
 add("frame_log_lines", on_packets(lambda p: dashboard.frame_lines(p.where("evidence is null"))),
     f"""select frame_no, '=== Frame ' || cast(frame_no as varchar) || ' ===' || chr(10) || 'L2: Ethernet src=' || eth_src || ' dst=' || eth_dst || ' type=' || eth_type || chr(10)
