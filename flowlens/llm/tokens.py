@@ -1,4 +1,4 @@
-"""Token ids of many texts inside tasks, and the bit-plane file format.
+"""Token ids of many texts inside tasks, and the byte-plane file format.
 
 Distinct pieces of text are encoded once and remembered: pieces end before a
 single blank between two other characters, where the vocabulary's pattern never
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -22,22 +23,40 @@ from pyspark.sql.window import Window
 
 from flowlens.llm.common import partitions, shared_path, written
 
-#: Remembered pieces; beyond that, the memory starts anew.
-REMEMBERED = 400_000
-_ODD = re.compile(r"\s | \s")
+#: Remembered pieces and words; beyond that, the memory starts anew.
+REMEMBERED = 700_000
+_ODD = re.compile(r"[^\S \n]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones by themselves, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by a tokenizers file."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, by a byte-level tokenizers file.
+
+    Of a new piece, a word, the mark behind it and line feeds are tokens apart
+    in any such vocabulary, so the words go to the file's model one by one, once
+    each; whatever is not letters goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.known: dict[str, bytes] = {}  # pieces at a text's start
+        self.inner: dict[str, bytes] = {}  # pieces behind a blank, without it
+        self.words: dict[str, bytes] = {}
+        self.marks = {m: self._whole([m])[0] for m in (*_MARKS, "\n")}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -45,22 +64,63 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of letters with at most one blank before; None for anything else."""
+        ids = self.words.get(word)
+        if ids is None:
+            blank = word[:1] == " "
+            bare = word[1:] if blank else word
+            if not bare.isalpha():
+                return None
+            spelt = bare if bare.isascii() else bare.encode().decode("latin-1").translate(self.letters)
+            found = self.model.tokenize(self.letters[32] + spelt if blank else spelt)
+            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            self.words[word] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes | None:
+        lines = piece.split("\n")
+        out = []
+        for line in lines:
+            if line[-1:] in self.marks and line:
+                word, mark = self._word(line[:-1]), self.marks[line[-1]]
+            else:
+                word, mark = self._word(line), b""
+            if word is None:
+                return None
+            out.append(word + mark)
+        return self.marks["\n"].join(out)
+
+    def _learn(self, pieces: list[str], known: dict[str, bytes], blank: str) -> None:
+        new, rest = [p for p in dict.fromkeys(pieces) if p not in known], []
+        for p in new:
+            ids = self._piece(blank + p)
+            if ids is None:
+                rest.append(p)
+            else:
+                known[p] = ids
+        known.update(zip(rest, self._whole([blank + p for p in rest]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = []
+        for known in (self.known, self.inner, self.words):
+            if len(known) > REMEMBERED:
+                known.clear()
+        out, inner = [], self.inner
         for text in texts:
-            parts = _SAFE.split(text) if _ODD.search(text) else text.split(" ")
-            if len(parts) > 1:
-                parts[1:] = [" " + p for p in parts[1:]]
-            cut.append(parts)
-        known = self.known
-        new = list({p for parts in cut for p in parts if p not in known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+            odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text)
+            parts = _SAFE.split(text) if odd else text.split(" ")
+            if parts[0] not in self.known:
+                self._learn(parts[:1], self.known, "")
+            ids = list(map(inner.get, parts))
+            ids[0] = self.known[parts[0]]
+            if None in ids:
+                self._learn([p for p, known in zip(parts, ids, strict=True) if known is None], inner, " ")
+                ids[1:] = map(inner.__getitem__, parts[1:])
+            out.append(b"".join(ids))
+        return out
 
 
 def _texts(batch: pa.RecordBatch, some: int = 64) -> Iterator[tuple[int, list[str]]]:
@@ -72,37 +132,36 @@ def _texts(batch: pa.RecordBatch, some: int = 64) -> Iterator[tuple[int, list[st
 
 # -- the file format -------------------------------------------------------
 
-MAGIC = b"BITPLANE"
+MAGIC = b"BYTEPLNS"
 #: Ids of a block.
 BLOCK_IDS = 1 << 16
-PLANES = 32
+#: Byte planes of 32-bit ids.
+PLANES = 4
 
 
-def to_planes(ids: np.ndarray, level: int = 3) -> tuple[bytes, list[int]]:
-    """A block's 32 bit planes, each compressed; and their lengths.  Empty planes have length 0."""
-    bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    planes = np.packbits(np.ascontiguousarray(bits.T), axis=1)
+def to_planes(ids: np.ndarray, level: int = 1) -> tuple[bytes, list[int]]:
+    """A block's 4 byte planes, each compressed; and their lengths.  Empty planes have length 0."""
+    planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, PLANES).T)
     pack = zstandard.ZstdCompressor(level=level)
-    out = [pack.compress(p.tobytes()) if p.any() else b"" for p in planes]
+    out = [pack.compress(p) if p.any() else b"" for p in planes]
     return b"".join(out), [len(p) for p in out]
 
 
 def from_planes(data: bytes, lengths: list[int], n: int) -> np.ndarray:
     unpack, at = zstandard.ZstdDecompressor(), 0
-    planes = np.zeros((PLANES, (n + 7) // 8), np.uint8)
+    planes = np.zeros((PLANES, n), np.uint8)
     for k, size in enumerate(lengths):
         if size:
             planes[k] = np.frombuffer(unpack.decompress(data[at : at + size]), np.uint8)
             at += size
-    bits = np.unpackbits(planes, axis=1, count=n)
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").reshape(-1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
 class PlaneWriter:
     """Magic, blocks, document table, chunk index, place of the two tables.
 
     The chunk index has a row of unsigned 64-bit numbers per block: place, ids,
-    lengths of its 32 planes.  The document table has ids, null marks and
+    lengths of its 4 planes.  The document table has ids, null marks and
     numbers of tokens.
     """
 
@@ -232,7 +291,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """doc_id, start, ids of every document, written to bit-plane files and read back.
+    """doc_id, start, ids of every document, written to byte-plane files and read back.
 
     Null texts are empty and have the end id only.  Rows that repeat an id
     follow each other.  An empty table writes no file and gives no row.  Texts
