@@ -68,7 +68,7 @@ def sorted_suffixes(text: np.ndarray, least: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Burrows-Wheeler transform of a text of ids from 1 on, 0 being a separator.
+    """Burrows-Wheeler transform of a text of ids from 1 on, 0 being a separator, which ends it.
 
     Suffixes are sorted by their first symbols only as far as patterns reach,
     which leaves ranges of patterns that long, or shorter, as they are.
