@@ -111,12 +111,17 @@ def export_name(ts, base: str, ext: str):
     return F.concat(F.date_format(ts, "yyyyMMdd_HHmm"), F.lit(f"_{base}.{ext}"))
 
 
+def _six(x):
+    """A number with six decimals, halves rounded up."""
+    return F.round(x.cast("decimal(30,12)"), 6).cast("decimal(30,6)").cast("string")
+
+
 def flow_lines(flows: DataFrame) -> DataFrame:
     """The capture log's line for each flow."""
+    seconds = [_six(F.col(f"flow_{n}")) for n in ("duration", "iat_min", "iat_avg", "iat_max")]
     line = F.format_string(
-        "%s:%d -> %s:%d proto=%d pkts=%d bytes=%d dur=%.6fs iat_min=%.6fs iat_avg=%.6fs iat_max=%.6fs",
-        "flow_src_ip", "flow_src_port", "flow_dst_ip", "flow_dst_port", "flow_proto", "flow_pkts", "flow_bytes",
-        "flow_duration", "flow_iat_min", "flow_iat_avg", "flow_iat_max",
+        "%s:%d -> %s:%d proto=%d pkts=%d bytes=%d dur=%ss iat_min=%ss iat_avg=%ss iat_max=%ss",
+        "flow_src_ip", "flow_src_port", "flow_dst_ip", "flow_dst_port", "flow_proto", "flow_pkts", "flow_bytes", *seconds,
     )
     return flows.select("first_frame_no", line.alias("line"))
 

@@ -64,9 +64,16 @@ add("scores_all", on_scores(lambda s: s.select("frame_no", *SCORE_COLS)), f"sele
 add("frame_no", on_packets(lambda p: p.agg(F.min("frame_no").alias("lo"), F.max("frame_no").alias("hi"), F.count_distinct("frame_no").alias("n"))), "select min(frame_no) as lo, max(frame_no) as hi, count(distinct frame_no) as n from pkt", "pkt")
 
 # -- header functions
-WORD = c("k") * 7919 % 65536
+def word():
+    return c("k") * 7919 % 65536
+
+
+def tos():
+    return c("k") % 256
+
+
 FIELDS = "(k*7919)%65536"
-add("be16", on_packets(lambda p: p.select("frame_no", header.be16(F.unhex(F.lpad(F.hex(WORD), 8, "0")), 2).alias("value"))), f"select frame_no, {FIELDS} as value from pkt", "pkt")
+add("be16", on_packets(lambda p: p.select("frame_no", header.be16(F.unhex(F.lpad(F.hex(word()), 8, "0")), 2).alias("value"))), f"select frame_no, {FIELDS} as value from pkt", "pkt")
 
 
 def _header_bytes() -> F.Column:
@@ -109,11 +116,10 @@ def _l4_checksum(p: DataFrame) -> DataFrame:
 
 add("l4_checksum", on_packets(_l4_checksum), "select frame_no, case when k%11=0 then 0 else 1 end as ok from pkt", "pkt")
 add("tcp_options", on_packets(lambda p: p.select("frame_no", F.unhex(F.concat(lit("02040"), F.lpad(F.hex(c("k") % 4096), 3, "0"), lit("0103030700"))).alias("o")).withColumn("o", payload.tcp_options("o")).select("frame_no", c("o")["MSS"].alias("mss"), c("o")["WScale"].alias("wscale"))), "select frame_no, cast(k%4096 as bigint) as mss, cast(7 as bigint) as wscale from pkt", "pkt")
-TOS = c("k") % 256
-add("tos_split", on_packets(lambda p: p.select("frame_no", header.dscp(TOS).alias("dscp"), header.ecn(TOS).alias("ecn"))), "select frame_no, (k%256)//4 as dscp, k%4 as ecn from pkt", "pkt")
-add("ip_fragment_fields", on_packets(lambda p: p.select("frame_no", *[v.alias(n) for n, v in header.fragment_fields(WORD).items()])), f"select frame_no, ({FIELDS}//16384)%2 as ip_flags_df, ({FIELDS}//8192)%2 as ip_flags_mf, {FIELDS}%8192 as ip_frag_off from pkt", "pkt")
-add("header_lengths", on_packets(lambda p: p.select("frame_no", header.ihl_bytes(TOS).alias("ip"), header.tcp_header_bytes(TOS).alias("tcp"))), "select frame_no, (k%16)*4 as ip, ((k%256)//16)*4 as tcp from pkt", "pkt")
-add("ethertype_hex", on_packets(lambda p: p.select("frame_no", header.ethertype_hex(WORD).alias("eth_type"))), f"select frame_no, '0x' || lpad(lower(hex({FIELDS})), 4, '0') as eth_type from pkt", "pkt")
+add("tos_split", on_packets(lambda p: p.select("frame_no", header.dscp(tos()).alias("dscp"), header.ecn(tos()).alias("ecn"))), "select frame_no, (k%256)//4 as dscp, k%4 as ecn from pkt", "pkt")
+add("ip_fragment_fields", on_packets(lambda p: p.select("frame_no", *[v.alias(n) for n, v in header.fragment_fields(word()).items()])), f"select frame_no, ({FIELDS}//16384)%2 as ip_flags_df, ({FIELDS}//8192)%2 as ip_flags_mf, {FIELDS}%8192 as ip_frag_off from pkt", "pkt")
+add("header_lengths", on_packets(lambda p: p.select("frame_no", header.ihl_bytes(tos()).alias("ip"), header.tcp_header_bytes(tos()).alias("tcp"))), "select frame_no, (k%16)*4 as ip, ((k%256)//16)*4 as tcp from pkt", "pkt")
+add("ethertype_hex", on_packets(lambda p: p.select("frame_no", header.ethertype_hex(word()).alias("eth_type"))), f"select frame_no, '0x' || lpad(lower(hex({FIELDS})), 4, '0') as eth_type from pkt", "pkt")
 add("vlan_fields", on_packets(lambda p: p.where("vlan_id is not null").select("frame_no", "vlan_id", "vlan_prio")), "select frame_no, vlan_id, vlan_prio from pkt where vlan_id is not null", "pkt")
 FLAGS = {"SYN": "S", "ACK": "A", "FIN": "F", "RST": "R", "PSH": "P", "URG": "U"}
 add("expand_tcp_flags", on_packets(lambda p: p.select("frame_no", *[v.alias(n) for n, v in header.flag_letters(c("tcp_flags")).items()])), "select frame_no, " + names(f"case when tcp_flags like '%{x}%' then 1 else 0 end as tcp_flag_{n}" for n, x in FLAGS.items()) + " from pkt", "pkt")
@@ -133,18 +139,18 @@ add("tls_sni", on_packets(lambda p: p.where(c("evidence").isin("tls", "tls0")).s
 add("packet_tuple", on_packets(lambda p: p.select("frame_no", "ip_src", "ip_dst", "l4_proto", "sport", "dport")), "select frame_no, ip_src, ip_dst, l4_proto, sport, dport from pkt", "pkt")
 add("canonical_flow_key", on_packets(lambda p: with_flow_key(p).select("frame_no", *KEY)), f"select frame_no, {names(KEY)} from keyed", "facts")
 add("packet_direction", on_packets(lambda p: with_flow_key(p).select("frame_no", F.when(c("fwd"), "fwd").otherwise("rev").alias("direction"))), "select frame_no, case when fwd=1 then 'fwd' else 'rev' end as direction from keyed", "facts")
-_IP = F.concat_ws(".", *[(c("k") * m % n).cast("string") for m, n in ((3, 240), (7, 256), (11, 256), (13, 256))])
+_IP = lambda: F.concat_ws(".", *[(c("k") * m % n).cast("string") for m, n in ((3, 240), (7, 256), (11, 256), (13, 256))])
 _IPS = "case when a in (0,10,127) or (a=169 and b=254) or (a=172 and b between 16 and 31) or (a=192 and b=168) or (a=192 and b=0 and cc=0 and not dd in (9,10)) or (a=192 and b=0 and cc=2) or (a=198 and b in (18,19)) or (a=198 and b=51 and cc=100) or (a=203 and b=0 and cc=113) or a>=224 then 0 else 1 end"
-add("public_ip_filter", on_packets(lambda p: p.select("frame_no", header.public_ip(_IP).cast("int").alias("public"))), f"select frame_no, {_IPS} as public from (select frame_no, k*3%240 as a, k*7%256 as b, k*11%256 as cc, k*13%256 as dd from pkt) x", "pkt")
-_LABEL = F.element_at(F.array(*map(lit, ["Normal", " malicious", "Tainted ", "good", "bad", "weird", "anomaly"])), c("k") % 7 + 1)
-add("normalize_label", on_packets(lambda p: p.select("frame_no", text.label_name(_LABEL).alias("by_name"), text.label_name(F.when(c("k") % 5 != 0, c("k") % 3), numeric=True).alias("by_number"))),
+add("public_ip_filter", on_packets(lambda p: p.select("frame_no", header.public_ip(_IP()).cast("int").alias("public"))), f"select frame_no, {_IPS} as public from (select frame_no, k*3%240 as a, k*7%256 as b, k*11%256 as cc, k*13%256 as dd from pkt) x", "pkt")
+_LABEL = lambda: F.element_at(F.array(*map(lit, ["Normal", " malicious", "Tainted ", "good", "bad", "weird", "anomaly"])), c("k") % 7 + 1)
+add("normalize_label", on_packets(lambda p: p.select("frame_no", text.label_name(_LABEL()).alias("by_name"), text.label_name(F.when(c("k") % 5 != 0, c("k") % 3), numeric=True).alias("by_number"))),
     "select frame_no, case k%7 when 0 then 'benign' when 1 then 'attack' when 2 then 'tampered' when 3 then 'benign' when 4 then 'attack' when 5 then 'weird' else 'attack' end as by_name, case when k%5=0 then 'nan' when k%3=1 then 'attack' else 'benign' end as by_number from pkt", "pkt")
 add("label_from_score", on_packets(lambda p: p.select("frame_no", text.label_from_score(F.when(c("k") % 2 == 0, c("k") % 101), F.when(c("k") % 3 == 0, c("k") % 89)).alias("label"))),
     "select frame_no, case when s>=70 then 'attack' when s>=40 then 'tampered' when s is not null then 'benign' end as label from (select frame_no, coalesce(case when k%2=0 then k%101 end, case when k%3=0 then k%89 end) as s from pkt) x", "pkt")
 add("confidence_policy", on_packets(lambda p: p.select("frame_no", text.confidence_label((c("k") % 101) / lit(100.0)).alias("label"))), "select frame_no, case when (k%101)/100.0>=0.90 then 'attack' when (k%101)/100.0>=0.80 then 'tampered' else 'benign' end as label from pkt", "pkt")
 add("score_display", on_scores(lambda s: s.select("frame_no", "ip_fraud_score_display")), "select frame_no, ip_fraud_score_display from scores", "scores")
-_TEXT = F.when(c("k") % 3 == 0, lit("x7")).when(c("k") % 3 == 1, F.concat(c("k").cast("string"), lit(".5")))
-add("numeric_coerce", on_packets(lambda p: p.select("frame_no", text.number(_TEXT, -1).alias("value"))), "select frame_no, case when k%3=1 then k+0.5 else -1.0 end as value from pkt", "pkt")
+_TEXT = lambda: F.when(c("k") % 3 == 0, lit("x7")).when(c("k") % 3 == 1, F.concat(c("k").cast("string"), lit(".5")))
+add("numeric_coerce", on_packets(lambda p: p.select("frame_no", text.number(_TEXT(), -1).alias("value"))), "select frame_no, case when k%3=1 then k+0.5 else -1.0 end as value from pkt", "pkt")
 add("string_normalize", on_packets(lambda p: p.select("frame_no", text.plain(F.when(c("k") % 4 != 0, F.concat(lit(" \tHost"), c("k").cast("string"), lit("\n ")))).alias("value"))), "select frame_no, case when k%4<>0 then 'host' || cast(k as varchar) else '' end as value from pkt", "pkt")
 add("project_existing", on_packets(lambda p: text.existing(p, ["frame_no", "no_such_column", "ttl_hlim"])), "select frame_no, ttl_hlim from pkt", "pkt")
 add("align_features", on_packets(lambda p: text.aligned(p, ["flow_pkts", "dport"]).select("frame_no", "flow_pkts", "dport")), "select frame_no, 0 as flow_pkts, dport from pkt", "pkt")
@@ -290,7 +296,7 @@ add("protocol_summary_text", on_flows(dashboard.summary_text),
   when 'smb' then 'Observed ' || case when flow_smb_version='' then 'SMB' else flow_smb_version end || ' file-sharing traffic' else 'Protocol evidence observed.' end) as summary from flow""", "flow")
 add("export_filename", on_packets(lambda p: p.select("frame_no", dashboard.export_name(F.timestamp_micros("ts_us"), "records", "csv").alias("name"))), "select frame_no, strftime(make_timestamp(ts_us), '%Y%m%d_%H%M') || '_records.csv' as name from pkt", "pkt")
 add("flow_summary_lines", on_flows(dashboard.flow_lines),
-    "select first_frame_no, flow_src_ip || ':' || cast(flow_src_port as varchar) || ' -> ' || flow_dst_ip || ':' || cast(flow_dst_port as varchar) || ' proto=' || cast(flow_proto as varchar) || ' pkts=' || cast(flow_pkts as varchar) || ' bytes=' || cast(flow_bytes as varchar) || printf(' dur=%.6fs iat_min=%.6fs iat_avg=', flow_duration, flow_iat_min) || cast(m//1000000 as varchar) || '.' || lpad(cast(m%1000000 as varchar), 6, '0') || printf('s iat_max=%.6fs', flow_iat_max) as line from (select *, case when flow_pkts>1 then (2*dur_us + flow_pkts-1)//(2*(flow_pkts-1)) else 0 end as m from flow) fm", "flow")
+    "select first_frame_no, flow_src_ip || ':' || cast(flow_src_port as varchar) || ' -> ' || flow_dst_ip || ':' || cast(flow_dst_port as varchar) || ' proto=' || cast(flow_proto as varchar) || ' pkts=' || cast(flow_pkts as varchar) || ' bytes=' || cast(flow_bytes as varchar) || ' dur=' || cast(cast(round(cast(flow_duration as decimal(30,12)),6) as decimal(30,6)) as varchar) || 's iat_min=' || cast(cast(round(cast(flow_iat_min as decimal(30,12)),6) as decimal(30,6)) as varchar) || 's iat_avg=' || cast(cast(round(cast(flow_iat_avg as decimal(30,12)),6) as decimal(30,6)) as varchar) || 's iat_max=' || cast(cast(round(cast(flow_iat_max as decimal(30,12)),6) as decimal(30,6)) as varchar) || 's' as line from flow", "flow")
 _OK = "case when {0}=1 then 'OK' else 'BAD' end"
 add("frame_log_lines", on_packets(lambda p: dashboard.frame_lines(p.where("evidence is null"))),
     f"""select frame_no, '=== Frame ' || cast(frame_no as varchar) || ' ===' || chr(10) || 'L2: Ethernet src=' || eth_src || ' dst=' || eth_dst || ' type=' || eth_type || chr(10)
