@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions import header, payload, text
+from flowlens.functions.capture_filter import default_filter
 from flowlens.operators import dashboard, scores as scoring
 from flowlens.operators.features import features, with_address_counts, with_times
 from flowlens.operators.flowkey import KEY, with_flow_key
@@ -54,7 +55,7 @@ RAW = [x for x in FEATURE_COLS if not x.startswith(("flow_", "src_", "t_rel", "t
 add("scan_features", on_packets(lambda p: p.select(*RAW)), f"select {names(RAW)} from pkt", "pkt")
 add(
     "bpf_default_filter",
-    on_packets(lambda p: p.where((c("ip_version") == 4) & (c("l4_proto") == 6) & (c("sport").isin(22, 80, 443, 445) | c("dport").isin(22, 80, 443, 445))).select("frame_no", "sport", "dport")),
+    on_packets(lambda p: p.where(default_filter()).select("frame_no", "sport", "dport")),
     "select frame_no, sport, dport from pkt where ip_version=4 and l4_proto=6 and (sport in (22,80,443,445) or dport in (22,80,443,445))", "pkt",
 )
 add("features_table", on_features(lambda f: f), f"select {names(FEATURE_COLS)} from features", "features")

@@ -161,3 +161,14 @@ def test_csv_round_trip(spark, tmp_path):
     assert back.agg(F.sum("flow_bytes")).first() == flow.agg(F.sum("flow_bytes")).first()
     assert dashboard.histogram(back, "flow_http_method").first()["value"] == "unknown"
     assert tables.read_training(spark, str(tmp_path / "flows")).where("file is not null").count() == flow.count()
+
+
+def test_engine_and_training(spark):
+    from flowlens.engine import Engine
+    from flowlens.plans.training import corpus
+
+    engine = Engine(packets(spark, SMALL).limit(200))
+    model = Engine.train("dt", corpus(spark, SMALL), maxDepth=3)
+    got = engine.scores(model)
+    assert got.count() == 200 and {r.label for r in got.select("label").distinct().collect()} <= {"attack", "tampered", "benign"}
+    assert engine.dashboard.top_flows(engine.flows()).count() == 10
