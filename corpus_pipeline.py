@@ -28,8 +28,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects toxic documents; the models are fitted on labelled ones among docs."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = toxicity.train_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score_toxicity(docs.select(*COLUMNS), model)
     return scored.where(F.col("toxicity_score") < TOXIC).select(*COLUMNS)
 

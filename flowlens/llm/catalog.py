@@ -54,7 +54,7 @@ def held_out(doc_id) -> object:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = toxicity.train_toxicity(docs.join(labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic"), "doc_id"))
+    model = toxicity.train_toxicity(docs, labels.where(~held_out(F.col("doc_id"))))
     scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model, "score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -7,7 +7,7 @@ share a shingle among the first n/4 + 1 of the longer and n/7 + 1 of the shorter
 sets meet by these, and length and position bounds drop pairs that cannot reach it.
 
 Links are only wanted for the groups they make.  In sets that share a shingle,
-first neighbours in two orders are verified, which joins most of a group by a few
+first neighbours in a few orders are verified, which joins most of a group by a few
 links a set.  Then every pair of sets in different groups is, so none is lost,
 while pairs that are connected already are never made.
 """
@@ -33,6 +33,8 @@ CELLS, CELL_PARTS = 1 << 20, 16
 BUCKET = 3_000_000
 #: Sets sharing a shingle: up to so many, all pairs are verified at once.
 FEW = 6
+#: Orders in which neighbours among more sets are verified first.
+ORDERS = 8
 #: Records that a task holds at most before it sends them.
 HELD = 1_000_000
 
@@ -120,8 +122,39 @@ def _may_match(n1, p1, n2, p2):
     return (DEN * small >= NUM * large) & (at <= small // 7) & (most >= _required(n1, n2))
 
 
+BITS = 256
+
+
+def _bitmaps(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Four 64-bit words a set: the bits that its members hash to.
+
+    Every bit in which two sets differ stands for a member that only one has.
+    """
+    owner = np.repeat(np.arange(len(size)), size)
+    bit = ((h >> np.uint64(40)) & np.uint64(BITS - 1)).astype(np.int64)
+    hit = np.bincount(owner * BITS + bit, minlength=BITS * len(size)) > 0
+    return np.packbits(hit.reshape(-1, BITS), axis=1, bitorder="little").view("<i8").reshape(-1, BITS // 64)
+
+
+BITMAP = [f"b{k}" for k in range(BITS // 64)]
+
+
+def _set_table(rows: DataFrame, n: int) -> DataFrame:
+    """uid, set_id, size and bitmap of every document."""
+
+    def build(batches):
+        for batch in batches:
+            for at, words in blocks(batch.column("text"), LOWER):
+                h, size = _sets(words, n, None)
+                uid = batch.column("uid").slice(at, len(size))
+                bits = [pa.array(np.ascontiguousarray(b)) for b in _bitmaps(h, size).T]
+                yield pa.RecordBatch.from_arrays([uid, pa.array(_set_ids(h, size)), pa.array(size.astype(np.int32)), *bits], ["uid", "set_id", "size", *BITMAP])
+
+    return rows.select("uid", "text").mapInArrow(build, "uid long, set_id long, size int, " + ", ".join(f"{b} long" for b in BITMAP))
+
+
 def _prefixes(rows: DataFrame, n: int, rank, buckets: int) -> DataFrame:
-    """kind 0: (hash, set, size, place) of all prefixes, by bucket of the hash; kind 1: (document's uid, set, size)."""
+    """(hash, set, size, place) of all prefixes, by bucket of the hash."""
 
     def cut(batches):
         held, seen = [], set()
@@ -133,11 +166,9 @@ def _prefixes(rows: DataFrame, n: int, rank, buckets: int) -> DataFrame:
             return packed(0, list(parts))
 
         for batch in batches:
-            uid = batch.column("uid").to_numpy()
-            for at, words in blocks(batch.column("text"), LOWER):
+            for _, words in blocks(batch.column("text"), LOWER):
                 h, size = _sets(words, n, rank.value)
                 ids = _set_ids(h, size)
-                yield packed(1, [(0, [uid[at : at + len(size)], ids, size.astype(np.int32)])])
                 # Copies in a task have one prefix.
                 fresh = np.zeros(len(ids), bool)
                 for i, e in enumerate(ids.tolist()):
@@ -155,7 +186,7 @@ def _prefixes(rows: DataFrame, n: int, rank, buckets: int) -> DataFrame:
         if held:
             yield send()
 
-    return rows.select("uid", "text").mapInArrow(cut, PACKED)
+    return rows.select("text").mapInArrow(cut, PACKED)
 
 
 def _first_pairs(table: pa.Table) -> pa.Table:
@@ -183,9 +214,12 @@ def _first_pairs(table: pa.Table) -> pa.Table:
         a = np.arange(len(h) - step) if len(h) > step else np.empty(0, np.int64)
         same = (group[a] == group[a + step]) & ((number[a] <= FEW) | (step == 1))
         add(a[same], a[same] + step)
-    other = np.lexsort((mix(e.view(np.uint64)), group))  # neighbours in a second order
-    a = np.flatnonzero((group[other[:-1]] == group[other[1:]]) & (number[other[:-1]] > FEW)) if len(h) > 1 else np.empty(0, np.int64)
-    add(other[a], other[a + 1])
+    big = np.flatnonzero(number > FEW)
+    for seed in range(ORDERS):  # neighbours in further orders, the same for all shingles
+        key = mix(e[big].view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+        other = big[np.lexsort((key, group[big]))]
+        same = group[other[:-1]] == group[other[1:]]
+        add(other[:-1][same], other[1:][same])
     found = np.unique(np.concatenate(pairs, axis=1), axis=1)
     left = number > FEW
     return pa.Table.from_batches([
@@ -222,37 +256,32 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= need
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets (set_id, members) that are similar."""
+def _verified(pairs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b) of sets that are similar, by their members' texts (set_id, text)."""
+
+    def sets(texts) -> list[np.ndarray]:
+        out = []
+        for _, words in blocks(texts, LOWER):
+            h, size = _sets(words, n, None)
+            out += np.split(h, np.cumsum(size)[:-1])
+        return out
 
     def verify(batches):
         for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            x, y = batch.column("x"), batch.column("y")
-            ok = [_similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(len(a))]
-            ok = np.array(ok, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                ok = pa.array([_similar(x, y) for x, y in zip(sets(some.column("x")), sets(some.column("y")), strict=True)], pa.bool_())
+                yield some.select(["a", "b"]).filter(ok)
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long")
+    left = members.select(F.col("set_id").alias("a"), F.col("text").alias("x"))
+    right = members.select(F.col("set_id").alias("b"), F.col("text").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _members(rows: DataFrame, of: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """set_id, members (ascending 64-bit hashes) of the wanted sets, from the text of one document of each."""
+def _members(rows: DataFrame, of: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set_id, text of one document of each wanted set; texts take less room than sets."""
     one = of.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("uid").alias("uid"))
-
-    def build(batches):
-        for batch in batches:
-            for _, words in blocks(batch.column("text"), LOWER):
-                h, size = _sets(words, n, None)
-                stop = np.cumsum(size)
-                data = [h[b - s : b].tobytes() for b, s in zip(stop, size, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(h, size)), pa.array(data, pa.binary())], ["set_id", "members"])
-
-    texts = rows.join(one.select("uid").hint("shuffle_hash"), "uid", "left_semi").select("uid", "text")
-    built = texts.mapInArrow(build, "set_id long, members binary")
-    return written(built.dropDuplicates(["set_id"]), "members")
+    return written(rows.select("uid", "text").join(one.hint("shuffle_hash"), "uid").select("set_id", "text"), "members")
 
 
 def similar_groups(docs: DataFrame, n: int = 5) -> DataFrame:
@@ -274,34 +303,36 @@ def similar_groups(docs: DataFrame, n: int = 5) -> DataFrame:
     counts = _cell_counts(rows, n)
     buckets = int(max(partitions(spark), -(-counts.sum() // BUCKET)))
     rank = spark.sparkContext.broadcast(counts.astype(np.int64))  # CELLS numbers
-    prefixes = written(_prefixes(rows, n, rank, buckets), "prefixes")
-    of = _rows(prefixes.where("kind = 1"), [("uid", np.int64, "long"), ("set_id", np.int64, "long"), ("size", np.int32, "int")])
-    of = written(of.distinct(), "sets")
-
-    met = written(prefixes.where("kind = 0").groupBy("bucket").applyInArrow(_first_pairs, PACKED), "met")
+    of = written(_set_table(rows, n).distinct(), "sets")
+    met = written(_prefixes(rows, n, rank, buckets).groupBy("bucket").applyInArrow(_first_pairs, PACKED), "met")
     first = _rows(met.where("kind = 0"), [("a", np.int64, "long"), ("b", np.int64, "long")]).distinct()
     first = written(first, "first")
-    links = written(_verified(first, _members(rows, of, _ends(first), n)), "links")
+    shared = _rows(met.where("kind = 1"), [("h", np.uint64, "long"), ("e", np.int64, "long"), ("n", np.int32, "int"), ("p", np.int32, "int")])
+    ends = first.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(shared.select(F.col("e").alias("set_id")))
+    members = _members(rows, of, ends.distinct())
+    links = written(_verified(first, members, n), "links")
     groups = written(components(links), "groups")
 
-    shared = _rows(met.where("kind = 1"), [("h", np.uint64, "long"), ("e", np.int64, "long"), ("n", np.int32, "long"), ("p", np.int32, "long")])
     placed = shared.join(groups.withColumnRenamed("node", "e"), "e", "left").withColumn("g", F.coalesce("component", "e")).drop("component")
     apart = placed.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
-    placed = written(placed.join(apart, "h", "left_semi"), "apart")
-    x, y = (placed.select("h", *(F.col(c).alias(f"{c}{k}") for c in "enpg")) for k in (1, 2))
-    ahead = "(n1 < n2 or (n1 = n2 and e1 < e2))"
-    near = f"{DEN} * n1 >= {NUM} * n2 and (p1 <= n1 div 7 or (n1 = n2 and p2 <= n2 div 7))"
-    bound = f"least(p1, p2) + 1 + least(n1 - 1 - p1, n2 - 1 - p2) >= ceil({NUM} * (n1 + n2) / {NUM + DEN})"
-    second = x.join(y, ["h"]).where(f"g1 <> g2 and {ahead} and {near} and {bound}")
-    second = second.select(F.least("e1", "e2").alias("a"), F.greatest("e1", "e2").alias("b")).distinct()
+    bits = of.select(F.col("set_id").alias("e"), *BITMAP).dropDuplicates(["e"])
+    placed = written(placed.join(apart, "h", "left_semi").join(bits, "e"), "apart")
+    x, y = (placed.select("h", *(F.col(c).alias(f"{c}_{k}") for c in [*"enpg", *BITMAP])) for k in (1, 2))
+    need = f"ceil({NUM} * (n_1 + n_2) / {NUM + DEN})"
+    ahead = "(n_1 < n_2 or (n_1 = n_2 and e_1 < e_2))"
+    near = f"{DEN} * n_1 >= {NUM} * n_2 and (p_1 <= n_1 div 7 or (n_1 = n_2 and p_2 <= n_2 div 7))"
+    bound = f"least(p_1, p_2) + 1 + least(n_1 - 1 - p_1, n_2 - 1 - p_2) >= {need}"
+    apart_by = " + ".join(f"bit_count({b}_1 ^ {b}_2)" for b in BITMAP)
+    second = x.join(y, ["h"]).where(f"g_1 <> g_2 and {ahead} and {near} and {bound} and {apart_by} <= n_1 + n_2 - 2 * {need}")
+    second = second.select(F.least("e_1", "e_2").alias("a"), F.greatest("e_1", "e_2").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
-        more = _verified(second, _members(rows, of, _ends(second), n))
+        more = _verified(second, members, n)
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         groups = written(components(stars.unionByName(more)), "groups")
 
     ids = rows.select("doc_id", "uid")
-    named = ids.join(of, "uid").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
+    named = ids.join(of.select("uid", "set_id", "size"), "uid").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
     # Empty sets have no id of their own: each document stays by itself.
     named = named.withColumn("component", F.when(F.col("size") > 0, F.coalesce("component", "set_id")))
     named = written(named, "named")
@@ -309,6 +340,3 @@ def similar_groups(docs: DataFrame, n: int = 5) -> DataFrame:
     out = named.join(least, "component", "left")
     return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()

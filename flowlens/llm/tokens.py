@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from flowlens.llm.common import partitions, shared_path, written
 
 #: Remembered pieces and words; beyond that, the memory starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 350_000
 _ODD = re.compile(r"[^\S \n]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?"
