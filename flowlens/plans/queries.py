@@ -306,5 +306,6 @@ add("frame_log_lines", on_packets(lambda p: dashboard.frame_lines(p.where("evide
  || '  IPv4_checksum=' || {_OK.format('ipv4_checksum_ok')} || chr(10)
  || case when l4_proto=6 then 'L4: TCP ' || cast(sport as varchar) || '->' || cast(dport as varchar) || ' flags=' || tcp_flags || ' win=' || cast(tcp_win as varchar) else 'L4: UDP ' || cast(sport as varchar) || '->' || cast(dport as varchar) end || chr(10)
  || '  L4_checksum=' || {_OK.format('l4_checksum_ok')} || chr(10) || 'PayloadPreview(0B): ' as line from pkt where evidence is null""", "pkt")
+add("frame_log_lines_all", on_packets(lambda p: dashboard.frame_lines(with_times(p))))
 add("log_lines", lambda s, d: dashboard.flow_lines(flows(packets(s, d))).select(F.length("line").cast("long").alias("size"), "line"),
     ORACLE_SQL["flow_summary_lines"].replace("select first_frame_no, ", "select cast(length(line) as bigint) as size, line from (select ", 1) + ") t")

@@ -172,3 +172,24 @@ def test_engine_and_training(spark):
     got = engine.scores(model)
     assert got.count() == 200 and {r.label for r in got.select("label").distinct().collect()} <= {"attack", "tampered", "benign"}
     assert engine.dashboard.top_flows(engine.flows()).count() == 10
+
+
+def test_frame_lines_of_every_packet(spark):
+    from flowlens.plans.catalog import QUERIES
+
+    got = {r.frame_no: r.line.split("\n") for r in QUERIES["frame_log_lines_all"](spark, SMALL).collect()}
+    table = packets(spark, SMALL).collect()
+    assert set(got) == {r.frame_no for r in table} and len(got) == len(table)
+    start, kinds = min(table, key=lambda r: r.frame_no).ts_us, set()
+    for r in table:
+        lines, data, want = got[r.frame_no], bytes(r.payload), []
+        at, since = divmod(r.ts_us, 10**6), abs(r.ts_us - start)
+        assert lines[1].startswith(f"ts_epoch={at[0]}.{at[1]:06d} ts_local=2") and f".{at[1] // 1000:03d} t_rel=" in lines[1]
+        assert lines[1].endswith(f" t_rel={'-' if r.ts_us < start else ''}{since // 10**6}.{since % 10**6:06d}s")
+        if r.l4_proto == 6:
+            name, (method, host, path) = payload.server_name(data), payload.http_head(data)
+            want = ([f"TLS SNI={name}"] if name else []) + ([f"HTTP {method} host={host} path={path}"] if method else [])
+        k = min(32, len(data))
+        assert lines[lines.index(next(x for x in lines if x.startswith("  L4_checksum="))) + 1 :] == [*want, f"PayloadPreview({k}B): {data[:k].hex(' ')}"]
+        kinds |= {x[:8] for x in want}
+    assert kinds == {"TLS SNI=", "HTTP GET", "HTTP RES"}
