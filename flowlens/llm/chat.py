@@ -12,11 +12,24 @@ from pyspark.sql import functions as F
 
 #: Turns of one output row; longer dialogues go on in further parts.
 PART_TURNS = 256
+#: What a name in a header must not hold: white space (Unicode's too), controls, < and the escape.
+_UNSAFE, _SAFE = r"[\s\p{Z}\p{C}<%]", r"[^\s\p{Z}\p{C}<%]"
+_OUTER = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+
+
+def _trimmed(role: Column) -> Column:
+    return F.regexp_replace(F.coalesce(role, F.lit("")), _OUTER, "")
 
 
 def _name(role: Column) -> Column:
-    named = F.regexp_replace(F.coalesce(role, F.lit("")), r"[^\w.-]+", "_")
-    return F.when(named == "", F.lit("unknown")).otherwise(named)
+    """The trimmed role, one to one: %, white space, controls and < as the %-codes of
+    their UTF-8 bytes.  A role `unknown` gets a code too, as null and empty ones are `unknown`."""
+    trimmed = _trimmed(role)
+    coded = lambda x: F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1")
+    pieces = F.regexp_extract_all(trimmed, F.lit(f"(?s)({_UNSAFE}|{_SAFE}+)"), 1)
+    escaped = F.array_join(F.transform(pieces, lambda x: F.when(F.rlike(x, F.lit(f"^{_SAFE}")), x).otherwise(coded(x))), "")
+    named = F.when(F.rlike(trimmed, F.lit(_UNSAFE)), escaped).otherwise(trimmed)
+    return F.when(named == "", F.lit("unknown")).when(named == "unknown", F.lit("%75nknown")).otherwise(named)
 
 
 def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
@@ -27,8 +40,9 @@ def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     code points of the assistant's texts with their `<|im_end|>`, the only ones a loss
     should see.  Marks `<|` in a text become `< |`, so no text can end its turn.
 
-    A role is a participant, null and empty roles being one, `unknown`; `system`
-    is none, and a conversation of system turns only has no row.  Null texts are
+    A trimmed role is a participant, shown one to one: white space, controls, % and
+    < are %-codes, as in URLs.  Null and empty roles are one, `unknown`; `system` is
+    none, and a conversation of system turns only has no row.  Null texts are
     empty.  Turns stand in order of (turn, role, text), null turns first; repeated
     rows are said again.  Null conv_ids are one conversation.  part counts from 0,
     turns part_turns * part and up (null turns: part 0), so that a conversation
@@ -40,7 +54,7 @@ def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(0)) / part_turns).cast("long").alias("part"),
         F.struct(
             F.col("turn").cast("long").alias("turn"),
-            F.when(F.lower(F.trim("role")) == "system", F.lit(None)).otherwise(_name(F.col("role"))).alias("name"),
+            F.when(F.lower(_trimmed(F.col("role"))) == "system", F.lit(None)).otherwise(_name(F.col("role"))).alias("name"),
             F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
         ).alias("m"),
     )

@@ -326,6 +326,18 @@ def test_chat_rotation(spark):
     assert out[3, "ann", 0].spans == [] and chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_keeps_speakers_apart(spark):
+    want = {"Анна": "Анна", "Борис": "Борис", "李": "李", "a b": "a%20b", "a_b": "a_b", "a  b": "a%20%20b", "a%20b": "a%2520b", "x<|y": "x%3C|y", "é\u00a0!": "é%C2%A0!", "unknown": "%75nknown", " ": "unknown", "n\nm": "n%0Am"}
+    rows = [(1, k, role, f"t{k}") for k, role in enumerate([*want, " a_b "])]
+    out = {r.speaker: r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(out) == set(want.values())
+    for k, (role, name) in enumerate(want.items()):
+        r = out[name]
+        said = [f"t{k}<|im_end|>"] + (["t12<|im_end|>"] if role == "a_b" else [])
+        assert [r.text[s.start : s.stop] for s in r.spans] == said
+        assert {x.partition("name=")[2] for x in r.text.split("\n") if "name=" in x} == set(want.values()) - {name}
+
+
 def test_line_dedup_by_windows(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\nb\nc\nd\ny"), (3, "a\na\na\na\na"), (4, None), (5, ""), (6, "a\nb\nc")]
     out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
