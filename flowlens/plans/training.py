@@ -60,6 +60,9 @@ add("stratified_sample", lambda s, d: prep.stratified(ready(s, d), ["file", "chu
 add("per_file_cap", lambda s, d: prep.capped(ready(s, d), "file", "frame_no", 150).select("frame_no", "file"), over_corpus("select frame_no, file from (select *, row_number() over (partition by file order by hsh, frame_no) as rn from prep) x where rn<=150"))
 add("global_cap", lambda s, d: prep.total_cap(ready(s, d), ["file", "chunk"], 500).select("frame_no"),
     over_corpus("select frame_no from prep p join (select file, chunk from (select file, chunk, coalesce(sum(n) over (order by file, chunk rows between unbounded preceding and 1 preceding), 0) as b from (select file, chunk, count(*) as n from prep group by file, chunk) y) z where b<500) q on p.file=q.file and p.chunk=q.chunk"))
+# The caps at their full size.
+add("per_file_cap_full", lambda s, d: prep.capped(ready(s, d), "file", "frame_no").select("frame_no", "file"), ORACLE_SQL["per_file_cap"].replace("rn<=150", f"rn<={prep.PER_FILE}"))
+add("global_cap_full", lambda s, d: prep.total_cap(ready(s, d), ["file", "chunk"]).select("frame_no"), ORACLE_SQL["global_cap"].replace("b<500", f"b<{prep.TOTAL}"))
 add("union_by_name", lambda s, d: prep.union([corpus(s, d).where("file = 0").select("frame_no", "dport"), corpus(s, d).where("file = 1").select("ttl_hlim", "frame_no")]),
     over_corpus("select frame_no, dport, null as ttl_hlim from corpus where file=0 union all select frame_no, null, ttl_hlim from corpus where file=1"))
 add("train_split", lambda s, d: prep.split(ready(s, d), "frame_no").select("frame_no", "validation"),
@@ -96,9 +99,8 @@ def _validated(kind: str, **options) -> Query:
     return query
 
 
-add("ml_rf", _validated("rf", numTrees=10, maxDepth=5))
-add("ml_dt", _validated("dt", maxDepth=5))
-add("ml_svm", _validated("svm", maxIter=10))
+for kind in ("rf", "dt", "svm"):
+    add(f"ml_{kind}", _validated(kind))
 
 
 def ml_knn(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +112,7 @@ add("ml_knn", ml_knn)
 
 
 def ml_score(spark: SparkSession, d: str, reload: bool = False) -> DataFrame:
-    model = models.fit("dt", ready(spark, d), maxDepth=5)
+    model = models.fit("dt", ready(spark, d))
     if reload:
         conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         path = f"{conf or tempfile.mkdtemp()}/models/dt"

@@ -193,3 +193,28 @@ def test_frame_lines_of_every_packet(spark):
         assert lines[lines.index(next(x for x in lines if x.startswith("  L4_checksum="))) + 1 :] == [*want, f"PayloadPreview({k}B): {data[:k].hex(' ')}"]
         kinds |= {x[:8] for x in want}
     assert kinds == {"TLS SNI=", "HTTP GET", "HTTP RES"}
+
+
+@pytest.mark.parametrize("name", ["ml_rf", "ml_dt", "ml_svm", "ml_score", "model_reload"])
+def test_registered_models_have_full_size(spark, monkeypatch, name):
+    from flowlens.ml import models
+    from flowlens.plans.catalog import QUERIES
+
+    class Asked(Exception):
+        pass
+
+    def fit(kind, train, features=None, seed=42, **options):
+        raise Asked(options)
+
+    monkeypatch.setattr(models, "fit", fit)
+    with pytest.raises(Asked) as e:
+        QUERIES[name](spark, SMALL)
+    assert e.value.args == ({},)
+
+
+def test_caps_at_full_size(spark):
+    from flowlens.plans.catalog import QUERIES
+    from flowlens.plans.training import ready
+
+    n = ready(spark, SMALL).count()
+    assert QUERIES["per_file_cap_full"](spark, SMALL).count() == QUERIES["global_cap_full"](spark, SMALL).count() == n > 500
