@@ -261,6 +261,24 @@ def test_toxicity_tells_rare_stems(spark):
     assert np.mean([(s >= 0.5) == y for s, y in held]) > 0.95
 
 
+def test_toxicity_reads_whole_runs(spark):
+    rng, rows = random.Random(9), []
+    for i in range(300):
+        run = "".join(chr(rng.randrange(0x4E00, 0x4E60)) for _ in range(60))
+        at = rng.randrange(12, 56)
+        rows.append((i, run[:at] + "\u8fb1\u9a82\u8bcd" + run[at:] if i % 3 == 0 else run, int(i % 3 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train_toxicity(table, table.where("doc_id < 200"))
+    got = {r.doc_id: r.toxicity_score for r in toxicity.score_toxicity(table, model).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows if i >= 200]) > 0.95
+
+
+def test_toxicity_keeps_contexts_seen_once(spark):
+    table = spark.createDataFrame([(k, f"plain words {'vile' * (k % 2)} once{chr(97 + k % 10)}{chr(97 + k // 10)}", k % 2) for k in range(60)], "doc_id long, text string, toxic int")
+    counts = toxicity.train_toxicity(table, table).counts
+    assert counts.seen.sum(0).min() == 1 and (np.diff(counts.keys.astype(object)) > 0).all()
+
+
 def test_substring_dedup_is_exact(docs):
     rows = sorted(_corpus())
     first, got = {}, {r.doc_id: r for r in substring_dedup.dedup_substrings(docs).collect()}
