@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -18,19 +20,30 @@ def byte_at(data: Column, offset: int) -> Column:
     return F.conv(F.hex(F.substring(data, offset + 1, 1)), 16, 10).cast("int")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ones_complement(data: Column) -> Column:
     """Internet checksum: complement of the folded sum of 16-bit words, odd input padded with 0."""
-    padded = F.when(F.length(data) % 2 == 1, F.concat(data, F.lit(b"\x00"))).otherwise(data)
-    places = F.when(F.length(padded) > 0, F.sequence(F.lit(1), F.length(padded), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    total = F.aggregate(places, F.lit(0).cast("long"), lambda s, i: s + F.conv(F.hex(F.substring(padded, i, F.lit(2))), 16, 10).cast("long"))
-    folded = F.when(total == 0, F.lit(0).cast("long")).otherwise((total - 1) % 65535 + 1)
-    return (F.lit(65535) - folded).cast("int")
+
+    def of_hex(digits: Column) -> Column:
+        places = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(4))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, F.lit(0).cast("long"), lambda s, i: s + F.conv(F.rpad(F.substring(digits, i, F.lit(4)), 4, "0"), 16, 10).cast("long"))
+
+    folded = lambda total: F.when(total == 0, F.lit(0).cast("long")).otherwise((total - 1) % 65535 + 1)
+    return bound(bound(F.hex(data), of_hex), lambda total: (F.lit(65535) - folded(total)).cast("int"))
 
 
 def ipv4_checksum_ok(header: Column) -> Column:
     """1 or 0 for a header of ihl * 4 bytes; NULL for anything shorter than 20 bytes."""
-    bare = F.concat(F.substring(header, 1, 10), F.lit(b"\x00\x00"), F.substring(header, F.lit(13), F.length(header)))
-    return F.when(F.length(header) >= 20, (ones_complement(bare) == be16(header, 10)).cast("int"))
+
+    def ok(h: Column) -> Column:
+        bare = F.concat(F.substring(h, 1, 10), F.lit(b"\x00\x00"), F.substring(h, F.lit(13), F.length(h)))
+        return F.when(F.length(h) >= 20, (ones_complement(bare) == be16(h, 10)).cast("int"))
+
+    return bound(header, ok)
 
 
 def ip_bytes(ip: Column) -> Column:
@@ -45,13 +58,16 @@ def l4_checksum_ok(version: Column, proto: Column, src: Column, dst: Column, seg
     NULL if the packet is not IP or not TCP or UDP.  A UDP checksum of 0 counts as any other.
     """
     at = F.when(proto == 6, F.lit(16)).otherwise(F.lit(6))
-    size = F.hex(F.length(segment).cast("long"))
-    v4 = F.concat(src, dst, F.lit(b"\x00"), F.unhex(F.lpad(F.hex(proto.cast("long")), 2, "0")), F.unhex(F.lpad(size, 4, "0")))
-    v6 = F.concat(src, dst, F.unhex(F.lpad(size, 8, "0")), F.lit(b"\x00\x00\x00"), F.unhex(F.lpad(F.hex(proto.cast("long")), 2, "0")))
-    bare = F.concat(F.substring(segment, F.lit(1), at), F.lit(b"\x00\x00"), F.substring(segment, at + 3, F.length(segment)))
-    stored = F.conv(F.hex(F.substring(segment, at + 1, F.lit(2))), 16, 10).cast("int")
-    pseudo = F.when(version == 4, v4).when(version == 6, v6)
-    return F.when(version.isin(4, 6) & proto.isin(6, 17), (ones_complement(F.concat(pseudo, bare)) == stored).cast("int"))
+
+    def ok(data: Column) -> Column:
+        size = F.hex(F.length(data).cast("long"))
+        v4 = F.concat(src, dst, F.lit(b"\x00"), F.unhex(F.lpad(F.hex(proto.cast("long")), 2, "0")), F.unhex(F.lpad(size, 4, "0")))
+        v6 = F.concat(src, dst, F.unhex(F.lpad(size, 8, "0")), F.lit(b"\x00\x00\x00"), F.unhex(F.lpad(F.hex(proto.cast("long")), 2, "0")))
+        bare = F.concat(F.substring(data, F.lit(1), at), F.lit(b"\x00\x00"), F.substring(data, at + 3, F.length(data)))
+        stored = F.conv(F.hex(F.substring(data, at + 1, F.lit(2))), 16, 10).cast("int")
+        return (ones_complement(F.concat(F.when(version == 4, v4).when(version == 6, v6), bare)) == stored).cast("int")
+
+    return F.when(version.isin(4, 6) & proto.isin(6, 17), bound(segment, ok))
 
 
 def dscp(tos: Column) -> Column:

@@ -91,9 +91,8 @@ add("ones_complement", on_packets(lambda p: p.select("frame_no", header.ones_com
 
 
 def _ipv4_checksum(p: DataFrame) -> DataFrame:
-    bare = _header_bytes()
-    stored = F.when(c("k") % 31 == 0, lit(0)).otherwise(header.ones_complement(bare))
-    whole = F.concat(F.substring(bare, 1, 10), F.unhex(F.lpad(F.hex(stored), 4, "0")), F.substring(bare, 13, 8))
+    stored = lambda bare: F.when(c("k") % 31 == 0, lit(0)).otherwise(header.ones_complement(bare))
+    whole = header.bound(_header_bytes(), lambda bare: F.concat(F.substring(bare, 1, 10), F.unhex(F.lpad(F.hex(stored(bare)), 4, "0")), F.substring(bare, 13, 8)))
     return p.select("frame_no", header.ipv4_checksum_ok(whole).alias("ok"))
 
 
@@ -110,7 +109,7 @@ def _l4_checksum(p: DataFrame) -> DataFrame:
     size = F.length(head) + 2 + F.length(tail)
     pseudo = F.concat(src, dst, lit(b"\x00"), F.unhex(F.lpad(F.hex(c("l4_proto")), 2, "0")), F.unhex(F.lpad(F.hex(size.cast("long")), 4, "0")))
     right = header.ones_complement(F.concat(pseudo, head, lit(b"\x00\x00"), tail))
-    stored = F.when(c("k") % 11 == 0, (right + 1) % 65536).otherwise(right)
+    stored = header.bound(right, lambda r: F.when(c("k") % 11 == 0, (r + 1) % 65536).otherwise(r))
     segment = F.concat(head, F.unhex(F.lpad(F.hex(stored), 4, "0")), tail)
     return p.select("frame_no", header.l4_checksum_ok(c("ip_version"), c("l4_proto"), src, dst, segment).alias("ok"))
 
