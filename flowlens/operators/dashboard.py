@@ -112,8 +112,11 @@ def export_name(ts, base: str, ext: str):
 
 
 def _six(x):
-    """A number with six decimals, halves rounded up."""
-    return F.round(x.cast("decimal(30,12)"), 6).cast("decimal(30,6)").cast("string")
+    """A number with six decimals: of its twelve in double arithmetic, halves rounded up."""
+    twelve = F.rint(x * 1e12)
+    exact = twelve.cast("long").cast("decimal(19,0)") / F.lit(10**12).cast("decimal(13,0)")
+    kept = F.when(F.abs(twelve) < 9e18, exact.cast("decimal(30,12)")).otherwise(x.cast("decimal(30,12)"))
+    return F.round(kept, 6).cast("decimal(30,6)").cast("string")
 
 
 def flow_lines(flows: DataFrame) -> DataFrame:
