@@ -51,6 +51,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Parts that rows of one key are dealt to, where a key may hold a third of all rows.
+PARTS = 16
+
+
+def with_hot_key(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key, by parts of each key's rows.
+
+    right comes PARTS times, so it should be the small side: what was counted by key.
+    """
+    dealt = left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(PARTS)).cast("int"))
+    copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return dealt.join(copies, [key, "_part"], how).drop("_part")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -4,25 +4,31 @@ Equal sets are one set from the start.  Shingles are ordered rare first, by
 counts of all shingles in hashed cells, then by hash: any one order for all
 sets gives right results, a rare-first one few candidates.  Two sets of similarity 3/4
 share a shingle among the first n/4 + 1 of the longer and n/7 + 1 of the shorter;
-sets meet by these, and length and position bounds drop pairs that cannot reach it.
-
-Links are only wanted for the groups they make.  In sets that share a shingle,
-first neighbours in a few orders are verified, which joins most of a group by a few
-links a set.  Then every pair of sets in different groups is, so none is lost,
-while pairs that are connected already are never made.
+sets meet by these, and length, position and suffix bounds (by the sizes of the sets' parts) drop
+pairs that cannot reach it before any text is read.
+
+A group of similar sets is found by few of its links: in sets that share a shingle,
+first neighbours in a few orders are verified, which joins most of a group.  Sets
+of different groups that still share a shingle are verified after that, so none is lost:
+pair by pair where few share it, else in blocks (set_blocks), as are the links within
+groups, which are counted and not written down.
 """
 
 from __future__ import annotations
 
+import itertools
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import partitions, written
+from flowlens.llm.common import partitions, with_hot_key, written
 from flowlens.llm.components import components
 from flowlens.llm.packed import PACKED, heads, packed, spread, split_by, unpacked
+from flowlens.llm.set_blocks import compared, required
 from flowlens.llm.words import LOWER, Words, blocks, grams, mix
 
 #: Similarity is at least NUM / DEN.
@@ -35,8 +41,16 @@ BUCKET = 3_000_000
 FEW = 6
 #: Orders in which neighbours among more sets are verified first.
 ORDERS = 8
+#: Shingles of a cell: more are dealt to several buckets, by the sets that hold them.
+HOT = 1 << 20
+#: Sets sharing a shingle after that: up to so many, pair by pair; more, in blocks.
+PAIRWISE = 32
+#: Records of sets that are compared in blocks together, about.
+TOGETHER = 100_000
 #: Records that a task holds at most before it sends them.
 HELD = 1_000_000
+#: Ids that are sent to all tasks, and those of a partition that are hashed; more are sorted.
+SENT, HASHED = 200_000, 1_000_000
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +77,9 @@ def _sets(words: Words, n: int, rank: np.ndarray | None):
     return h, np.bincount(doc, minlength=len(words.first) - 1)
 
 
-def _set_ids(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _set_ids(h: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit id of each set, the same in any order; 0 for empty sets."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(7)))])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(7 + 1000 * seed)))])
     stop = np.cumsum(size)
     ids = mix((total[stop] - total[stop - size]) + mix(size.astype(np.uint64)))
     return np.where(size > 0, ids, np.uint64(0)).view(np.int64)
@@ -106,11 +120,6 @@ def _cell_counts(docs: DataFrame, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _required(a, b):
-    """Least overlap of sets of sizes a and b that are similar."""
-    return -(-NUM * (a + b) // (NUM + DEN))
-
-
 def _may_match(n1, p1, n2, p2):
     """Length, prefix and position bounds for sets that share a shingle at places p1, p2."""
     first = n1 <= n2
@@ -119,41 +128,49 @@ def _may_match(n1, p1, n2, p2):
     # Of two equal sizes either prefix will do, so both places may count.
     at = np.where(n1 == n2, np.minimum(p1, p2), at)
     most = np.minimum(p1, p2) + 1 + np.minimum(n1 - 1 - p1, n2 - 1 - p2)
-    return (DEN * small >= NUM * large) & (at <= small // 7) & (most >= _required(n1, n2))
+    return (DEN * small >= NUM * large) & (at <= small // 7) & (most >= required(n1, n2))
 
 
-BITS = 256
+#: Parts of a set's members, by hash, whose sizes' last bits are kept; and 64-bit words of these.
+BITS = 1024
 
 
 def _bitmaps(h: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Four 64-bit words a set: the bits that its members hash to.
+    """The last bits of the sizes of a set's parts, in 64-bit words.
 
-    Every bit in which two sets differ stands for a member that only one has.
+    In every part where two sets differ in this, a member is in only one of them.
     """
     owner = np.repeat(np.arange(len(size)), size)
-    bit = ((h >> np.uint64(40)) & np.uint64(BITS - 1)).astype(np.int64)
-    hit = np.bincount(owner * BITS + bit, minlength=BITS * len(size)) > 0
-    return np.packbits(hit.reshape(-1, BITS), axis=1, bitorder="little").view("<i8").reshape(-1, BITS // 64)
+    part = ((h >> np.uint64(40)) & np.uint64(BITS - 1)).astype(np.int64)
+    odd = np.bincount(owner * BITS + part, minlength=BITS * len(size)) & 1
+    return np.packbits(odd.astype(bool).reshape(-1, BITS), axis=1, bitorder="little").view("<i8").reshape(-1, BITS // 64)
 
 
 BITMAP = [f"b{k}" for k in range(BITS // 64)]
 
 
-def _set_table(rows: DataFrame, n: int) -> DataFrame:
-    """uid, set_id, size and bitmap of every document."""
+def _set_table(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """doc_id, text_hash, set_id, a second id of the set, its size and bitmap of every document."""
 
     def build(batches):
         for batch in batches:
             for at, words in blocks(batch.column("text"), LOWER):
                 h, size = _sets(words, n, None)
-                uid = batch.column("uid").slice(at, len(size))
+                own = [batch.column(c).slice(at, len(size)) for c in ("doc_id", "text_hash")]
+                ids = [pa.array(_set_ids(h, size, k)) for k in (seed, seed + 1)]
                 bits = [pa.array(np.ascontiguousarray(b)) for b in _bitmaps(h, size).T]
-                yield pa.RecordBatch.from_arrays([uid, pa.array(_set_ids(h, size)), pa.array(size.astype(np.int32)), *bits], ["uid", "set_id", "size", *BITMAP])
+                yield pa.RecordBatch.from_arrays([*own, *ids, pa.array(size.astype(np.int32)), *bits], ["doc_id", "text_hash", "set_id", "again", "size", *BITMAP])
+
+    return rows.mapInArrow(build, "doc_id long, text_hash long, set_id long, again long, size int, " + ", ".join(f"{b} long" for b in BITMAP))
+
 
-    return rows.select("uid", "text").mapInArrow(build, "uid long, set_id long, size int, " + ", ".join(f"{b} long" for b in BITMAP))
+def _buckets(h: np.ndarray, e: np.ndarray, rank: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each record: by shingle, those of hot cells by set as well."""
+    salt = mix(e.view(np.uint64)) % (rank[h & np.uint64(CELLS - 1)] // HOT + 1).astype(np.uint64)
+    return (mix(h + salt) % np.uint64(buckets)).astype(np.int64)
 
 
-def _prefixes(rows: DataFrame, n: int, rank, buckets: int) -> DataFrame:
+def _prefixes(rows: DataFrame, n: int, seed: int, rank, buckets: int) -> DataFrame:
     """(hash, set, size, place) of all prefixes, by bucket of the hash."""
 
     def cut(batches):
@@ -162,13 +179,13 @@ def _prefixes(rows: DataFrame, n: int, rank, buckets: int) -> DataFrame:
         def send():
             h, e, size, place = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            parts = split_by((h % np.uint64(buckets)).astype(np.int64), h, e, size, place)
+            parts = split_by(_buckets(h, e, rank.value, buckets), h, e, size, place)
             return packed(0, list(parts))
 
         for batch in batches:
             for _, words in blocks(batch.column("text"), LOWER):
                 h, size = _sets(words, n, rank.value)
-                ids = _set_ids(h, size)
+                ids = _set_ids(h, size, seed)
                 # Copies in a task have one prefix.
                 fresh = np.zeros(len(ids), bool)
                 for i, e in enumerate(ids.tolist()):
@@ -189,8 +206,12 @@ def _prefixes(rows: DataFrame, n: int, rank, buckets: int) -> DataFrame:
     return rows.select("text").mapInArrow(cut, PACKED)
 
 
-def _first_pairs(table: pa.Table) -> pa.Table:
-    """kind 0: pairs to verify first; kind 1: sets by shared shingle, where pairs are left."""
+def _met(rank, pair_buckets: int):
+    return lambda table: _first_pairs(table, rank.value, pair_buckets)
+
+
+def _first_pairs(table: pa.Table, rank: np.ndarray, pair_buckets: int) -> pa.Table:
+    """kind 0: pairs to verify first, by bucket of the pair; kind 1: sets by shared shingle, where pairs are left."""
     h, e, size, place = unpacked(table, np.uint64, np.int64, np.int32, np.int32)
     order = np.lexsort((e, size, h))
     h, e, size, place = h[order], e[order], size[order].astype(np.int64), place[order].astype(np.int64)
@@ -198,9 +219,11 @@ def _first_pairs(table: pa.Table) -> pa.Table:
     h, e, size, place = h[keep], e[keep], size[keep], place[keep]
     start = np.flatnonzero(heads(h))
     count = np.diff(np.append(start, len(h)))
-    many = np.repeat(count > 1, count)
+    hot = rank[h[start] & np.uint64(CELLS - 1)] >= HOT  # others of the shingle are in other buckets
+    some = (count > 1) | hot
+    many = np.repeat(some, count)
     h, e, size, place = h[many], e[many], size[many], place[many]
-    count = count[count > 1]
+    hot, count = hot[some], count[some]
     group = np.repeat(np.arange(len(count)), count)
     number = np.repeat(count, count)
     pairs = []
@@ -216,18 +239,24 @@ def _first_pairs(table: pa.Table) -> pa.Table:
         add(a[same], a[same] + step)
     big = np.flatnonzero(number > FEW)
     for seed in range(ORDERS):  # neighbours in further orders, the same for all shingles
-        key = mix(e[big].view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+        key = mix(e[big].view(np.uint64) ^ mix(np.full(1, seed + 1, np.uint64)))
         other = big[np.lexsort((key, group[big]))]
         same = group[other[:-1]] == group[other[1:]]
         add(other[:-1][same], other[1:][same])
     found = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    left = number > FEW
+    left = (number > FEW) | np.repeat(hot, count)
     return pa.Table.from_batches([
-        packed(0, [(0, [found[0], found[1]])]),
+        packed(0, list(split_by((mix(found[0].view(np.uint64)) % np.uint64(pair_buckets)).astype(np.int64), *found))),
         packed(1, [(0, [h[left], e[left], size[left].astype(np.int32), place[left].astype(np.int32)])]),
     ])
 
 
+def _different(table: pa.Table) -> pa.Table:
+    """The different pairs of a bucket."""
+    pairs = np.unique(np.stack(unpacked(table, np.int64, np.int64)), axis=1)
+    return pa.table({"a": pairs[0], "b": pairs[1]})
+
+
 def _rows(packed_rows: DataFrame, fields: list[tuple[str, type, str]]) -> DataFrame:
     """Packed records as rows: (name, numpy type, SQL type) by column."""
 
@@ -245,7 +274,7 @@ def _rows(packed_rows: DataFrame, fields: list[tuple[str, type, str]]) -> DataFr
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Exact test of two ascending sets, after a suffix bound: split by the quartiles of
     one, the sets share in each part at most the smaller part."""
-    need = _required(len(x), len(y))
+    need = required(len(x), len(y))
     cuts = x[[len(x) // 4, len(x) // 2, 3 * len(x) // 4]]
     a = np.diff(np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]))
     b = np.diff(np.concatenate([[0], np.searchsorted(y, cuts), [len(y)]]))
@@ -256,6 +285,12 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= need
 
 
+def _only(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members that sets (set_id) name."""
+    sets = sets.distinct()
+    return members.join(F.broadcast(sets) if sets.count() <= SENT else sets, "set_id", "left_semi")
+
+
 def _verified(pairs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """The pairs (a, b) of sets that are similar, by their members' texts (set_id, text)."""
 
@@ -273,70 +308,167 @@ def _verified(pairs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                 ok = pa.array([_similar(x, y) for x, y in zip(sets(some.column("x")), sets(some.column("y")), strict=True)], pa.bool_())
                 yield some.select(["a", "b"]).filter(ok)
 
+    members = _only(members, pairs.select(F.explode(F.array("a", "b")).alias("set_id")))
     left = members.select(F.col("set_id").alias("a"), F.col("text").alias("x"))
     right = members.select(F.col("set_id").alias("b"), F.col("text").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _members(rows: DataFrame, of: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_id, text of one document of each wanted set; texts take less room than sets."""
-    one = of.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("uid").alias("uid"))
-    return written(rows.select("uid", "text").join(one.hint("shuffle_hash"), "uid").select("set_id", "text"), "members")
+def _contents(members: DataFrame, n: int) -> DataFrame:
+    """e, data: the ascending shingles of every set."""
 
+    def build(batches):
+        for batch in batches:
+            for at, words in blocks(batch.column("text"), LOWER):
+                h, size = _sets(words, n, None)
+                stop = np.cumsum(size)
+                data = [h[a:b].tobytes() for a, b in zip((stop - size).tolist(), stop.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("set_id").slice(at, len(size)), pa.array(data, pa.binary())], ["e", "data"])
 
-def similar_groups(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
+    return members.select("set_id", "text").mapInArrow(build, "e long, data binary")
 
-    Texts are lower-cased (A-Z); a document's set holds its distinct shingles of n
-    words, or its whole word sequence if that is shorter.  Two documents are
-    linked if their sets' Jaccard similarity is at least 3/4; component_id is
-    the smallest doc_id that links reach, its own included.  Null and empty
-    texts, or texts without words, have empty sets and no links: they are their
-    own component.  A null id is never the smallest unless a component has
-    nothing else.  Repeated rows and copies are linked, having equal sets.
-    Texts of any length are taken whole; further columns are not looked at.
-    An empty table gives an empty table.
-    """
+
+def _members(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set_id, text of one document of each wanted set; texts take less room than sets."""
+    one = written(classes.join(wanted, "set_id", "left_semi").select("set_id", "one.*"), "wanted")
+    n_sets = one.count()
+    if n_sets <= SENT:
+        one = F.broadcast(one)
+    elif n_sets <= HASHED * partitions(rows.sparkSession):
+        one = one.hint("shuffle_hash")  # else texts are sorted
+    same = rows["doc_id"].eqNullSafe(one["doc_id"]) & (rows["text_hash"] == one["text_hash"])
+    found = written(rows.select("doc_id", "text_hash", "text").join(one, same).select("set_id", "text"), "members")
+    return found if found.count() == n_sets else written(found.dropDuplicates(["set_id"]), "members")  # repeated rows
+
+
+def _apart(x: str, y: str, words: list[str] = BITMAP) -> str:
+    """The suffix bound: by the sizes of their parts, so many members are in only one of two sets."""
+    differ = " + ".join(f"bit_count({b}{x} ^ {b}{y})" for b in words)
+    return f"{differ} <= n{x} + n{y} - 2 * ceil({NUM} * (n{x} + n{y}) / {NUM + DEN})"
+
+
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the suffix bound leaves."""
+    for k, c in ((1, "a"), (2, "b")):
+        pairs = pairs.join(classes.select(F.col("set_id").alias(c), F.col("size").alias(f"n_{k}"), *(F.col(b).alias(f"{b}_{k}") for b in BITMAP)), c)
+    return pairs.where(_apart("_1", "_2")).select("a", "b")
+
+
+@dataclass
+class Joined:
+    """What the join is made of: documents, their classes (different sets), groups of classes."""
+
+    of: DataFrame  # doc_id, text_hash, set_id, size, by document
+    classes: DataFrame  # set_id, size, least (doc_id), copies
+    groups: DataFrame  # node (a set), component
+    members: DataFrame  # set_id, text of the sets that may have links
+    n: int
+
+    def alike(self, kind: str) -> DataFrame:
+        """Similar sets inside the groups: x, y as in set_blocks.compared."""
+        own = self.groups.select(F.col("component").alias("group"), F.col("node").alias("set_id"))
+        sets = own.join(self.classes, "set_id").select("group", F.col("set_id").alias("e"), F.col("size").alias("n"), F.col("copies").alias("tag"))
+        texts = _only(self.members, own.select("set_id"))
+        return compared(sets, _contents(texts, self.n), kind)
+
+
+def join_sets(docs: DataFrame, n: int = 5) -> Joined:
+    """Classes of equal sets of docs, and the groups that links make of them."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     counts = _cell_counts(rows, n)
     buckets = int(max(partitions(spark), -(-counts.sum() // BUCKET)))
     rank = spark.sparkContext.broadcast(counts.astype(np.int64))  # CELLS numbers
-    of = written(_set_table(rows, n).distinct(), "sets")
-    met = written(_prefixes(rows, n, rank, buckets).groupBy("bucket").applyInArrow(_first_pairs, PACKED), "met")
-    first = _rows(met.where("kind = 0"), [("a", np.int64, "long"), ("b", np.int64, "long")]).distinct()
-    first = written(first, "first")
+    for seed in itertools.count(step=2):
+        of = written(_set_table(rows, n, seed), "sets")
+        one = F.min(F.struct("doc_id", "text_hash")).alias("one")
+        bits = [F.max(b).alias(b) for b in BITMAP]
+        sums = of.where("size > 0").groupBy("set_id").agg(
+            F.max("size").alias("size"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), one, (F.min("again") < F.max("again")).alias("mixed"), *bits
+        )
+        classes = written(sums, "classes")
+        if classes.where("mixed").isEmpty():  # else different sets share an id: other ids
+            break
+    pair_buckets = partitions(spark)
+    met = written(_prefixes(rows, n, seed, rank, buckets).groupBy("bucket").applyInArrow(_met(rank, pair_buckets), PACKED), "met")
+    first = met.where("kind = 0").groupBy("bucket").applyInArrow(_different, "a long, b long")
+    first = written(_bounded(first, classes), "first")
     shared = _rows(met.where("kind = 1"), [("h", np.uint64, "long"), ("e", np.int64, "long"), ("n", np.int32, "int"), ("p", np.int32, "int")])
     ends = first.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(shared.select(F.col("e").alias("set_id")))
-    members = _members(rows, of, ends.distinct())
+    members = _members(rows, classes, ends.distinct())
     links = written(_verified(first, members, n), "links")
     groups = written(components(links), "groups")
 
     placed = shared.join(groups.withColumnRenamed("node", "e"), "e", "left").withColumn("g", F.coalesce("component", "e")).drop("component")
-    apart = placed.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
-    bits = of.select(F.col("set_id").alias("e"), *BITMAP).dropDuplicates(["e"])
-    placed = written(placed.join(apart, "h", "left_semi").join(bits, "e"), "apart")
-    x, y = (placed.select("h", *(F.col(c).alias(f"{c}_{k}") for c in [*"enpg", *BITMAP])) for k in (1, 2))
+    placed = written(placed, "placed")
+    apart = placed.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("h", "m")
+    placed = written(with_hot_key(placed, apart, "h"), "apart")
+    more = _pairwise(placed.where(F.col("m") <= PAIRWISE), first, classes, members, n)
+    many = placed.where(F.col("m") > PAIRWISE)
+    if n_rows := many.count():
+        lots = -(-n_rows // TOGETHER)
+        dense = many.select(F.pmod("h", F.lit(lots)).alias("group"), "e", "n", F.col("g").alias("tag")).distinct()
+        texts = _only(members, dense.select(F.col("e").alias("set_id")))
+        found = compared(written(dense, "dense"), _contents(texts, n), "forest")
+        more = more.unionByName(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    more = written(more, "more")
+    if not more.isEmpty():
+        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = written(components(stars.unionByName(more)), "groups")
+    return Joined(of, classes, groups, members, n)
+
+
+def _pairwise(placed: DataFrame, first: DataFrame, classes: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """The links between sets of different groups in shingles that at most PAIRWISE sets share."""
+    some = BITMAP[:4]  # of each record; the pairs left are held to all
+    placed = placed.join(classes.select(F.col("set_id").alias("e"), *some), "e")
+    x, y = (placed.select("h", *(F.col(c).alias(f"{c}_{k}") for c in [*"enpg", *some])) for k in (1, 2))
     need = f"ceil({NUM} * (n_1 + n_2) / {NUM + DEN})"
     ahead = "(n_1 < n_2 or (n_1 = n_2 and e_1 < e_2))"
     near = f"{DEN} * n_1 >= {NUM} * n_2 and (p_1 <= n_1 div 7 or (n_1 = n_2 and p_2 <= n_2 div 7))"
     bound = f"least(p_1, p_2) + 1 + least(n_1 - 1 - p_1, n_2 - 1 - p_2) >= {need}"
-    apart_by = " + ".join(f"bit_count({b}_1 ^ {b}_2)" for b in BITMAP)
-    second = x.join(y, ["h"]).where(f"g_1 <> g_2 and {ahead} and {near} and {bound} and {apart_by} <= n_1 + n_2 - 2 * {need}")
+    second = x.join(y, ["h"]).where(f"g_1 <> g_2 and {ahead} and {near} and {bound} and {_apart('_1', '_2', some)}")
     second = second.select(F.least("e_1", "e_2").alias("a"), F.greatest("e_1", "e_2").alias("b")).distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"), "second")
-    if not second.isEmpty():
-        more = _verified(second, members, n)
-        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        groups = written(components(stars.unionByName(more)), "groups")
+    second = _bounded(second.join(first, ["a", "b"], "left_anti"), classes)
+    return _verified(written(second, "second"), members, n)
 
-    ids = rows.select("doc_id", "uid")
-    named = ids.join(of.select("uid", "set_id", "size"), "uid").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
-    # Empty sets have no id of their own: each document stays by itself.
-    named = named.withColumn("component", F.when(F.col("size") > 0, F.coalesce("component", "set_id")))
-    named = written(named, "named")
-    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "component", "left")
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
+def similar_groups(docs: DataFrame, n: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, links for every row of docs.
+
+    Texts are lower-cased (A-Z); a document's set holds its distinct shingles of n
+    words, or its whole word sequence if that is shorter.  Two documents are
+    linked if their sets' Jaccard similarity is at least 3/4; component_id is
+    the smallest doc_id that links reach, its own included; links is the number of
+    other documents that a document is linked with.  Null and empty
+    texts, or texts without words, have empty sets and no links: they are their
+    own component.  A null id is never the smallest unless a component has
+    nothing else.  Repeated rows and copies are linked, having equal sets.
+    Texts of any length are taken whole; further columns are not looked at.
+    An empty table gives an empty table.
+    """
+    joined = join_sets(docs, n)
+    between = joined.alike("links").groupBy(F.col("x").alias("set_id")).agg(F.sum("y").alias("others"))
+    sets = joined.classes.join(joined.groups.withColumnRenamed("node", "set_id"), "set_id", "left").where("copies > 1 or component is not null")
+    sets = written(sets.select("set_id", "copies", "least", F.coalesce("component", "set_id").alias("component")), "linked")
+    least = sets.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = with_hot_key(sets.drop("least"), least, "component").join(between, "set_id", "left")
+    named = named.select("set_id", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    out = with_hot_key(joined.of.select("doc_id", "text_hash", "set_id", "size"), named, "set_id", "left")
+    return out.select(
+        "doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")
+    )
+
+
+def similar_pairs(docs: DataFrame, n: int = 5) -> DataFrame:
+    """a, b: every pair of linked documents with different sets, each set by its smallest doc_id.
+
+    As similar_groups; documents with equal sets are linked as well, and not listed.
+    """
+    joined = join_sets(docs, n)
+    name = joined.classes.select("set_id", "least")
+    pairs = joined.alike("pairs")
+    for c, out in (("x", "u"), ("y", "v")):
+        pairs = pairs.join(name.select(F.col("set_id").alias(c), F.col("least").alias(out)), c)
+    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
