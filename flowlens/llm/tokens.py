@@ -7,6 +7,7 @@ joins anything, so their ids put together are the ids of the whole text.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 from flowlens.llm.common import partitions, shared_path, written
 
 #: Remembered pieces and words; beyond that, the memory starts anew.
-REMEMBERED = 350_000
+REMEMBERED = 700_000
 _ODD = re.compile(r"[^\S \n]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?"
@@ -38,12 +39,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _in_pieces(file: dict) -> bool:
+    """Whether a tokenizers file splits texts as the pieces and words here assume."""
+    split, model = file["pre_tokenizer"] or {}, file["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    plain = plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+    words = (t["content"] for t in file["added_tokens"])
+    apart = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"]) and not any(w.isalpha() or w in _MARKS or set(w) & set(" \n") for w in words)
+    return plain and apart and not (file["normalizer"] or file["truncation"] or file["padding"])
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, by a byte-level tokenizers file.
 
     Of a new piece, a word, the mark behind it and line feeds are tokens apart
     in any such vocabulary, so the words go to the file's model one by one, once
-    each; whatever is not letters goes through the whole tokenizer.
+    each; whatever is not letters goes through the whole tokenizer.  Files of
+    another kind (not byte-level, or with a normaliser, or with tokens that
+    take in blanks) encode text by text.
     """
 
     def __init__(self, path: str):
@@ -52,11 +65,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.in_pieces = _in_pieces(json.loads(self.tokenizer.to_str()))
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}  # pieces at a text's start
         self.inner: dict[str, bytes] = {}  # pieces behind a blank, without it
         self.words: dict[str, bytes] = {}
-        self.marks = {m: self._whole([m])[0] for m in (*_MARKS, "\n")}
+        self.marks = {m: ids for m, ids in zip((*_MARKS, "\n"), self._whole([*_MARKS, "\n"]), strict=True)}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -102,9 +116,12 @@ class Encoder:
                 rest.append(p)
             else:
                 known[p] = ids
-        known.update(zip(rest, self._whole([blank + p for p in rest]), strict=True))
+        if rest:
+            known.update(zip(rest, self._whole([blank + p for p in rest]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.in_pieces:
+            return self._whole(texts)
         for known in (self.known, self.inner, self.words):
             if len(known) > REMEMBERED:
                 known.clear()
@@ -117,8 +134,10 @@ class Encoder:
             ids = list(map(inner.get, parts))
             ids[0] = self.known[parts[0]]
             if None in ids:
-                self._learn([p for p, known in zip(parts, ids, strict=True) if known is None], inner, " ")
-                ids[1:] = map(inner.__getitem__, parts[1:])
+                at = [k for k, known in enumerate(ids) if known is None]
+                self._learn([parts[k] for k in at], inner, " ")
+                for k in at:
+                    ids[k] = inner[parts[k]]
             out.append(b"".join(ids))
         return out
 
