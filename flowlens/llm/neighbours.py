@@ -120,6 +120,19 @@ def _merge(dist, ids, more_dist, more_ids, k):
     return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
 
 
+def _lengths(diff: np.ndarray) -> np.ndarray:
+    """Euclidean lengths along the last axis; what would overflow or vanish when squared is scaled first."""
+    square = np.einsum("...d,...d->...", diff, diff)
+    odd = ~np.isfinite(square) | (square < 1e-290)
+    out = np.sqrt(square)
+    if odd.any():
+        x = diff[odd]
+        most = np.abs(x).max(-1, keepdims=True)
+        most[most == 0] = 1
+        out[odd] = most[:, 0] * np.sqrt(((x / most) ** 2).sum(-1))
+    return out
+
+
 def search_cell(vectors, ids, points, q_vectors, q_ids, q_points, bound, k, miss):
     """(distance, id) of each query's k nearest found in one cell, inf and -1 where fewer."""
     m, n_q = points.shape[1], len(q_ids)
@@ -145,8 +158,7 @@ def search_cell(vectors, ids, points, q_vectors, q_ids, q_points, bound, k, miss
             if not len(active):
                 break
             rows = padded[leaf]
-            diff = vectors[rows] - q_vectors[a + active, None]
-            d = np.sqrt(np.einsum("qld,qld->ql", diff, diff))
+            d = _lengths(vectors[rows] - q_vectors[a + active, None])
             got = ids[rows]
             skip = (rows < 0) | (got == q_ids[a + active, None])
             d = np.where(skip, np.inf, d)
@@ -178,7 +190,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     empty, zero or with null or non-finite components take no part, nor do null
     ids or vectors of another length than most rows have.  Fewer than k other
     rows give all of them.  Repeated rows of an id count as often as they come,
-    but not for their own id.  Of equal vectors only the k + 1 smallest ids can be among
+    but not for their own id; a query whose rows differ is asked by its least vector.  Of equal vectors only the k + 1 smallest ids can be among
     the k nearest of any query, so a vector that a third of all rows share is
     searched by these; no other row is left out of the index.
     An empty table gives an empty table; further columns are not looked at.
@@ -207,16 +219,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(cell, pa.int64())], ["id", "vector", "cell"])
 
     index = written(rows.mapInArrow(placed, "id long, vector array<double>, cell long"), "index")
-    queries = index.where(is_query(F.col("id"))).select(F.col("id").alias("q_id"), F.col("vector").alias("q_vector"), "cell")
-    queries = queries.dropDuplicates(["q_id"])
+    queries = index.where(is_query(F.col("id"))).groupBy(F.col("id").alias("q_id")).agg(F.min(F.struct("vector", "cell")).alias("q"))
+    queries = queries.select("q_id", F.col("q.vector").alias("q_vector"), "q.cell")
 
     # Of equal vectors, the smallest ids; summed per task first, as min_k is.
-    same = F.xxhash64("vector")
-    dealt = index.withColumn("_same", same).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    kept = index.groupBy("cell", "vector", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    dealt = kept.withColumn("_same", F.xxhash64("vector")).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     first = Window.partitionBy("cell", "_same", "vector", "_salt").orderBy("id")
     some = dealt.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1)
     again = Window.partitionBy("cell", "_same", "vector").orderBy("id")
     some = some.withColumn("_n", F.row_number().over(again)).where(F.col("_n") <= k + 1)
+    some = some.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times"))))
     searched = written(some.select("id", "vector", "cell"), "searched")
     # Cells that are still large are dealt out in parts, each searched by all of the cell's queries.
     sizes = searched.groupBy("cell").agg(F.ceil(F.count("*") / (2 * CELL)).cast("int").alias("parts"))
@@ -230,7 +243,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
             return pa.table({"q_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
         qv = _matrix(right.column("q_vector"), width)
         d, f = search_cell(v, ids, v @ axes, qv, q, qv @ axes, b, k, miss)
-        ok = np.isfinite(d)
+        ok = f < np.iinfo(np.int64).max
         return pa.table({"q_id": np.repeat(q, ok.sum(1)), "id": f[ok], "d": d[ok]})
 
     def run(asked: DataFrame) -> DataFrame:
