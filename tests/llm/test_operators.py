@@ -261,6 +261,50 @@ def test_toxicity_tells_rare_stems(spark):
     assert np.mean([(s >= 0.5) == y for s, y in held]) > 0.95
 
 
+def test_toxicity_ratios_are_kneser_ney(spark):
+    """The ratio of every expression against the formula over plain dictionaries."""
+    rng = random.Random(14)
+    rows = [(k, " ".join(rng.choice(WORDS) + rng.choice(["", "ish", "o"]) for _ in range(12)), k % 3 == 0) for k in range(90)]
+    table = spark.createDataFrame([(d, t, int(y)) for d, t, y in rows], "doc_id long, text string, toxic int")
+    model = toxicity.train_toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    u = F.xxhash64(F.lit(5), "doc_id", "toxic").bitwiseAND(F.lit(2**40 - 1)) / float(2**40)
+    counted = [(r.text, r.toxic) for r in table.where(u < toxicity.COUNTED).collect()]
+    cut = lambda text: re.findall(rb"[a-z\x80-\xff]+", text.encode().lower())
+    seen, follow = (Counter(), Counter()), {}
+    for text, y in counted:
+        for w in cut(text):
+            for k in range(len(w)):
+                seen[y][w[: k + 1]] += 1
+                follow.setdefault(w[:k], set()).add(w[k])
+    keys = {*seen[0], *seen[1]}
+    tail = lambda p: (b"\0\0" + p)[-2:]
+    n = Counter((tail(k[:-1]), k[-1]) for k in keys)
+    single = Counter(letter for _, letter in n)
+    total, kinds = Counter(), Counter(t for t, _ in n)
+    for (t, _), c in n.items():
+        total[t] += c
+    d = toxicity.DISCOUNT
+
+    def p(y, prefix, letter):
+        back = (single[letter] + 0.5) / (sum(single.values()) + 128)
+        t = tail(prefix)
+        if total[t]:
+            back = (max(n[t, letter] - d, 0) + d * kinds[t] * back) / total[t]
+        after = [seen[y][prefix + bytes([x])] for x in follow.get(prefix, ())]
+        if not sum(after):
+            return back
+        return (max(seen[y][prefix + bytes([letter])] - d, 0) + d * sum(a > 0 for a in after) * back) / sum(after)
+
+    text = " ".join(r[1] for r in rows) + " moonish unseen zzzz été"
+    for _, words in toxicity._letters(toxicity.pa.array([text])):
+        ratios = model.counts.ratios(words)
+        own = cut(text)
+        assert len(ratios) == len(own)
+        for w, r in zip(own, ratios.tolist(), strict=True):
+            want = sum(np.log(p(1, w[:k], w[k]) + 1e-15) - np.log(p(0, w[:k], w[k]) + 1e-15) for k in range(len(w)))
+            assert r == pytest.approx(want, abs=1e-6)
+
+
 def test_toxicity_reads_whole_runs(spark):
     rng, rows = random.Random(9), []
     for i in range(300):
@@ -377,3 +421,12 @@ def test_totals_in_order(spark):
 def test_catalog_names():
     assert {n.split("_")[0] for n in catalog.QUERIES} == {f"op{k}" for k in range(1, 11)}
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES) and zlib and hashlib
+
+
+def test_encoder_of_other_files_is_the_tokenizer():
+    """A file whose words lose their case and blanks: its texts are encoded whole."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, t = Encoder(path), Tokenizer.from_file(path)
+    assert not e.in_pieces and Encoder(TOKENIZER).in_pieces
+    texts = ["Some Words here", "x  y\n z", "", "ÄÖ ß!"]
+    assert e.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
