@@ -48,12 +48,11 @@ def with_times(packets: DataFrame) -> DataFrame:
 def features(packets: DataFrame, wide: bool = False) -> DataFrame:
     """The 78-column feature table; `wide` adds the SSH and SMB columns."""
     flows = [c for c in FEATURE_COLS if c.startswith("flow_")] + SSH_SMB
-    base = with_address_counts(with_times(packets))
-    counted = running(packets).select("frame_no", *flows)
-    df = base.join(counted, "frame_no", "left")
+    df = running(with_address_counts(with_times(packets)))
     texts = {"flow_protocol_hint": "unknown", "flow_risk_level": "low", "flow_risk_reason": "flow_normal"}
     kinds = dict(df.dtypes)
-    fill = {c: F.coalesce(F.col(c), F.lit(texts.get(c, "") if kinds[c] == "string" else 0).cast(kinds[c])) for c in flows}
+    in_flow = F.col("flow_proto").isNotNull()
+    fill = {c: F.coalesce(F.when(in_flow, F.col(c)), F.lit(texts.get(c, "") if kinds[c] == "string" else 0).cast(kinds[c])) for c in flows}
     return df.withColumns(fill).select(*FEATURE_COLS, *(SSH_SMB if wide else []))
 
 

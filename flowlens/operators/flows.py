@@ -19,8 +19,8 @@ from flowlens.operators.rules import with_flow_risk
 from flowlens.schema import FLOW_COLS, HTTP_BUFFER, HTTP_PORTS, LOW_TTL, SMB_PORT, SSH_PORT, TLS_PORT, USUAL_DSCP
 
 
-def _by_flow():
-    return Window.partitionBy(*KEY).orderBy("frame_no")
+def _by_flow(*more: str):
+    return Window.partitionBy(*KEY, *more).orderBy("frame_no")
 
 
 def _flag(letter: str) -> Column:
@@ -31,21 +31,26 @@ def _either(*ports: int) -> Column:
     return F.col("sport").isin(*ports) | F.col("dport").isin(*ports)
 
 
-def with_packet_facts(packets: DataFrame) -> DataFrame:
-    """Flow key, direction, time since the flow's last packet, final ACKs and payload evidence of each packet."""
-    keyed = with_flow_key(packets).where("flow_proto is not null")
+def _with_proofs(packets: DataFrame) -> DataFrame:
+    """Flow key, direction and payload evidence of each packet."""
     tcp = F.col("l4_proto") == 6
+    return with_flow_key(packets).withColumns({"_banner": F.when(tcp, ssh_banner(F.col("payload"))), "_smb": F.when(tcp, smb_version(F.col("payload")))})
+
+
+def _with_times_between(keyed: DataFrame, *more: str) -> DataFrame:
+    """Time since the flow's last packet, and final ACKs; a flow's packets are those of a key, and of `more`."""
     s, a = _flag("S"), _flag("A")
-    first_synack = F.min(F.when(s & a, F.col("frame_no"))).over(Window.partitionBy(*KEY))
-    banner = F.when(tcp, ssh_banner(F.col("payload")))
-    version = F.when(tcp, smb_version(F.col("payload")))
-    return (
-        keyed.withColumns({"_banner": banner, "_smb": version})
-        .withColumn("iat_us", F.col("ts_us") - F.lag("ts_us").over(_by_flow()))
-        .withColumn("_final_ack", F.coalesce(a & ~s & (F.col("frame_no") > first_synack), F.lit(False)))
+    first_synack = F.min(F.when(s & a, F.col("frame_no"))).over(Window.partitionBy(*KEY, *more))
+    return keyed.withColumn("iat_us", F.col("ts_us") - F.lag("ts_us").over(_by_flow(*more))).withColumn(
+        "_final_ack", F.coalesce(a & ~s & (F.col("frame_no") > first_synack), F.lit(False))
     )
 
 
+def with_packet_facts(packets: DataFrame) -> DataFrame:
+    """Flow key, direction, time since the flow's last packet, final ACKs and payload evidence of each packet of a flow."""
+    return _with_times_between(_with_proofs(packets).where("flow_proto is not null"))
+
+
 def measures(over: Callable[[Column], Column], distinct: Callable[[Column], Column]) -> dict[str, Column]:
     """Every measure of a flow; `over` turns an aggregate into a window or leaves it."""
     c = F.col
@@ -190,18 +195,35 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({n: f"flow_{n}" for n in names if n in df.columns})
 
 
-def flows(packets: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """The 56-column flow table, and first_frame_no; partial sums meet per flow, so long flows spread."""
-    facts = with_packet_facts(packets) if facts is None else facts
-    final = facts.groupBy(*KEY).agg(*[v.alias(k) for k, v in measures(lambda x: x, F.count_distinct).items()])
-    state = with_evidence(final.join(reassembled(facts), KEY, "left"), "last_frame_no")
+def _few(x: Column) -> Column:
+    """Number of different values, of which a flow has at most its key's two."""
+    return F.coalesce(F.lit(1) + (F.min(x) != F.max(x)).cast("int"), F.lit(0)).cast("long")
+
+
+def flows(packets: DataFrame) -> DataFrame:
+    """The 56-column flow table, and first_frame_no.
+
+    Texts that prove a protocol are taken from the few packets that hold them and
+    joined to the flows, so the sums over all packets are hashed and not sorted.
+    """
+    keyed = _with_proofs(packets).where("flow_proto is not null")
+    all_measures = measures(lambda x: x, _few)
+    texts = {k: all_measures.pop(k) for k in ("ssh_evidence", "smb_evidence")}
+    final = _with_times_between(keyed).groupBy(*KEY).agg(*[v.alias(k) for k, v in all_measures.items()])
+    proofs = keyed.where("_banner is not null or _smb is not null").groupBy(*KEY).agg(*[v.alias(k) for k, v in texts.items()])
+    state = with_evidence(final.join(proofs, KEY, "left").join(reassembled(keyed), KEY, "left"), "last_frame_no")
     return with_flow_risk(_named(state)).select(*FLOW_COLS, "first_frame_no")
 
 
 def running(packets: DataFrame) -> DataFrame:
-    """Packets with the state of their flow up to and including them."""
-    facts = with_packet_facts(packets)
-    so_far = _by_flow().rowsBetween(Window.unboundedPreceding, 0)
+    """Packets with the state of their flow up to and including them.
+
+    Packets of no flow stay, each by itself, with an empty key.
+    """
+    keyed = _with_proofs(packets).withColumn("_lone", F.when(F.col("flow_proto").isNull(), F.col("frame_no")))
+    facts = _with_times_between(keyed, "_lone")
+    so_far = _by_flow("_lone").rowsBetween(Window.unboundedPreceding, 0)
     distinct = lambda x: F.size(F.collect_set(x).over(so_far)).cast("long")  # at most the two ports
     state = facts.withColumns(measures(lambda x: x.over(so_far), distinct))
-    return with_flow_risk(_named(with_evidence(state.join(reassembled(facts), KEY, "left"), "frame_no")))
+    evidence = reassembled(keyed.where("flow_proto is not null"))
+    return with_flow_risk(_named(with_evidence(state.join(evidence, KEY, "left"), "frame_no"))).drop("_lone")
