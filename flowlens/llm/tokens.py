@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 
 from flowlens.llm.common import partitions, shared_path, written
 
-#: Remembered pieces and words; beyond that, the memory starts anew.
-REMEMBERED = 700_000
+#: Remembered pieces of each kind; beyond that, the memory starts anew.
+REMEMBERED = 350_000
 _ODD = re.compile(r"[^\S \n]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?"
@@ -67,9 +67,8 @@ class Encoder:
         self.model = self.tokenizer.model
         self.in_pieces = _in_pieces(json.loads(self.tokenizer.to_str()))
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}  # pieces at a text's start
+        self.known: dict[str, bytes] = {}  # pieces at the start of a text or line
         self.inner: dict[str, bytes] = {}  # pieces behind a blank, without it
-        self.words: dict[str, bytes] = {}
         self.marks = {m: ids for m, ids in zip((*_MARKS, "\n"), self._whole([*_MARKS, "\n"]), strict=True)}
 
     @classmethod
@@ -81,63 +80,59 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes | None:
-        """Ids of letters with at most one blank before; None for anything else."""
-        ids = self.words.get(word)
+    def _word(self, word: str, blank: bool) -> bytes | None:
+        """Ids of letters, behind a blank or not; None for anything else."""
+        if not word.isalpha():
+            return None
+        known = self.inner if blank else self.known
+        ids = known.get(word)
         if ids is None:
-            blank = word[:1] == " "
-            bare = word[1:] if blank else word
-            if not bare.isalpha():
-                return None
-            spelt = bare if bare.isascii() else bare.encode().decode("latin-1").translate(self.letters)
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             found = self.model.tokenize(self.letters[32] + spelt if blank else spelt)
-            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            self.words[word] = ids
+            ids = known[word] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         return ids
 
-    def _piece(self, piece: str) -> bytes | None:
-        lines = piece.split("\n")
+    def _piece(self, piece: str, blank: bool) -> bytes | None:
         out = []
-        for line in lines:
+        for line in piece.split("\n"):
             if line[-1:] in self.marks and line:
-                word, mark = self._word(line[:-1]), self.marks[line[-1]]
+                word, mark = self._word(line[:-1], blank), self.marks[line[-1]]
             else:
-                word, mark = self._word(line), b""
+                word, mark = self._word(line, blank), b""
             if word is None:
                 return None
             out.append(word + mark)
+            blank = False
         return self.marks["\n"].join(out)
 
-    def _learn(self, pieces: list[str], known: dict[str, bytes], blank: str) -> None:
-        new, rest = [p for p in dict.fromkeys(pieces) if p not in known], []
-        for p in new:
-            ids = self._piece(blank + p)
+    def _ids(self, piece: str, blank: bool) -> bytes:
+        """Ids of a piece.  Those of more than a line hardly come again and are not remembered."""
+        known = self.inner if blank else self.known
+        ids = known.get(piece)
+        if ids is None:
+            ids = self._piece(piece, blank)
             if ids is None:
-                rest.append(p)
-            else:
-                known[p] = ids
-        if rest:
-            known.update(zip(rest, self._whole([blank + p for p in rest]), strict=True))
+                ids = self._whole([" " + piece if blank else piece])[0]
+            if "\n" not in piece:
+                known[piece] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.in_pieces:
             return self._whole(texts)
-        for known in (self.known, self.inner, self.words):
+        for known in (self.known, self.inner):
             if len(known) > REMEMBERED:
                 known.clear()
         out, inner = [], self.inner
         for text in texts:
             odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text)
             parts = _SAFE.split(text) if odd else text.split(" ")
-            if parts[0] not in self.known:
-                self._learn(parts[:1], self.known, "")
             ids = list(map(inner.get, parts))
-            ids[0] = self.known[parts[0]]
+            ids[0] = self._ids(parts[0], False)
             if None in ids:
-                at = [k for k, known in enumerate(ids) if known is None]
-                self._learn([parts[k] for k in at], inner, " ")
-                for k in at:
-                    ids[k] = inner[parts[k]]
+                for k, known in enumerate(ids):
+                    if known is None:
+                        ids[k] = self._ids(parts[k], True)
             out.append(b"".join(ids))
         return out
 
