@@ -21,11 +21,11 @@ from flowlens.llm.common import partitions, with_hot_key, written
 from flowlens.llm.packed import heads
 
 #: Elements of a unit's side at most, about; every set counts as SET_COST more.
-UNIT, SET_COST = 500_000, 250
+UNIT, SET_COST = 250_000, 250
 #: Sizes of a band differ by less than this: more than the largest ratio of similar sets (4/3).
 BAND = 1.34
 #: Elements that are compared at once.
-COLUMNS = 4096
+COLUMNS = 1024
 _PLACE = ["group", "b", "i", "c", "j"]
 
 
@@ -55,7 +55,7 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
             m[owner[low:high], at[low:high] - a] = 1
             part.append(m)
         out += part[0] @ part[1].T
-    return out.astype(np.int64)
+    return out  # whole numbers below 2^24
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -101,7 +101,7 @@ def _compare(kind: str):
             if not len(e) or (x is y and len(e) < 2):
                 continue
             n, m = np.array([len(s) for s in x]), np.array([len(s) for s in y])
-            alike = overlaps(x, y) >= required(n[:, None], m[None, :])
+            alike = overlaps(x, y) >= required(n[:, None], m[None, :]).astype(np.float32)
             if x is y:
                 np.fill_diagonal(alike, False)
             if kind == "links":  # the tag is the number of copies
