@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -62,39 +64,52 @@ def score(model: PipelineModel, features: DataFrame, names: list[str] | None = N
     return out.select(*[c for c in features.columns if c != "label"], confidence_label(F.col("confidence")).alias("label"), "confidence")
 
 
-def knn(train: DataFrame, queries: DataFrame, k: int = 25, key: str = "id", queries_size: int = 10_000) -> DataFrame:
+#: Queries of a block and training rows of a slice, about; training rows compared at once.
+BLOCK, SLICE, COLUMNS = 1_000, 20_000, 2_048
+
+
+def _nearest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances and places in v of the k rows nearest to each of q, the earlier first of equals."""
+    best, at = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
+    for a in range(0, len(v), COLUMNS):
+        some = v[a : a + COLUMNS]
+        d = np.zeros((len(q), len(some)))
+        for x, y in zip(q.T, some.T, strict=True):
+            d += (x[:, None] - y[None, :]) ** 2
+        d = np.concatenate([best, d], axis=1)
+        places = np.concatenate([at, np.broadcast_to(np.arange(a, a + len(some)), (len(q), len(some)))], axis=1)
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        best, at = np.take_along_axis(d, near, 1), np.take_along_axis(places, near, 1)
+    return best, at
+
+
+def knn(train: DataFrame, queries: DataFrame, k: int = 25, key: str = "id") -> DataFrame:
     """key, prediction of queries by distance-weighted votes of the k nearest training rows.
 
-    Both have key and vector (array of doubles), train also label.  A stated set
-    of queries, whose size is checked, goes to all training rows; per task only each
-    query's k nearest are kept, so what is shuffled does not grow with training rows.
+    Both have key (a unique number) and vector (array of doubles), train also label.
+    Queries come in blocks, training rows in slices; a task compares one block with one slice and
+    keeps each query's k nearest, and these meet by query.  Neither side's size is bounded.
     A training row at distance 0 outvotes the rest; ties go to the alphabet.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    rows = queries.select(key, "vector").limit(queries_size + 1).toArrow()
-    if rows.num_rows > queries_size:
-        raise ValueError(f"more than {queries_size} queries: search them in blocks")
-    ids = rows.column(key).to_numpy()
-    width = len(rows.column("vector")[0]) if rows.num_rows else 0
-    asked = queries.sparkSession.sparkContext.broadcast((ids, rows.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, max(width, 1))))
-
-    def search(batches):
-        q_ids, q = asked.value
-        for batch in batches:
-            v = batch.column("vector").flatten().to_numpy().reshape(-1, max(width, 1))
-            if not len(v) or not len(q):
-                continue
-            d = np.sqrt(np.maximum(((q[:, None, :] - v[None, :, :]) ** 2).sum(-1), 0))
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(q_ids, near.shape[1])), batch.column(key).take(pa.array(near.ravel())), batch.column("label").take(pa.array(near.ravel())), pa.array(np.take_along_axis(d, near, 1).ravel())],
-                [key, "neighbour", "label", "d"],
-            )
-
+    n_blocks, n_slices = (max(1, -(-df.count() // n)) for df, n in ((queries, BLOCK), (train, SLICE)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    asked = queries.select(key, "vector", dealt(n_blocks).alias("block"), each(n_slices).alias("slice"))
+    known = train.select(key, "vector", "label", dealt(n_slices).alias("slice"), each(n_blocks).alias("block"))
     kind = dict(queries.dtypes)[key]
-    found = train.select(key, "vector", "label").mapInArrow(search, f"{key} {kind}, neighbour {kind}, label string, d double")
+
+    def points(table: pa.Table) -> np.ndarray:
+        return table.column("vector").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+
+    def search(some: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(key)
+        d, at = _nearest(points(some), points(rows), k) if some.num_rows and rows.num_rows else (np.empty((0, 0)), np.empty((0, 0), np.int64))
+        found = pa.array(at.ravel())
+        mine = some.column(key).take(pa.array(np.repeat(np.arange(len(at)), at.shape[1])))
+        return pa.table({key: mine, "neighbour": rows.column(key).take(found), "label": rows.column("label").take(found), "d": np.sqrt(d).ravel()})
+
+    units = asked.groupBy("block", "slice").cogroup(known.groupBy("block", "slice"))
+    found = units.applyInArrow(search, f"{key} {kind}, neighbour {kind}, label string, d double")
     best = Window.partitionBy(key).orderBy("d", "neighbour")
     top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
     vote = F.when(F.col("d") == 0, F.lit(1e18)).otherwise(1 / F.col("d"))
@@ -102,4 +117,11 @@ def knn(train: DataFrame, queries: DataFrame, k: int = 25, key: str = "id", quer
     return votes.groupBy(key).agg(F.min(F.struct(-F.col("votes"), F.col("label")))["label"].alias("prediction"))
 
 
-__all__ = ["fit", "knn", "predicted", "score", "weighted"]
+def scaled_vectors(train: DataFrame, rows: DataFrame, features: list[str] | None = None) -> list[DataFrame]:
+    """Both with `vector`: the features by their deviations in train."""
+    stages = [VectorAssembler(inputCols=features or TRAIN_FEATURES, outputCol="x", handleInvalid="keep"), StandardScaler(inputCol="x", outputCol="scaled", withMean=False, withStd=True)]
+    model = Pipeline(stages=stages).fit(train)
+    return [model.transform(df).withColumn("vector", vector_to_array("scaled")) for df in (train, rows)]
+
+
+__all__ = ["fit", "knn", "predicted", "scaled_vectors", "score", "weighted"]

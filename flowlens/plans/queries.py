@@ -203,31 +203,39 @@ add("packet_heuristic_reason", on_features(lambda f: with_heuristics(coerced(f))
 add("packet_risk_level", on_scores(lambda s: s.select("frame_no", "risk_level")), "select frame_no, risk_level from scores", "scores")
 
 
+def _address(k):
+    """Public addresses by number, from 11.0.0.0 on: one each for 1.4 billion numbers."""
+    octet = lambda n: F.floor(k / n).cast("long")
+    return F.concat_ws(".", (octet(1 << 24) + 11).cast("string"), *[(octet(n) % 256).cast("string") for n in (1 << 16, 1 << 8, 1)])
+
+
+def _address_sql(k: str) -> str:
+    return f"cast(11+({k})//16777216 as varchar) || " + " || ".join(f"'.' || cast(({k})//{n}%256 as varchar)" for n in (1 << 16, 1 << 8, 1))
+
+
 def reputation(spark: SparkSession, d: str) -> DataFrame:
-    """A reputation dimension from customers: ip, payload."""
-    cust = spark.read.parquet(f"{d}/customer.parquet")
-    key = c("c_custkey")
+    """A reputation dimension from all customers: ip, payload."""
+    key = c("c_custkey").cast("long")
     score = F.when(key % 5 == 0, lit("")).when(key % 5 == 1, lit('"scamalytics_score":"n/a",')).otherwise(F.concat(lit('"scamalytics_score":"'), (key * 7 % 101).cast("string"), lit('.9",')))
     risk = F.when(key % 3 == 0, lit('"scamalytics_risk":null')).otherwise(F.concat(lit('"scamalytics_risk":" Risk'), (key % 4).cast("string"), lit('"')))
-    ip = F.concat(lit("9.9."), F.floor(key / 256).cast("string"), lit("."), (key % 256).cast("string"))
-    return cust.where(key < 600).select(ip.alias("ip"), F.concat(lit('{"scamalytics":{'), score, risk, lit("}}")).alias("payload"))
+    return spark.read.parquet(f"{d}/customer.parquet").select(_address(key).alias("ip"), F.concat(lit('{"scamalytics":{'), score, risk, lit("}}")).alias("payload"))
 
 
-_REP = """rep as (select '9.9.' || cast(c_custkey//256 as varchar) || '.' || cast(c_custkey%256 as varchar) as ip,
+_REP = f"""rep as (select {_address_sql('c_custkey')} as ip,
  case when c_custkey%5=0 then 0 when c_custkey%5=1 then null else c_custkey*7%101 end as rep_score,
  case when c_custkey%3<>0 then 'risk' || cast(c_custkey%4 as varchar) end as rep_risk, coalesce(case when c_custkey%3<>0 then 'risk' || cast(c_custkey%4 as varchar) end, 'scamalytics_unknown') as rep_reason
- from customer where c_custkey<600)"""
+ from customer)"""
 
 
-def public_packets(spark: SparkSession, d: str) -> DataFrame:
-    """Features whose addresses partly are public ones of the dimension."""
-    ip = lambda m: F.concat(lit("9.9."), F.floor(c("frame_no") * m % 700 / 256).cast("string"), lit("."), (c("frame_no") * m % 700 % 256).cast("string"))
-    f = features(packets(spark, d))
-    return f.withColumns({"ip_src": F.when(c("frame_no") % 4 != 0, ip(3)).otherwise(c("ip_src")), "ip_dst": F.when(c("frame_no") % 3 == 0, ip(11)).otherwise(c("ip_dst"))})
+def public_packets(spark: SparkSession, d: str, of=packets) -> DataFrame:
+    """Packets, or what `of` makes of them, with public addresses in places: six of seven are in the dimension."""
+    most = spark.read.parquet(f"{d}/customer.parquet").agg(F.max("c_custkey")).first()[0] or 0  # one number
+    ip = lambda m: _address(c("frame_no") * m % (most * 7 // 6 + 1) + 1)
+    return of(spark, d).withColumns({"ip_src": F.when(c("frame_no") % 4 != 0, ip(3)).otherwise(c("ip_src")), "ip_dst": F.when(c("frame_no") % 3 == 0, ip(11)).otherwise(c("ip_dst"))})
 
 
 def _ip_sql(m: int) -> str:
-    return f"'9.9.' || cast((frame_no*{m}%700)//256 as varchar) || '.' || cast(frame_no*{m}%700%256 as varchar)"
+    return _address_sql(f"frame_no*{m}%(select max(c_custkey)*7//6+1 from customer)+1")
 
 
 _LOOKED = f"""{_REP}, f as (select frame_no, case when frame_no%4<>0 then {_ip_sql(3)} end as s, case when frame_no%3=0 then {_ip_sql(11)} end as d from pkt),
@@ -250,7 +258,7 @@ add("reputation_json", lambda s, d: scoring.parsed_reputation(reputation(s, d)),
 _REPUTED = ["frame_no", "rep_score", "rep_level"]
 add("reputation_join", lambda s, d: scoring.with_reputation(public_packets(s, d), reputation(s, d)).select(*_REPUTED), _with_rep(f"select {names(_REPUTED)} from rp", "pkt"))
 add("reputation_reason", lambda s, d: scoring.with_reputation(public_packets(s, d), reputation(s, d)).where("rep_reason is not null").select("frame_no", "rep_reason"), _with_rep("select frame_no, rep_reason from rp where rep_reason is not null", "pkt"))
-add("packet_score", lambda s, d: scoring.scores(public_packets(s, d), reputation(s, d)).select("frame_no", *SCORE_COLS),
+add("packet_score", lambda s, d: scoring.scores(public_packets(s, d, lambda *x: features(packets(*x))), reputation(s, d)).select("frame_no", *SCORE_COLS),
     _with_rep("select s.frame_no, coalesce(rep_score, ip_fraud_score) as ip_fraud_score, cast(coalesce(rep_score, ip_fraud_score) as varchar) || '/100' as ip_fraud_score_display, coalesce(rep_level, risk_level) as risk_level, coalesce(rep_reason, risk_score_reason) as risk_score_reason from scores s join rp on s.frame_no=rp.frame_no", "scores"))
 
 # -- dashboard

@@ -104,8 +104,10 @@ for kind in ("rf", "dt", "svm"):
 
 
 def ml_knn(spark: SparkSession, d: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
-    return models.knn(vectors.where("id % 10 <> 0"), vectors.where("id % 10 = 0"))
+    parts = prep.split(ready(spark, d), "frame_no")
+    train, rows = models.scaled_vectors(parts.where("validation = 0"), parts.where("validation = 1"))
+    found = models.knn(train, rows, key="frame_no")
+    return metrics.report(rows.select("frame_no", "label").join(found, "frame_no"))
 
 
 add("ml_knn", ml_knn)
