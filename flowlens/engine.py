@@ -9,7 +9,7 @@ from flowlens.functions.capture_filter import default_filter
 from flowlens.ml import models, prep
 from flowlens.operators import dashboard, flows, scores
 from flowlens.operators.features import features
-from flowlens.sources.pcap import decoded, read_pcap
+from flowlens.sources.pcap import decoded, numbered, read_pcap
 
 
 class Engine:
@@ -22,7 +22,7 @@ class Engine:
 
     @classmethod
     def from_capture(cls, spark: SparkSession, path: str, filtered: bool = True) -> Engine:
-        packets = decoded(read_pcap(spark, path))
+        packets = decoded(numbered(read_pcap(spark, path)))
         return cls(packets.where(default_filter()) if filtered else packets)
 
     def features(self, wide: bool = False) -> DataFrame:

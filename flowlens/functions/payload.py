@@ -12,34 +12,40 @@ from flowlens.schema import HTTP_METHODS
 
 def http_head(data: bytes) -> tuple[str | None, str | None, str | None]:
     """(method, host, path) of a request head, ("RESP", None, status line) of a response."""
-    lines = data.partition(b"\r\n\r\n")[0].decode("latin-1").split("\r\n")
-    first = lines[0].split(" ")
-    if first[0] in HTTP_METHODS and len(first) > 1:
-        hosts = [x.partition(":")[2].strip() for x in lines[1:] if x.lower().startswith("host:")]
-        return first[0], hosts[0] if hosts else "", first[1]
-    if lines[0].startswith("HTTP/"):
-        return "RESP", None, lines[0]
+    text = lambda x: x.decode("utf-8", "ignore")
+    lines = data.partition(b"\r\n\r\n")[0].split(b"\r\n")
+    first = lines[0].split(b" ")
+    if text(first[0]) in HTTP_METHODS and first[0].isascii() and len(first) > 1:
+        hosts = [x.partition(b":")[2].strip() for x in lines[1:] if x.lower().startswith(b"host:")]
+        return text(first[0]), text(hosts[0]) if hosts else "", text(first[1])
+    if lines[0].startswith(b"HTTP/"):
+        return "RESP", None, text(lines[0])
     return None, None, None
 
 
+def _utf8(data: Column) -> Column:
+    """Bytes as text, those that are no UTF-8 left out."""
+    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
 def http_parse(payload: Column) -> Column:
     """struct(method, host, path) of a payload's HTTP head, in column expressions; NULL fields otherwise."""
     text = F.split(F.decode(payload, "ISO-8859-1"), "\r\n\r\n")[0]
     line = F.split(text, "\r\n")[0]
     is_request = F.rlike(line, F.lit("^(" + "|".join(HTTP_METHODS) + ") "))
     is_reply = F.startswith(line, F.lit("HTTP/"))
-    host = F.trim(F.regexp_extract(text, r"(?i)\r\nhost:([^\r]*)", 1))
+    host = F.regexp_extract(text, r"(?is)\r\nhost:[ \t\n\x0b\f\r]*(.*?)[ \t\n\x0b\f\r]*(?:\r\n|\z)", 1)
+    read = lambda x: _utf8(F.encode(x, "ISO-8859-1"))
     return F.struct(
         F.when(is_request, F.split(line, " ")[0]).when(is_reply, "RESP").alias("method"),
-        F.when(is_request, host).alias("host"),
-        F.when(is_request, F.split(line, " ")[1]).when(is_reply, line).alias("path"),
+        F.when(is_request, read(host)).alias("host"),
+        F.when(is_request, read(F.split(line, " ")[1])).when(is_reply, read(line)).alias("path"),
     )
 
 
 def ssh_banner(payload: Column) -> Column:
     """First line of a payload that starts with SSH-, at most 255 characters; else NULL."""
-    text = F.replace(F.make_valid_utf8(payload.cast("string")), F.lit("�"), F.lit(""))
-    text = F.regexp_replace(text, r"^\s+|\s+$", "")
+    text = F.regexp_replace(_utf8(payload), r"^\s+|\s+$", "")
     line = F.split(text, r"\r\n|\r|\n")[0]
     return F.when(F.startswith(text, F.lit("SSH-")) & (F.length(line) <= 255), line)
 
@@ -77,15 +83,15 @@ def server_name(data: bytes | None) -> str | None:
         if at + 4 + n > stop:
             return None
         if kind == 0:
-            names, place = body[2:], 0
-            while place + 3 <= len(names):
-                n = int.from_bytes(names[place + 1 : place + 3], "big")
-                name = names[place + 3 : place + 3 + n]
-                if len(name) < n:
+            names, place = body[2 : 2 + int.from_bytes(body[:2], "big")], 0
+            while n >= 5 and place + 3 <= len(names):
+                size = int.from_bytes(names[place + 1 : place + 3], "big")
+                name = names[place + 3 : place + 3 + size]
+                if len(name) < size:
                     return None
                 if names[place] == 0:
                     return name.decode("ascii", "ignore")
-                place += 3 + n
+                place += 3 + size
             return None
         at += 4 + n
     return None
@@ -99,7 +105,7 @@ def tls_sni(payload: pd.Series) -> pd.Series:
 
 @F.pandas_udf(MapType(StringType(), LongType()))
 def tcp_options(options: pd.Series) -> pd.Series:
-    """MSS, WScale, SAckOK and Timestamp of TCP option bytes."""
+    """MSS, WScale, SAckOK, Timestamp and TimestampEcho of TCP option bytes."""
 
     def one(data):
         out, at = {}, 0
@@ -115,7 +121,7 @@ def tcp_options(options: pd.Series) -> pd.Series:
             elif kind == 4:
                 out["SAckOK"] = 1
             elif kind == 8:
-                out["Timestamp"] = int.from_bytes(body[:4], "big")
+                out["Timestamp"], out["TimestampEcho"] = (int.from_bytes(body[a : a + 4], "big") for a in (0, 4))
             at += data[at + 1]
         return out
 

@@ -132,7 +132,8 @@ def flow_lines(flows: DataFrame) -> DataFrame:
 def frame_lines(packets: DataFrame, preview: int = 32) -> DataFrame:
     """The capture log's lines of each packet, with a preview of its first payload bytes.
 
-    The line of times is written if packets have them (features.with_times).
+    The line of times is written if packets have them (features.with_times); flags of the IP header, TCP
+    sequence numbers, UDP lengths, all VLAN tags and IPv6 as such if packets have what decoded captures have.
     """
     from flowlens.functions.header import hex_preview
     from flowlens.functions.payload import http_parse, tls_sni
@@ -142,17 +143,25 @@ def frame_lines(packets: DataFrame, preview: int = 32) -> DataFrame:
     times = [F.concat(F.lit("ts_epoch="), _six(F.col("ts_epoch")), F.lit(" ts_local="), F.ltrim("ts_local"), F.lit(" t_rel="), _six(F.col("t_rel")), F.lit("s"))] if "ts_local" in packets.columns else []
     tcp, http = F.col("l4_proto") == 6, http_parse(F.col("payload"))
     none = lambda x: F.coalesce(x, F.lit("None"))
+    whole = "tcp_seq" in packets.columns
+    told = lambda lead, x: F.concat(F.lit(lead), x) if whole else F.lit("")
+    vlan = F.concat(F.lit("  VLAN id="), s("vlan_id"), F.lit(" pri="), s("vlan_prio"))
+    if whole:
+        vlan = F.nullif(F.array_join(F.transform("vlan_stack", lambda t: F.concat(F.lit("  VLAN id="), t["id"].cast("string"), F.lit(" pri="), t["prio"].cast("string"))), "\n"), F.lit(""))
+    bits = F.concat_ws("+", F.when(F.col("ip_flags_mf") == 1, "MF"), F.when(F.col("ip_flags_df") == 1, "DF"))
+    v4 = F.concat(F.lit("L3: IPv"), s("ip_version"), F.lit(" "), F.col("ip_src"), F.lit("->"), F.col("ip_dst"), F.lit(" proto="), s("ip_proto"), F.lit(" ttl="), s("ttl_hlim"),
+                  F.lit(" id="), s("ip_id"), told(" flags=", bits), F.lit(" DSCP="), s("dscp"), F.lit(" ECN="), s("ecn"), F.lit(" frag_off="), s("ip_frag_off"))
+    v6 = F.concat(F.lit("L3: IPv6 "), F.col("ip_src"), F.lit("->"), F.col("ip_dst"), F.lit(" nh="), none(s("l4_proto")), F.lit(" hlim="), s("ttl_hlim"), F.lit(" tc="), (F.col("dscp") * 4 + F.col("ecn")).cast("string"))
     lines = [
         F.concat(F.lit("=== Frame "), s("frame_no"), F.lit(" ===")),
         *times,
         F.concat(F.lit("L2: Ethernet src="), F.col("eth_src"), F.lit(" dst="), F.col("eth_dst"), F.lit(" type="), F.col("eth_type")),
-        F.concat(F.lit("  VLAN id="), s("vlan_id"), F.lit(" pri="), s("vlan_prio")),
-        F.concat(F.lit("L3: IPv"), s("ip_version"), F.lit(" "), F.col("ip_src"), F.lit("->"), F.col("ip_dst"), F.lit(" proto="), s("ip_proto"), F.lit(" ttl="), s("ttl_hlim"),
-                 F.lit(" id="), s("ip_id"), F.lit(" DSCP="), s("dscp"), F.lit(" ECN="), s("ecn"), F.lit(" frag_off="), s("ip_frag_off")),
+        vlan,
+        F.when(F.col("ip_version") == 6, v6).otherwise(v4),
         F.when(F.col("ip_version") == 4, F.concat(F.lit("  IPv4_checksum="), ok("ipv4_checksum_ok"))),
-        F.when(tcp, F.concat(F.lit("L4: TCP "), s("sport"), F.lit("->"), s("dport"), F.lit(" flags="), F.col("tcp_flags"), F.lit(" win="), s("tcp_win")))
-        .when(F.col("l4_proto") == 17, F.concat(F.lit("L4: UDP "), s("sport"), F.lit("->"), s("dport"))),
-        F.concat(F.lit("  L4_checksum="), ok("l4_checksum_ok")),
+        F.when(tcp, F.concat(F.lit("L4: TCP "), s("sport"), F.lit("->"), s("dport"), told(" seq=", s("tcp_seq")), told(" ack=", s("tcp_ack")), F.lit(" flags="), F.col("tcp_flags"), F.lit(" win="), s("tcp_win")))
+        .when(F.col("l4_proto") == 17, F.concat(F.lit("L4: UDP "), s("sport"), F.lit("->"), s("dport"), told(" len=", s("udp_len")))),
+        F.when(F.col("l4_proto").isin(6, 17), F.concat(F.lit("  L4_checksum="), ok("l4_checksum_ok"))),
         F.when(tcp, F.concat(F.lit("TLS SNI="), F.nullif(tls_sni(F.col("payload")), F.lit("")))),
         F.when(tcp, F.concat(F.lit("HTTP "), http["method"], F.lit(" host="), none(http["host"]), F.lit(" path="), none(http["path"]))),
         F.concat(F.lit("PayloadPreview("), F.least(F.lit(preview), F.length("payload")).cast("string"), F.lit("B): "), hex_preview(F.col("payload"), preview)),

@@ -313,6 +313,22 @@ add("frame_log_lines", on_packets(lambda p: dashboard.frame_lines(p.where("evide
  || '  IPv4_checksum=' || {_OK.format('ipv4_checksum_ok')} || chr(10)
  || case when l4_proto=6 then 'L4: TCP ' || cast(sport as varchar) || '->' || cast(dport as varchar) || ' flags=' || tcp_flags || ' win=' || cast(tcp_win as varchar) else 'L4: UDP ' || cast(sport as varchar) || '->' || cast(dport as varchar) end || chr(10)
  || '  L4_checksum=' || {_OK.format('l4_checksum_ok')} || chr(10) || 'PayloadPreview(0B): ' as line from pkt where evidence is null""", "pkt")
-add("frame_log_lines_all", on_packets(lambda p: dashboard.frame_lines(with_times(p))))
+_SIX = "cast(cast({0} as decimal(19,0))/1000000 as decimal(19,6))"
+# Payloads of the packet view as hex digits; of a hello as many as a preview shows.
+_BYTES = f"""case evidence when 'http' then hex(encode('GET /p' || cast(k as varchar) || ' HTTP/1.1' || chr(13) || chr(10) || 'User-Agent: x' || chr(13) || chr(10)))
+ when 'reply' then hex(encode('HTTP/1.1 200 OK' || chr(13) || chr(10) || chr(13) || chr(10))) when 'ssh' then hex(encode('SSH-2.0-srv_' || cast(k as varchar) || chr(13) || chr(10)))
+ when 'smb2' then '0000002AFE534D42' when 'smb1' then 'FF534D42' when 'tls0' then '16030100330100002F0303' || repeat('00', 21)
+ when 'tls' then '16030100' || lpad(hex(length(sni) + 60), 2, '0') || '010000' || lpad(hex(length(sni) + 56), 2, '0') || '0303' || repeat('00', 21) else '' end"""
+add("frame_log_lines_all", on_packets(lambda p: dashboard.frame_lines(with_times(p))),
+    f"""select frame_no, '=== Frame ' || cast(frame_no as varchar) || ' ===' || chr(10)
+ || 'ts_epoch=' || cast({_SIX.format('ts_us')} as varchar) || ' ts_local=' || strftime(make_timestamp(ts_us - ts_us%1000), '%Y-%m-%d %H:%M:%S') || '.' || lpad(cast((ts_us//1000)%1000 as varchar), 3, '0') || ' t_rel=' || cast({_SIX.format('(ts_us - t0)')} as varchar) || 's' || chr(10)
+ || 'L2: Ethernet src=' || eth_src || ' dst=' || eth_dst || ' type=' || eth_type || chr(10) || coalesce('  VLAN id=' || cast(vlan_id as varchar) || ' pri=' || cast(vlan_prio as varchar) || chr(10), '')
+ || 'L3: IPv4 ' || ip_src || '->' || ip_dst || ' proto=' || cast(ip_proto as varchar) || ' ttl=' || cast(ttl_hlim as varchar) || ' id=' || cast(ip_id as varchar) || ' DSCP=' || cast(dscp as varchar) || ' ECN=' || cast(ecn as varchar) || ' frag_off=' || cast(ip_frag_off as varchar) || chr(10)
+ || '  IPv4_checksum=' || {_OK.format('ipv4_checksum_ok')} || chr(10)
+ || case when l4_proto=6 then 'L4: TCP ' || cast(sport as varchar) || '->' || cast(dport as varchar) || ' flags=' || tcp_flags || ' win=' || cast(tcp_win as varchar) else 'L4: UDP ' || cast(sport as varchar) || '->' || cast(dport as varchar) end || chr(10)
+ || '  L4_checksum=' || {_OK.format('l4_checksum_ok')} || chr(10) || coalesce('TLS SNI=' || sni || chr(10), '')
+ || coalesce('HTTP ' || hm || ' host=' || case when evidence='http' then hh else 'None' end || ' path=' || hp || chr(10), '')
+ || 'PayloadPreview(' || cast(least(32, length(shown)//2) as varchar) || 'B): ' || trim(regexp_replace(lower(left(shown, 64)), '(..)', '\\1 ', 'g')) as line
+ from (select *, {_BYTES} as shown from keyed) x, (select ts_us as t0 from pkt order by frame_no limit 1) t""", "facts")
 add("log_lines", lambda s, d: dashboard.flow_lines(flows(packets(s, d))).select(F.length("line").cast("long").alias("size"), "line"),
     ORACLE_SQL["flow_summary_lines"].replace("select first_frame_no, ", "select cast(length(line) as bigint) as size, line from (select ", 1) + ") t")

@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowlens.functions import header as h
 
@@ -59,36 +60,81 @@ def _mac(data: Column) -> Column:
     return F.regexp_replace(F.lower(F.hex(data)), "(..)(?=.)", "$1:")
 
 
-def _ip(data: Column) -> Column:
+def _ip4(data: Column) -> Column:
     return F.concat_ws(".", *[F.conv(F.hex(F.substring(data, k, 1)), 16, 10) for k in range(1, 5)])
 
 
+def _ip6(data: Column) -> Column:
+    """16 bytes in the usual short form: the first of the longest runs of zero groups is left out."""
+
+    def short(digits: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(1), F.lit(29), F.lit(4)), lambda k: F.regexp_replace(F.substring(digits, k, F.lit(4)), "^0{1,3}", ""))
+        return h.bound(F.array_join(groups, ":"), shortest)
+
+    def shortest(text: Column) -> Column:
+        out = text
+        for run in range(2, 9):  # the longest that there is decides
+            zeros = f"(?:^|:)0(?::0){{{run - 1}}}(?:$|:)"
+            out = F.when(F.rlike(text, F.lit(zeros)), F.regexp_replace(text, f"^(.*?){zeros}(.*)$", "$1::$2")).otherwise(out)
+        return out
+
+    mapped = F.substring(data, 1, 12) == F.lit(bytes(10) + b"\xff\xff")
+    return F.when(mapped, F.concat(F.lit("::ffff:"), _ip4(F.substring(data, 13, 4)))).otherwise(h.bound(F.lower(F.hex(data)), short))
+
+
+def numbered(frames: DataFrame) -> DataFrame:
+    """Frames of several captures with frame_no running on from one to the next, in order of path."""
+    sizes = frames.groupBy("path").agg(F.max("frame_no").alias("_n"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    starts = sizes.select("path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return frames.join(starts, "path").withColumn("frame_no", F.col("frame_no") + F.col("_before")).drop("_before")
+
+
 def decoded(frames: DataFrame) -> DataFrame:
-    """Packet columns of Ethernet frames with at most one VLAN tag and IPv4; other fields are NULL."""
-    f = frames.withColumn("_tag", h.be16(F.col("frame"), 12) == 0x8100)
-    f = f.withColumn("_at", F.when(F.col("_tag"), 18).otherwise(14))
-    f = f.withColumn("_type", F.when(F.col("_tag"), h.be16(F.col("frame"), 16)).otherwise(h.be16(F.col("frame"), 12)))
-    f = f.withColumn("_ip", F.when(F.col("_type") == 0x0800, F.expr("substring(frame, _at + 1, length(frame))")))
-    f = f.withColumn("ip_ihl_bytes", h.ihl_bytes(h.byte_at(F.col("_ip"), 0)))
-    f = f.withColumn("_l4", F.expr("substring(_ip, ip_ihl_bytes + 1, length(_ip))")).withColumn("ip_proto", h.byte_at(F.col("_ip"), 9))
-    tcp, l4 = F.col("ip_proto") == 6, F.col("ip_proto").isin(6, 17)
+    """Packet columns of Ethernet frames with any VLAN tags and IPv4 or IPv6; other fields are NULL.
+
+    vlan_id and vlan_prio are the outermost tag's, vlan_stack has all.  IPv6 extension headers are not
+    walked: such packets have no ports.  A payload ends where the IP packet does, padding is left out.
+    """
+    tag = F.col("frame")
+    tagged = h.be16(tag, 12).isin(0x8100, 0x88A8)
+    tags = F.when(tagged, F.length(F.regexp_extract(F.hex(F.substring(tag, F.lit(13), F.length(tag))), "^(?:(?:8100|88A8)[0-9A-F]{4})+", 0)) / 8).otherwise(0)
+    f = frames.withColumn("_tags", tags.cast("int")).withColumn("_at", F.col("_tags") * 4 + 14)
+    f = f.withColumn("_type", h.be16(F.col("frame"), F.col("_at") - 2))
+    f = f.withColumn("_ip", F.when(F.col("_type").isin(0x0800, 0x86DD), F.expr("substring(frame, _at + 1, length(frame))")))
+    v4, v6 = F.col("_type") == 0x0800, F.col("_type") == 0x86DD
+    f = f.withColumns({"_head": F.when(v4, h.ihl_bytes(h.byte_at(F.col("_ip"), 0))).when(v6, 40), "_proto": F.when(v4, h.byte_at(F.col("_ip"), 9)).when(v6, h.byte_at(F.col("_ip"), 6))})
+    f = f.withColumn("_l4", F.expr("substring(_ip, _head + 1, length(_ip))"))
+    tcp, udp, l4 = F.col("_proto") == 6, F.col("_proto") == 17, F.col("_proto").isin(6, 17)
     offset = h.tcp_header_bytes(h.byte_at(F.col("_l4"), 12))
-    tos, word = h.byte_at(F.col("_ip"), 1), h.be16(F.col("_ip"), 6)
+    stated = F.when(v4, h.be16(F.col("_ip"), 2) - F.col("_head")).otherwise(F.nullif(h.be16(F.col("_ip"), 4), F.lit(0)))
+    size = F.when(stated >= 0, F.least(stated, F.length("_l4"))).otherwise(F.length("_l4"))
+    tos, word = F.when(v4, h.byte_at(F.col("_ip"), 1)), F.when(v4, h.be16(F.col("_ip"), 6))
+    traffic = F.when(v4, tos).otherwise(F.shiftright(h.be16(F.col("_ip"), 0), 4).bitwiseAND(255))
+    only4 = lambda x: F.when(v4, x)
+    address = lambda at4, at6: F.when(v4, _ip4(F.substring("_ip", at4, 4))).when(v6, _ip6(F.substring("_ip", at6, 16)))
+    raw = lambda at4, at6: F.when(v4, F.substring("_ip", at4, 4)).otherwise(F.substring("_ip", at6, 16))
+    long_at = lambda at: F.conv(F.hex(F.substring("_l4", at + 1, 4)), 16, 10).cast("long")
     bits = h.byte_at(F.col("_l4"), 13)
     letters = F.concat(*[F.when(bits.bitwiseAND(b) != 0, x).otherwise("") for x, b in (("F", 1), ("S", 2), ("R", 4), ("P", 8), ("A", 16), ("U", 32))])
+    control = lambda at: h.be16(F.col("frame"), at)
+    stack = F.transform(
+        F.when(F.col("_tags") > 0, F.sequence(F.lit(0), F.col("_tags") - 1)),
+        lambda k: F.struct(control(k * 4 + 14).bitwiseAND(0xFFF).alias("id"), F.shiftright(control(k * 4 + 14), 13).alias("prio")),
+    )
     return f.select(
         "frame_no", "ts_us", F.length("frame").cast("long").alias("len_bytes"),
         _mac(F.substring("frame", 7, 6)).alias("eth_src"), _mac(F.substring("frame", 1, 6)).alias("eth_dst"),
-        h.ethertype_hex(h.be16(F.col("frame"), 12)).alias("eth_type"),
-        F.when(F.col("_tag"), h.be16(F.col("frame"), 14).bitwiseAND(0xFFF)).alias("vlan_id"),
-        F.when(F.col("_tag"), F.shiftright(h.be16(F.col("frame"), 14), 13)).alias("vlan_prio"),
-        F.shiftright(h.byte_at(F.col("_ip"), 0), 4).alias("ip_version"), tos.alias("ip_tos"), h.dscp(tos).alias("dscp"), h.ecn(tos).alias("ecn"),
-        h.be16(F.col("_ip"), 2).alias("ip_total_len"), h.be16(F.col("_ip"), 4).alias("ip_id"), *[v.alias(n) for n, v in h.fragment_fields(word).items()],
-        h.byte_at(F.col("_ip"), 8).alias("ttl_hlim"), "ip_proto", h.be16(F.col("_ip"), 10).alias("ip_hdr_checksum"),
-        h.ipv4_checksum_ok(F.expr("substring(_ip, 1, ip_ihl_bytes)")).alias("ipv4_checksum_ok"),
-        _ip(F.substring("_ip", 13, 4)).alias("ip_src"), _ip(F.substring("_ip", 17, 4)).alias("ip_dst"), "ip_ihl_bytes",
-        F.when(l4, F.col("ip_proto")).alias("l4_proto"), F.when(l4, h.be16(F.col("_l4"), 0)).alias("sport"), F.when(l4, h.be16(F.col("_l4"), 2)).alias("dport"),
+        h.ethertype_hex(control(12)).alias("eth_type"),
+        F.when(tagged, control(14).bitwiseAND(0xFFF)).alias("vlan_id"), F.when(tagged, F.shiftright(control(14), 13)).alias("vlan_prio"), stack.alias("vlan_stack"),
+        F.shiftright(h.byte_at(F.col("_ip"), 0), 4).alias("ip_version"), tos.alias("ip_tos"), h.dscp(traffic).alias("dscp"), h.ecn(traffic).alias("ecn"),
+        only4(h.be16(F.col("_ip"), 2)).alias("ip_total_len"), only4(h.be16(F.col("_ip"), 4)).alias("ip_id"), *[v.alias(n) for n, v in h.fragment_fields(word).items()],
+        F.when(v4, h.byte_at(F.col("_ip"), 8)).otherwise(h.byte_at(F.col("_ip"), 7)).alias("ttl_hlim"), only4(F.col("_proto")).alias("ip_proto"),
+        only4(h.be16(F.col("_ip"), 10)).alias("ip_hdr_checksum"), only4(h.ipv4_checksum_ok(F.expr("substring(_ip, 1, _head)"))).alias("ipv4_checksum_ok"),
+        address(13, 9).alias("ip_src"), address(17, 25).alias("ip_dst"), only4(F.col("_head")).alias("ip_ihl_bytes"),
+        F.when(l4, F.col("_proto")).alias("l4_proto"), F.when(l4, h.be16(F.col("_l4"), 0)).alias("sport"), F.when(l4, h.be16(F.col("_l4"), 2)).alias("dport"),
         F.when(tcp, letters).otherwise("").alias("tcp_flags"), F.when(tcp, h.be16(F.col("_l4"), 14)).alias("tcp_win"), F.when(tcp, offset).alias("tcp_hdr_len"),
-        h.l4_checksum_ok(F.lit(4), F.col("ip_proto"), F.substring("_ip", 13, 4), F.substring("_ip", 17, 4), F.col("_l4")).alias("l4_checksum_ok"),
-        F.when(tcp, F.substring(F.col("_l4"), offset + 1, F.length("_l4"))).otherwise(F.lit(b"")).alias("payload"),
+        F.when(tcp, long_at(4)).alias("tcp_seq"), F.when(tcp, long_at(8)).alias("tcp_ack"), F.when(udp, h.be16(F.col("_l4"), 4)).alias("udp_len"),
+        h.l4_checksum_ok(F.when(v4, 4).when(v6, 6), F.col("_proto"), raw(13, 9), raw(17, 25), F.col("_l4")).alias("l4_checksum_ok"),
+        F.when(tcp, F.substring(F.col("_l4"), offset + 1, F.greatest(size - offset, F.lit(0)))).otherwise(F.lit(b"")).alias("payload"),
     )
