@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, fingerprints, line_dedup, mixing, neighbours, ngram_join, packing, substring_dedup, tokens, toxicity
+from flowlens.llm import chat, fingerprints, line_dedup, manifest, mixing, neighbours, ngram_join, packing, runs, substring_dedup, token_counts, tokens, toxicity
+from flowlens.llm.common import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +84,36 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "line_count", "lines_removed", "text")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs, digest_only=True).withColumn("_best", runs.longest_run(F.col("runs")))
+    best = {c: F.col(f"_best.{c}") for c in ("start", "length", "period")}
+    milli = F.floor(best["length"] * 1000 / best["period"]).cast("long")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[v.alias(k) for k, v in best.items()], milli.alias("exponent_milli"),
+        F.sha2(runs.run_lines(F.col("runs")), 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"),
+    )
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    head, text = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.col("text")
+    changed = manifest.tampered(text, F.col("doc_id"))
+    other = F.when(changed != text, manifest.leaf_digest(*head, changed))
+    leaves = docs.select("doc_id", "source", manifest.leaf_digest(*head, text).alias("leaf"), other.alias("tampered"))
+    proved = manifest.merkle_manifest(leaves).withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return proved.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: Tokens beyond which a document is over the limit.
+TOKEN_LIMIT = 2048
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), shared_path(spark, "token-counts"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -94,9 +125,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_chat": op9_chat,
     "op10_line_dedup": op10_line_dedup,
+    "op11_runs": op11_runs,
+    "op12_manifest": op12_manifest,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_chat": chat.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_manifest": manifest.ORACLE_SQL,
 }
