@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import partitions
+from flowlens.llm.common import partitions, written
+from flowlens.llm.tokens import _byte_letters
 
-#: Bytes of pieces remembered by a worker, and the longest piece worth it.
-REMEMBERED_BYTES = 24_000_000
+#: Bytes of pieces remembered by a worker in each of two generations, and the longest piece worth it.
+REMEMBERED_BYTES = 30_000_000
 LONGEST_REMEMBERED = 64
+_MARKS = b".,;:!?"
 CACHE = "tokenizer string, digest binary, n_tokens long"
 _counters: dict[str, Counter] = {}
 
@@ -45,6 +47,16 @@ def _drops_blanks(file: dict) -> bool:
     return bool(folds and known and drops and apart and not file["post_processor"] and not (file["model"].get("dropout") or 0))
 
 
+def _takes_words(file: dict) -> bool:
+    """Whether letters without a break are one pre-token, spelt in bytes, and a mark behind them is another."""
+    split, *rest = (file["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    kinds = (split.get("pattern") or {}).get("Regex", "").split("|")
+    letters, others = "[\\p{L}]+", "[^\\s\\p{L}\\p{N}]+"
+    if letters not in kinds or kinds[-1] != others or not all(k.startswith("'") for k in kinds[: kinds.index(letters)]):
+        return False
+    return [(r["type"], r.get("use_regex"), r.get("add_prefix_space")) for r in rest] == [("ByteLevel", False, False)]
+
+
 class Counter:
     """Numbers of tokens by a tokenizers (.json) or sentencepiece (.model) file, without added tokens."""
 
@@ -53,7 +65,7 @@ class Counter:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.in_pieces = False
+            self.in_pieces = self.by_words = False
             self._counts = lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
         else:
             import os
@@ -64,10 +76,17 @@ class Counter:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            self.in_pieces = _drops_blanks(json.loads(tokenizer.to_str()))
+            file = json.loads(tokenizer.to_str())
+            self.in_pieces = _drops_blanks(file)
+            self.by_words = self.in_pieces and _takes_words(file)
+            self.model, self.letters = tokenizer.model, _byte_letters()
             self._counts = lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         self.known: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
         self.held = 0
+        if self.by_words:
+            marks = [bytes([m]) for m in _MARKS]
+            self.marks = dict(zip(marks, self._counts([m.decode() for m in marks]), strict=True))
 
     @classmethod
     def at(cls, path: str) -> Counter:
@@ -75,14 +94,37 @@ class Counter:
             _counters[path] = cls(path)
         return _counters[path]
 
+    def _word(self, piece: bytes) -> int | None:
+        """Tokens of Latin letters and perhaps a mark behind them; None for anything else."""
+        mark = piece[-1:]
+        word = piece[:-1] if mark in self.marks else piece
+        if word.isalpha():
+            spelt = word.lower().decode()
+        else:
+            spelt = word.decode()
+            if not spelt.isalpha() or max(spelt) > "\xff":
+                return None
+            spelt = spelt.lower().encode().decode("latin-1").translate(self.letters)
+        return len(self.model.tokenize(spelt)) + self.marks.get(mark, 0)
+
     def _learn(self, pieces: list[bytes]) -> dict[bytes, int]:
-        """Counts of pieces; short ones are remembered."""
-        counts = dict(zip(pieces, self._counts([p.decode() for p in pieces]), strict=True))
+        """Counts of pieces.  Short ones are remembered; of those long unseen, the older half is forgotten at times."""
+        counts, rest = {}, []
+        for p in pieces:
+            n = self.older.get(p)
+            if n is None and self.by_words and len(p) <= LONGEST_REMEMBERED:
+                n = self._word(p)
+            if n is None:
+                rest.append(p)
+            else:
+                counts[p] = n
+        if rest:
+            counts.update(zip(rest, self._counts([p.decode() for p in rest]), strict=True))
         short = {p: n for p, n in counts.items() if len(p) <= LONGEST_REMEMBERED}
         self.held += sum(map(len, short)) + 100 * len(short)
-        if self.held > REMEMBERED_BYTES:
-            self.known, self.held = {}, 0
         self.known.update(short)
+        if self.held > REMEMBERED_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
         return counts
 
     def count(self, text: bytes) -> int:
@@ -167,6 +209,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     counts = texts.mapInArrow(encode, "digest binary, n_tokens long").select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
     counts.write.mode("append").partitionBy("tokenizer").parquet(cache)
     counts = cached_counts(spark, cache, version)
+    if counts is not None:
+        counts = written(counts, "token-counts-of-all")  # joined as it is read, so that adaptive execution can split frequent digests
     own = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest)
     if counts is None:  # an empty table has added no folder
