@@ -4,36 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from flowlens.functions.header import ts_local
-from flowlens.operators.flows import KEY, running
+from flowlens.operators.flowkey import with_flow_key
+from flowlens.operators.flows import KEY, SEGMENT, reassembled, running
 from flowlens.schema import FEATURE_COLS, SSH_SMB
 
 
-def with_address_counts(packets: DataFrame) -> DataFrame:
+def with_address_counts(packets: DataFrame, width: int = SEGMENT) -> DataFrame:
     """Running numbers of MACs per source IP and IPs per source MAC, and what follows from them.
 
     A pair counts where it comes first; sums of these are running distinct counts.
+    Pairs are gathered by segments of frame numbers, a row each: they tell where a
+    pair comes first, and how many pairs an address has had before a segment.
+    Packets sum up inside a segment of their address only, so one address with all
+    packets, or packets without one, make no large task.
     """
-    ip, mac = F.trim("ip_src"), F.lower(F.trim("eth_src"))
-    known = ip.isNotNull() & mac.isNotNull()
-    df = packets.withColumns({"_ip": F.when(known, ip), "_mac": F.when(known, mac)})
-    pair = Window.partitionBy("_ip", "_mac").orderBy("frame_no")
-    df = df.withColumn("_new", (known & (F.row_number().over(pair) == 1)).cast("long"))
-    so_far = lambda c: Window.partitionBy(c).orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
-    macs, ips = F.sum("_new").over(so_far("_ip")), F.sum("_new").over(so_far("_mac"))
-    df = df.withColumns({"src_ip_mac_seen_mac_count": F.when(known, macs).cast("int"), "src_mac_ip_seen_ip_count": F.when(known, ips).cast("int")})
-    n, m = F.col("src_ip_mac_seen_mac_count"), F.col("src_mac_ip_seen_ip_count")
-    df = df.withColumns(
-        {
-            "src_ip_mac_consistent": (n <= 1).cast("int"),
-            "src_mac_ip_spoof_suspect": F.when(known, ((n > 1) | (m > 5)).cast("int")).otherwise(0),
-            "src_ip_mac_seen_mac_count": F.coalesce(n, F.lit(0)),
-            "src_mac_ip_seen_ip_count": F.coalesce(m, F.lit(0)),
-        }
+    known = "trim(ip_src) is not null and lower(trim(eth_src)) is not null"
+    df = packets.selectExpr("*", f"if({known}, trim(ip_src), null) as _ip", f"if({known}, lower(trim(eth_src)), null) as _mac", f"frame_no div {width} as _segment")
+    pairs = df.where("_ip is not null").groupBy("_ip", "_mac", "_segment").agg(F.min("frame_no").alias("_first"))
+    pairs = pairs.selectExpr("*", "cast(_first = min(_first) over (partition by _ip, _mac) as bigint) as _new")
+    df = df.join(pairs.where("_new = 1").select(F.col("_first").alias("frame_no"), "_new"), "frame_no", "left")
+    for key, count in (("_ip", "_macs"), ("_mac", "_ips")):
+        sums = pairs.groupBy(key, "_segment").agg(F.sum("_new").alias("_n"))
+        before = sums.selectExpr(key, "_segment", f"sum(_n) over (partition by {key} order by _segment rows between unbounded preceding and 1 preceding) as _before")
+        df = df.selectExpr("*", f"sum(_new) over (partition by {key}, _segment order by frame_no rows between unbounded preceding and current row) as _own")
+        df = df.join(before, [key, "_segment"], "left").selectExpr("*", f"if(_ip is null, 0, cast(coalesce(_own, 0) + coalesce(_before, 0) as int)) as {count}").drop("_own", "_before")
+    return df.selectExpr(
+        *packets.columns,
+        "if(_ip is null, null, cast(_macs <= 1 as int)) as src_ip_mac_consistent", "_macs as src_ip_mac_seen_mac_count", "_ips as src_mac_ip_seen_ip_count",
+        "if(_ip is null, 0, cast(_macs > 1 or _ips > 5 as int)) as src_mac_ip_spoof_suspect",
     )
-    return df.drop("_ip", "_mac", "_new")
 
 
 def with_times(packets: DataFrame) -> DataFrame:
@@ -45,10 +46,11 @@ def with_times(packets: DataFrame) -> DataFrame:
     ).drop("_start")
 
 
-def features(packets: DataFrame, wide: bool = False) -> DataFrame:
+def features(packets: DataFrame, wide: bool = False, width: int = SEGMENT) -> DataFrame:
     """The 78-column feature table; `wide` adds the SSH and SMB columns."""
     flows = [c for c in FEATURE_COLS if c.startswith("flow_")] + SSH_SMB
-    df = running(with_address_counts(with_times(packets)))
+    evidence = reassembled(with_flow_key(packets).where("flow_proto is not null"))
+    df = running(with_address_counts(with_times(packets), width), width, evidence)
     texts = {"flow_protocol_hint": "unknown", "flow_risk_level": "low", "flow_risk_reason": "flow_normal"}
     kinds = dict(df.dtypes)
     in_flow = F.col("flow_proto").isNotNull()

@@ -1,106 +1,150 @@
-"""Flow state: one set of measures, as a final table per flow or running per packet.
+"""Flow state: one set of accumulators, as a final table per flow or running per packet.
 
-Order is that of arrival, frame_no.  All windows of a flow share one partitioning
-and order, so packets are shuffled and sorted once.
+Order is that of arrival, frame_no.  Flows are cut into segments of frame numbers,
+so that no task gets more than a segment of a flow, however long that is.  Every
+accumulator has a way to be merged: segments are summed up by themselves, a scan
+over a flow's segments gives what stands before each of them, and packets add
+that to what their own segment had so far.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from flowlens.functions.payload import http_head, server_name, smb_version, ssh_banner
 from flowlens.operators.flowkey import KEY, with_flow_key
 from flowlens.operators.rules import with_flow_risk
 from flowlens.schema import FLOW_COLS, HTTP_BUFFER, HTTP_PORTS, LOW_TTL, SMB_PORT, SSH_PORT, TLS_PORT, USUAL_DSCP
 
-
-def _by_flow(*more: str):
-    return Window.partitionBy(*KEY, *more).orderBy("frame_no")
-
-
-def _flag(letter: str) -> Column:
-    return F.contains(F.upper(F.coalesce(F.col("tcp_flags"), F.lit(""))), F.lit(letter))
+#: Frame numbers of a segment: the most packets of one flow that a task holds.
+SEGMENT = 1 << 18
 
 
 def _either(*ports: int) -> Column:
     return F.col("sport").isin(*ports) | F.col("dport").isin(*ports)
 
 
-def _with_proofs(packets: DataFrame) -> DataFrame:
-    """Flow key, direction and payload evidence of each packet."""
-    tcp = F.col("l4_proto") == 6
-    return with_flow_key(packets).withColumns({"_banner": F.when(tcp, ssh_banner(F.col("payload"))), "_smb": F.when(tcp, smb_version(F.col("payload")))})
+def with_proofs(packets: DataFrame) -> DataFrame:
+    """Flow key, direction and payload evidence of each packet; few payloads are looked at closely."""
+    data = F.col("payload")
+    banner = F.when((F.col("l4_proto") == 6) & F.contains(data, F.lit(b"SSH-")), ssh_banner(data))
+    smb = F.when((F.col("l4_proto") == 6) & F.contains(data, F.lit(b"SMB")), smb_version(data))
+    return with_flow_key(packets).withColumns({"_banner": banner, "_smb": smb})
 
 
-def _with_times_between(keyed: DataFrame, *more: str) -> DataFrame:
-    """Time since the flow's last packet, and final ACKs; a flow's packets are those of a key, and of `more`."""
-    s, a = _flag("S"), _flag("A")
-    first_synack = F.min(F.when(s & a, F.col("frame_no"))).over(Window.partitionBy(*KEY, *more))
-    return keyed.withColumn("iat_us", F.col("ts_us") - F.lag("ts_us").over(_by_flow(*more))).withColumn(
-        "_final_ack", F.coalesce(a & ~s & (F.col("frame_no") > first_synack), F.lit(False))
-    )
+def _has(letter: str) -> str:
+    return f"contains(upper(coalesce(tcp_flags, '')), '{letter}')"
 
 
-def with_packet_facts(packets: DataFrame) -> DataFrame:
-    """Flow key, direction, time since the flow's last packet, final ACKs and payload evidence of each packet of a flow."""
-    return _with_times_between(_with_proofs(packets).where("flow_proto is not null"))
+def _either_sql(*ports: int) -> str:
+    listed = ", ".join(map(str, ports))
+    return f"(sport in ({listed}) or dport in ({listed}))"
 
 
-def measures(over: Callable[[Column], Column], distinct: Callable[[Column], Column]) -> dict[str, Column]:
-    """Every measure of a flow; `over` turns an aggregate into a window or leaves it."""
-    c = F.col
-    total = lambda x: over(F.sum(x.cast("long")))
-    seen = lambda x: over(F.max(x.cast("int")))
-    s, a, fwd, tcp = _flag("S"), _flag("A"), c("fwd"), c("l4_proto") == 6
-    v4 = c("ip_version") == 4
-    first, last = over(F.min_by("ts_us", "frame_no")), over(F.max_by("ts_us", "frame_no"))
-    ms = {
-        "pkts": over(F.count(F.lit(1))),
-        "bytes": total(c("len_bytes")),
-        "duration_us": last - first,
-        "iat_min_us": over(F.min("iat_us")),
-        "iat_max_us": over(F.max("iat_us")),
-        "fwd_pkts": total(fwd),
-        "rev_pkts": total(~fwd),
-        "fwd_bytes": total(F.when(fwd, c("len_bytes")).otherwise(0)),
-        "rev_bytes": total(F.when(~fwd, c("len_bytes")).otherwise(0)),
-        "syn_count": total(tcp & s),
-        "ack_count": total(tcp & a),
-        "fin_count": total(tcp & _flag("F")),
-        "rst_count": total(tcp & _flag("R")),
-        "psh_count": total(tcp & _flag("P")),
-        "syn_seen": seen(tcp & s & ~a),
-        "synack_seen": seen(tcp & s & a),
-        "ack_seen_after_synack": seen(tcp & c("_final_ack")),
-        "bad_ip_checksum_count": total(v4 & (F.coalesce(c("ipv4_checksum_ok"), F.lit(1)) == 0)),
-        "bad_l4_checksum_count": total((F.coalesce(c("l4_checksum_ok"), F.lit(1)) == 0) & ~(tcp & (F.coalesce(c("tcp_flags"), F.lit("")) == "A"))),
-        "frag_count": total(v4 & ((c("ip_flags_mf") == 1) | (c("ip_frag_off") > 0))),
-        "low_ttl_count": total(v4 & (c("ttl_hlim") > 0) & (c("ttl_hlim") < LOW_TTL)),
-        "unusual_dscp_count": total(v4 & ~c("dscp").isin(*USUAL_DSCP)),
-        "unique_sports": distinct(c("sport")),
-        "unique_dports": distinct(c("dport")),
-        "first_frame_no": over(F.min("frame_no")),
-        "last_frame_no": over(F.max("frame_no")),
-        "http_port": seen(tcp & _either(*HTTP_PORTS)),
-        "tls_port": seen(tcp & _either(TLS_PORT)),
-        "reasons": None,
+def accumulators() -> dict[str, tuple[str, str]]:
+    """What is gathered of a flow: name -> (kind, a packet's value as SQL).
+
+    sum, least and greatest are over values; first and last are the value, if
+    any, of the earliest and latest packet that has one.  iat_us is the time
+    since the flow's last packet.  SQL texts are one call each to build, where
+    columns would be some hundred.
+    """
+    s, a, tcp, v4 = _has("S"), _has("A"), "l4_proto = 6", "ip_version = 4"
+    count = lambda x: ("sum", f"cast(coalesce({x}, false) as bigint)")
+    seen = lambda x: ("greatest", f"cast(coalesce({x}, false) as int)")
+    out = {
+        "pkts": ("sum", "1L"),
+        "bytes": ("sum", "cast(len_bytes as bigint)"),
+        "start": ("first", "ts_us"),
+        "end": ("last", "ts_us"),
+        "iat_min_us": ("least", "iat_us"),
+        "iat_max_us": ("greatest", "iat_us"),
+        "fwd_pkts": count("fwd"),
+        "rev_pkts": count("not fwd"),
+        "fwd_bytes": ("sum", "cast(if(fwd, len_bytes, 0) as bigint)"),
+        "rev_bytes": ("sum", "cast(if(not fwd, len_bytes, 0) as bigint)"),
+        "syn_count": count(f"{tcp} and {s}"),
+        "ack_count": count(f"{tcp} and {a}"),
+        "fin_count": count(f"{tcp} and {_has('F')}"),
+        "rst_count": count(f"{tcp} and {_has('R')}"),
+        "psh_count": count(f"{tcp} and {_has('P')}"),
+        "syn_seen": seen(f"{tcp} and {s} and not {a}"),
+        "synack_at": ("least", f"if({tcp} and {s} and {a}, frame_no, null)"),
+        "ack_at": ("greatest", f"if({tcp} and {a} and not {s}, frame_no, null)"),
+        "bad_ip_checksum_count": count(f"{v4} and coalesce(ipv4_checksum_ok, 1) = 0"),
+        "bad_l4_checksum_count": count(f"coalesce(l4_checksum_ok, 1) = 0 and not coalesce({tcp} and coalesce(tcp_flags, '') = 'A', false)"),
+        "frag_count": count(f"{v4} and (ip_flags_mf = 1 or ip_frag_off > 0)"),
+        "low_ttl_count": count(f"{v4} and ttl_hlim > 0 and ttl_hlim < {LOW_TTL}"),
+        "unusual_dscp_count": count(f"{v4} and dscp not in ({', '.join(map(str, USUAL_DSCP))})"),
+        "first_frame_no": ("least", "frame_no"),
+        "last_frame_no": ("greatest", "frame_no"),
+        "http_port": seen(f"{tcp} and {_either_sql(*HTTP_PORTS)}"),
+        "tls_port": seen(f"{tcp} and {_either_sql(TLS_PORT)}"),
     }
-    del ms["reasons"]
+    for port in ("sport", "dport"):
+        out |= {f"{port}_low": ("least", port), f"{port}_high": ("greatest", port)}
     for name, found, port in (("ssh", "_banner", SSH_PORT), ("smb", "_smb", SMB_PORT)):
-        proof, by_port = c(found).isNotNull(), tcp & _either(port)
-        ms |= {
+        proof, by_port = f"{found} is not null", f"{tcp} and {_either_sql(port)}"
+        out |= {
             f"{name}_payload_detected": seen(proof),
-            f"{name}_seen": seen(proof | by_port),
-            # the last packet that says anything decides
-            f"{name}_port_fallback": F.coalesce(over(F.max_by(F.when(proof, 0).when(by_port, 1), F.when(proof | by_port, c("frame_no")))), F.lit(0)),
-            f"{name}_evidence": over(F.min_by(found, F.when(proof, c("frame_no")))),
+            f"{name}_seen": seen(f"{proof} or {by_port}"),
+            f"{name}_fallback": ("last", f"case when {proof} then 0 when {by_port} then 1 end"),
+            f"{name}_found": ("first", found),
         }
-    return {k: F.coalesce(v, F.lit(0)) if k.endswith(("_us", "_pkts", "_bytes", "_count", "_seen", "_synack", "_port", "_detected")) else v for k, v in ms.items()}
+    return out
+
+
+KINDS = {name: kind for name, (kind, _) in accumulators().items()}
+_AGGREGATE = {"sum": "sum", "least": "min", "greatest": "max", "first": "min", "last": "max"}
+
+
+def _gathered(name: str) -> str:
+    """SQL of an accumulator over packets; first and last hold the frame number before the value."""
+    kind, value = accumulators()[name]
+    if kind in ("first", "last"):
+        value = f"if(({value}) is null, null, struct(frame_no as at, {value} as value))"
+    return f"{_AGGREGATE[kind]}({value})"
+
+
+def _merged(name: str, *parts: str) -> str:
+    if KINDS[name] == "sum":
+        return " + ".join(f"coalesce({p}, 0L)" for p in parts)
+    return f"{'least' if KINDS[name] in ('least', 'first') else 'greatest'}({', '.join(parts)})"
+
+
+def _in_segments(keyed: DataFrame, width: int) -> DataFrame:
+    """Adds _flow, _segment and iat_us since the flow's last packet in the segment."""
+    lone = ", _lone" if "_lone" in keyed.columns else ""
+    df = keyed.selectExpr("*", f"struct({', '.join(KEY)}{lone}) as _flow", f"frame_no div {width} as _segment")
+    return df.selectExpr("*", "ts_us - lag(ts_us) over (partition by _flow, _segment order by frame_no) as iat_us")
+
+
+def _segment_sums(packets: DataFrame) -> DataFrame:
+    """_flow, _segment and the accumulators of each segment, with the time to the segment before in iat_*."""
+    sums = packets.groupBy("_flow", "_segment").agg(*[F.expr(f"{_gathered(name)} as {name}") for name in KINDS])
+    # A row per segment of a flow.
+    sums = sums.selectExpr("*", "start.value - lag(end.value) over (partition by _flow order by _segment) as _gap")
+    kept = [n for n in KINDS if not n.startswith("iat_")]
+    return sums.selectExpr("_flow", "_segment", *kept, "least(iat_min_us, _gap) as iat_min_us", "greatest(iat_max_us, _gap) as iat_max_us")
+
+
+def _measures(prefix: str = "") -> list[str]:
+    """SQL of a flow's measures of its accumulators; those of counts and times are 0 where there is none."""
+    value = lambda n: f"{prefix}{n}.value" if KINDS[n] in ("first", "last") else f"{prefix}{n}"
+    plain = [n for n in KINDS if n.endswith(("_us", "pkts", "bytes", "_count", "_seen", "_port", "_detected"))]
+    out = {n: f"coalesce({value(n)}, 0)" for n in plain} | {n: value(n) for n in ("first_frame_no", "last_frame_no")}
+    out |= {
+        "duration_us": f"coalesce({value('end')} - {value('start')}, 0L)",
+        "synack_seen": f"cast({value('synack_at')} is not null as int)",
+        "ack_seen_after_synack": f"cast(coalesce({value('ack_at')} > {value('synack_at')}, false) as int)",
+    }
+    for port in ("sport", "dport"):  # of which a flow has at most its key's two
+        out[f"unique_{port}s"] = f"cast(coalesce(1 + cast({value(port + '_low')} <> {value(port + '_high')} as int), 0) as bigint)"
+    for proto in ("ssh", "smb"):
+        out |= {f"{proto}_port_fallback": f"coalesce({value(proto + '_fallback')}, 0)", f"{proto}_evidence": value(f"{proto}_found")}
+    return [f"{v} as {k}" for k, v in out.items()]
 
 
 def reassembled(facts: DataFrame) -> DataFrame:
@@ -195,35 +239,44 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({n: f"flow_{n}" for n in names if n in df.columns})
 
 
-def _few(x: Column) -> Column:
-    """Number of different values, of which a flow has at most its key's two."""
-    return F.coalesce(F.lit(1) + (F.min(x) != F.max(x)).cast("int"), F.lit(0)).cast("long")
-
-
-def flows(packets: DataFrame) -> DataFrame:
-    """The 56-column flow table, and first_frame_no.
-
-    Texts that prove a protocol are taken from the few packets that hold them and
-    joined to the flows, so the sums over all packets are hashed and not sorted.
-    """
-    keyed = _with_proofs(packets).where("flow_proto is not null")
-    all_measures = measures(lambda x: x, _few)
-    texts = {k: all_measures.pop(k) for k in ("ssh_evidence", "smb_evidence")}
-    final = _with_times_between(keyed).groupBy(*KEY).agg(*[v.alias(k) for k, v in all_measures.items()])
-    proofs = keyed.where("_banner is not null or _smb is not null").groupBy(*KEY).agg(*[v.alias(k) for k, v in texts.items()])
-    state = with_evidence(final.join(proofs, KEY, "left").join(reassembled(keyed), KEY, "left"), "last_frame_no")
+def flows(packets: DataFrame, width: int = SEGMENT) -> DataFrame:
+    """The 56-column flow table, and first_frame_no."""
+    keyed = with_proofs(packets).where("flow_proto is not null")
+    sums = _segment_sums(_in_segments(keyed, width))
+    whole = sums.groupBy("_flow").agg(*[F.expr(f"{_AGGREGATE[kind]}({name}) as {name}") for name, kind in KINDS.items()])
+    state = whole.selectExpr(*[f"_flow.{k} as {k}" for k in KEY], *_measures())
+    state = with_evidence(state.join(reassembled(keyed), KEY, "left"), "last_frame_no")
     return with_flow_risk(_named(state)).select(*FLOW_COLS, "first_frame_no")
 
 
-def running(packets: DataFrame) -> DataFrame:
+def running(packets: DataFrame, width: int = SEGMENT, evidence: DataFrame | None = None) -> DataFrame:
     """Packets with the state of their flow up to and including them.
 
-    Packets of no flow stay, each by itself, with an empty key.
+    Packets of no flow stay, each by itself, with an empty key.  evidence is
+    reassembled() of the same packets, where the caller has it from a shorter plan.
     """
-    keyed = _with_proofs(packets).withColumn("_lone", F.when(F.col("flow_proto").isNull(), F.col("frame_no")))
-    facts = _with_times_between(keyed, "_lone")
-    so_far = _by_flow("_lone").rowsBetween(Window.unboundedPreceding, 0)
-    distinct = lambda x: F.size(F.collect_set(x).over(so_far)).cast("long")  # at most the two ports
-    state = facts.withColumns(measures(lambda x: x.over(so_far), distinct))
-    evidence = reassembled(keyed.where("flow_proto is not null"))
-    return with_flow_risk(_named(with_evidence(state.join(evidence, KEY, "left"), "frame_no"))).drop("_lone")
+    keyed = with_proofs(packets).withColumn("_lone", F.when(F.col("flow_proto").isNull(), F.col("frame_no")))
+    if evidence is None:
+        evidence = reassembled(keyed.where("flow_proto is not null"))
+    cut, columns = _in_segments(keyed, width), keyed.columns
+    before = "over (partition by _flow order by _segment rows between unbounded preceding and 1 preceding)"  # a row per segment
+    carried = ", ".join(f"{_AGGREGATE[kind]}({n}) {before} as {n}" for n, kind in KINDS.items())
+    carry = _segment_sums(cut).selectExpr("_flow", "_segment", f"struct({carried}) as _before", *[f"_flow.{k} as {k}" for k in KEY])
+    found = [c for c in evidence.columns if c not in KEY]
+    carry = carry.join(evidence, KEY, "left").select("_flow", "_segment", "_before", *found)
+    here = "over (partition by _flow, _segment order by frame_no rows between unbounded preceding and current row)"
+    own = cut.selectExpr("*", *[f"{_gathered(n)} {here} as _own_{n}" for n in KINDS])
+    gap = "_own_start.value - _before.end.value"  # from the segment before to this one
+    merged = {n: _merged(n, f"_before.{n}", f"_own_{n}", *([gap] if n.startswith("iat_") else [])) for n in KINDS}
+    state = own.join(carry, ["_flow", "_segment"]).selectExpr(*columns, *found, f"struct({', '.join(f'{v} as {n}' for n, v in merged.items())}) as _state")
+    state = state.selectExpr(*columns, *found, *_measures("_state."))
+    return with_flow_risk(_named(with_evidence(state, "frame_no"))).drop("_lone")
+
+
+def times_between(packets: DataFrame, width: int = SEGMENT) -> DataFrame:
+    """Packets of flows with their key and iat_us, the time since the flow's last packet; NULL for its first."""
+    cut = _in_segments(with_flow_key(packets).where("flow_proto is not null"), width)
+    ends = cut.groupBy("_flow", "_segment").agg(F.max(F.struct("frame_no", "ts_us")).alias("_end"))
+    ends = ends.selectExpr("_flow", "_segment", "lag(_end.ts_us) over (partition by _flow order by _segment) as _last")
+    whole = cut.join(ends, ["_flow", "_segment"])
+    return whole.withColumn("iat_us", F.coalesce("iat_us", F.col("ts_us") - F.col("_last"))).drop("_flow", "_segment", "_last")

@@ -12,7 +12,7 @@ from flowlens.functions.capture_filter import default_filter
 from flowlens.operators import dashboard, scores as scoring
 from flowlens.operators.features import features, with_address_counts, with_times
 from flowlens.operators.flowkey import KEY, with_flow_key
-from flowlens.operators.flows import flows, running, with_packet_facts
+from flowlens.operators.flows import flows, running, times_between
 from flowlens.operators.rules import coerced, with_heuristics
 from flowlens.plans.oracle import sql
 from flowlens.plans.packets import packets
@@ -189,7 +189,7 @@ for name, cols in {
 # -- running state
 _STATE = [x for x in FEATURE_COLS if x.startswith("flow_")] + SSH_SMB
 add("features_running_flow", on_packets(lambda p: running(p).select("frame_no", *_STATE)), f"select frame_no, {names(_STATE)} from rstate", "rstate")
-add("packet_iat_lag", on_packets(lambda p: with_packet_facts(p).select("frame_no", (c("iat_us") / lit(1e6)).alias("iat"))), "select frame_no, iat/1e6 as iat from facts", "facts")
+add("packet_iat_lag", on_packets(lambda p: times_between(p).select("frame_no", (c("iat_us") / lit(1e6)).alias("iat"))), "select frame_no, iat/1e6 as iat from facts", "facts")
 _COUNTS = ["src_ip_mac_seen_mac_count", "src_mac_ip_seen_ip_count"]
 _SPOOF = ["src_ip_mac_consistent", "src_mac_ip_spoof_suspect"]
 add("mac_ip_running", on_packets(lambda p: with_address_counts(p).select("frame_no", *_COUNTS)), f"select frame_no, {names(_COUNTS)} from macs", "macs")
