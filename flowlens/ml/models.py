@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowlens.functions.text import aligned, confidence_label
-from flowlens.ml.prep import class_weights
+from flowlens.ml.prep import class_weights, with_flags
 from flowlens.schema import CLASSES, TRAIN_FEATURES
 
 
@@ -55,12 +55,16 @@ def predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.withColumns({"prediction_label": name, "confidence": F.array_max(vector_to_array("probability"))})
 
 
-def score(model: PipelineModel, features: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """features with `label` by confidence; missing columns and numbers are 0, in 32-bit floats."""
+def matrix(features: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """features with the model's columns as training has them: flags of tcp_flags, missing columns and numbers 0, 32-bit floats."""
     names = names or TRAIN_FEATURES
-    ready = aligned(features, names)
-    ready = ready.withColumns({c: F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")) for c in names})
-    out = predicted(model, ready.drop("label"))
+    ready = aligned(with_flags(features), names)
+    return ready.withColumns({c: F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")) for c in names})
+
+
+def score(model: PipelineModel, features: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """features with `label` by confidence."""
+    out = predicted(model, matrix(features, names).drop("label"))
     return out.select(*[c for c in features.columns if c != "label"], confidence_label(F.col("confidence")).alias("label"), "confidence")
 
 
@@ -124,4 +128,4 @@ def scaled_vectors(train: DataFrame, rows: DataFrame, features: list[str] | None
     return [model.transform(df).withColumn("vector", vector_to_array("scaled")) for df in (train, rows)]
 
 
-__all__ = ["fit", "knn", "predicted", "scaled_vectors", "score", "weighted"]
+__all__ = ["fit", "knn", "matrix", "predicted", "scaled_vectors", "score", "weighted"]

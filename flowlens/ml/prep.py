@@ -29,11 +29,17 @@ def train_columns(df: DataFrame, wanted: str = "Label") -> DataFrame:
     return existing(df, keep)
 
 
+def with_flags(df: DataFrame) -> DataFrame:
+    """The six TCP flags as numbers, of tcp_flags as letters or as bits, where there is such a column."""
+    if "tcp_flags" not in df.columns:
+        return df
+    kind = dict(df.dtypes)["tcp_flags"]
+    return df.withColumns(flag_letters(F.col("tcp_flags")) if kind == "string" else flag_bits(F.col("tcp_flags")))
+
+
 def prepared(df: DataFrame, wanted: str = "Label", keys: tuple[str, ...] = ()) -> DataFrame:
     """34 numeric features, 0 where there is no number, and `label`; rows of other labels go."""
-    if "tcp_flags" in df.columns:
-        kind = dict(df.dtypes)["tcp_flags"]
-        df = df.withColumns(flag_letters(F.col("tcp_flags")) if kind == "string" else flag_bits(F.col("tcp_flags")))
+    df = with_flags(df)
     name = label_column(df.columns, wanted)
     if name:
         label = label_name(F.col(name), numeric=dict(df.dtypes)[name] != "string")

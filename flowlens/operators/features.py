@@ -46,8 +46,8 @@ def with_times(packets: DataFrame) -> DataFrame:
     ).drop("_start")
 
 
-def features(packets: DataFrame, wide: bool = False, width: int = SEGMENT) -> DataFrame:
-    """The 78-column feature table; `wide` adds the SSH and SMB columns."""
+def features(packets: DataFrame, wide: bool = False, width: int = SEGMENT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 78-column feature table; `wide` adds the SSH and SMB columns, `keep` other columns of packets."""
     flows = [c for c in FEATURE_COLS if c.startswith("flow_")] + SSH_SMB
     evidence = reassembled(with_flow_key(packets).where("flow_proto is not null"))
     df = running(with_address_counts(with_times(packets), width), width, evidence)
@@ -55,7 +55,7 @@ def features(packets: DataFrame, wide: bool = False, width: int = SEGMENT) -> Da
     kinds = dict(df.dtypes)
     in_flow = F.col("flow_proto").isNotNull()
     fill = {c: F.coalesce(F.when(in_flow, F.col(c)), F.lit(texts.get(c, "") if kinds[c] == "string" else 0).cast(kinds[c])) for c in flows}
-    return df.withColumns(fill).select(*FEATURE_COLS, *(SSH_SMB if wide else []))
+    return df.withColumns(fill).select(*FEATURE_COLS, *(SSH_SMB if wide else []), *keep)
 
 
 __all__ = ["KEY", "features", "with_address_counts", "with_times"]

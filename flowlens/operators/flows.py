@@ -130,9 +130,9 @@ def _segment_sums(packets: DataFrame) -> DataFrame:
     return sums.selectExpr("_flow", "_segment", *kept, "least(iat_min_us, _gap) as iat_min_us", "greatest(iat_max_us, _gap) as iat_max_us")
 
 
-def _measures(prefix: str = "") -> list[str]:
-    """SQL of a flow's measures of its accumulators; those of counts and times are 0 where there is none."""
-    value = lambda n: f"{prefix}{n}.value" if KINDS[n] in ("first", "last") else f"{prefix}{n}"
+def _measures(prefix: str = "", placed: bool = True) -> list[str]:
+    """SQL of a flow's measures of its accumulators; those of counts and times are 0 where there is none; placed: first and last hold frame numbers."""
+    value = lambda n: f"{prefix}{n}.value" if placed and KINDS[n] in ("first", "last") else f"{prefix}{n}"
     plain = [n for n in KINDS if n.endswith(("_us", "pkts", "bytes", "_count", "_seen", "_port", "_detected"))]
     out = {n: f"coalesce({value(n)}, 0)" for n in plain} | {n: value(n) for n in ("first_frame_no", "last_frame_no")}
     out |= {

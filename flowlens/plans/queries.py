@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import header, payload, text
 from flowlens.functions.capture_filter import default_filter
+from flowlens.ml.models import matrix
 from flowlens.operators import dashboard, scores as scoring
 from flowlens.operators.features import features, with_address_counts, with_times
 from flowlens.operators.flowkey import KEY, with_flow_key
@@ -17,7 +18,7 @@ from flowlens.operators.rules import coerced, with_heuristics
 from flowlens.plans.oracle import sql
 from flowlens.plans.packets import packets
 from flowlens.schema import (
-    EVIDENCE_COLS, EVIDENCE_EXPORT_COLS, FEATURE_COLS, FLOW_COLS, SCORE_COLS, SSH_SMB, TOP_FLOW_COLS, TOP_PACKET_COLS, TRAIN_FEATURES,
+    EVIDENCE_COLS, EVIDENCE_EXPORT_COLS, FEATURE_COLS, FLAG_LETTERS, FLOW_COLS, SCORE_COLS, SSH_SMB, TOP_FLOW_COLS, TOP_PACKET_COLS, TRAIN_FEATURES,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,8 +155,9 @@ add("numeric_coerce", on_packets(lambda p: p.select("frame_no", text.number(_TEX
 add("string_normalize", on_packets(lambda p: p.select("frame_no", text.plain(F.when(c("k") % 4 != 0, F.concat(lit(" \tHost"), c("k").cast("string"), lit("\n ")))).alias("value"))), "select frame_no, case when k%4<>0 then 'host' || cast(k as varchar) else '' end as value from pkt", "pkt")
 add("project_existing", on_packets(lambda p: text.existing(p, ["frame_no", "no_such_column", "ttl_hlim"])), "select frame_no, ttl_hlim from pkt", "pkt")
 add("align_features", on_packets(lambda p: text.aligned(p, ["flow_pkts", "dport"]).select("frame_no", "flow_pkts", "dport")), "select frame_no, 0 as flow_pkts, dport from pkt", "pkt")
-add("model_feature_matrix", on_features(lambda f: text.aligned(f, TRAIN_FEATURES).select("frame_no", *[F.coalesce(c(x), lit(0)).cast("double").alias(x) for x in TRAIN_FEATURES])),
-    "select frame_no, " + names(f"cast(coalesce({x},0) as double) as {x}" if not x.startswith("tcp_flag_") else f"cast(0 as double) as {x}" for x in TRAIN_FEATURES) + " from features", "features")
+_FLAG_SQL = {f"tcp_flag_{n}": f"(case when tcp_flags like '%{x}%' then 1 else 0 end)" for n, x in FLAG_LETTERS.items()}
+add("model_feature_matrix", on_features(lambda f: matrix(f).select("frame_no", *[c(x).cast("double").alias(x) for x in TRAIN_FEATURES])),
+    "select frame_no, " + names(f"cast(cast(coalesce({_FLAG_SQL.get(x, x)},0) as float) as double) as {x}" for x in TRAIN_FEATURES) + " from features", "features")
 add("ml_matrix_float32", on_features(lambda f: f.select("frame_no", *[F.coalesce(c(x), lit(0)).cast("float").cast("double").alias(x) for x in ("len_bytes", "flow_iat_avg", "flow_iat_max")])), "select frame_no, cast(cast(len_bytes as float) as double) as len_bytes, cast(cast(flow_iat_avg as float) as double) as flow_iat_avg, cast(cast(flow_iat_max as float) as double) as flow_iat_max from features", "features")
 
 # -- flow measures
@@ -306,13 +308,6 @@ add("export_filename", on_packets(lambda p: p.select("frame_no", dashboard.expor
 add("flow_summary_lines", on_flows(dashboard.flow_lines),
     "select first_frame_no, flow_src_ip || ':' || cast(flow_src_port as varchar) || ' -> ' || flow_dst_ip || ':' || cast(flow_dst_port as varchar) || ' proto=' || cast(flow_proto as varchar) || ' pkts=' || cast(flow_pkts as varchar) || ' bytes=' || cast(flow_bytes as varchar) || ' dur=' || cast(cast(round(cast(flow_duration as decimal(30,12)),6) as decimal(30,6)) as varchar) || 's iat_min=' || cast(cast(round(cast(flow_iat_min as decimal(30,12)),6) as decimal(30,6)) as varchar) || 's iat_avg=' || cast(cast(round(cast(flow_iat_avg as decimal(30,12)),6) as decimal(30,6)) as varchar) || 's iat_max=' || cast(cast(round(cast(flow_iat_max as decimal(30,12)),6) as decimal(30,6)) as varchar) || 's' as line from flow", "flow")
 _OK = "case when {0}=1 then 'OK' else 'BAD' end"
-add("frame_log_lines", on_packets(lambda p: dashboard.frame_lines(p.where("evidence is null"))),
-    f"""select frame_no, '=== Frame ' || cast(frame_no as varchar) || ' ===' || chr(10) || 'L2: Ethernet src=' || eth_src || ' dst=' || eth_dst || ' type=' || eth_type || chr(10)
- || coalesce('  VLAN id=' || cast(vlan_id as varchar) || ' pri=' || cast(vlan_prio as varchar) || chr(10), '')
- || 'L3: IPv4 ' || ip_src || '->' || ip_dst || ' proto=' || cast(ip_proto as varchar) || ' ttl=' || cast(ttl_hlim as varchar) || ' id=' || cast(ip_id as varchar) || ' DSCP=' || cast(dscp as varchar) || ' ECN=' || cast(ecn as varchar) || ' frag_off=' || cast(ip_frag_off as varchar) || chr(10)
- || '  IPv4_checksum=' || {_OK.format('ipv4_checksum_ok')} || chr(10)
- || case when l4_proto=6 then 'L4: TCP ' || cast(sport as varchar) || '->' || cast(dport as varchar) || ' flags=' || tcp_flags || ' win=' || cast(tcp_win as varchar) else 'L4: UDP ' || cast(sport as varchar) || '->' || cast(dport as varchar) end || chr(10)
- || '  L4_checksum=' || {_OK.format('l4_checksum_ok')} || chr(10) || 'PayloadPreview(0B): ' as line from pkt where evidence is null""", "pkt")
 _SIX = "cast(cast({0} as decimal(19,0))/1000000 as decimal(19,6))"
 # Payloads of the packet view as hex digits; of a hello as many as a preview shows.
 _BYTES = f"""case evidence when 'http' then hex(encode('GET /p' || cast(k as varchar) || ' HTTP/1.1' || chr(13) || chr(10) || 'User-Agent: x' || chr(13) || chr(10)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +11,8 @@ from flowlens.operators.features import features
 from flowlens.plans.oracle import sql
 from flowlens.plans.packets import packets
 from flowlens.plans.queries import Query, names
-from flowlens.schema import FEATURE_COLS, TRAIN_FEATURES
+from flowlens.schema import FEATURE_COLS, SSH_SMB, TRAIN_FEATURES
+from flowlens.sources.shared import shared_path
 from flowlens.streaming import flows as streaming
 
 QUERIES: dict[str, Query] = {}
@@ -26,23 +25,20 @@ def add(name: str, query: Query, oracle: str | None = None) -> None:
         ORACLE_SQL[name] = oracle
 
 
-RAW = [x for x in FEATURE_COLS if not x.startswith(("flow_", "src_", "t_rel", "ts_"))]
-
-
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled packets in three files of chunks."""
-    p = packets(spark, d)
+    """Labelled feature rows, flow state included, in three files of chunks."""
+    f = features(packets(spark, d), keep=("k",))
     k = F.col("k")
     label = F.when(k % 97 == 0, None).when(k % 10 < 2, "malicious").when(k % 10 < 4, " Tainted").when(k % 10 == 4, "weird").otherwise("Normal")
-    return p.select(*RAW, label.alias("Label"), (F.col("frame_no") % 3).alias("file"), F.floor(F.col("frame_no") / 600).alias("chunk"), "k")
+    return f.select(*FEATURE_COLS, label.alias("Label"), (F.col("frame_no") % 3).alias("file"), F.floor(F.col("frame_no") / 600).alias("chunk"), "k")
 
 
 CORPUS = """corpus as (select *, case when k%97=0 then null when k%10<2 then 'attack' when k%10<4 then 'tampered' when k%10=4 then null else 'benign' end as lab,
- frame_no%3 as file, frame_no//600 as chunk, (frame_no*2654435761+42)%4294967296 as hsh from pkt), prep as (select * from corpus where lab is not null)"""
+ frame_no%3 as file, frame_no//600 as chunk, (frame_no*2654435761+42)%4294967296 as hsh from features), prep as (select * from corpus where lab is not null)"""
 
 
 def over_corpus(select: str) -> str:
-    return sql("#", "pkt").replace(" #", f", {CORPUS} {select}")
+    return sql("#", "features").replace(" #", f", {CORPUS} {select}")
 
 
 def ready(spark: SparkSession, d: str) -> DataFrame:
@@ -51,10 +47,22 @@ def ready(spark: SparkSession, d: str) -> DataFrame:
 
 add("train_scan", lambda s, d: corpus(s, d).groupBy("file", "chunk").agg(F.count("*").alias("n")), over_corpus("select file, chunk, count(*) as n from corpus group by file, chunk"))
 add("train_columns", lambda s, d: prep.train_columns(corpus(s, d)).select("len_bytes", "dport", "tcp_flags"), over_corpus("select len_bytes, dport, tcp_flags from corpus"))
-add("train_label_column", lambda s, d: s.range(1).select(F.lit(prep.label_column(corpus(s, d).columns)).alias("label_column"), F.lit(prep.label_column(["y", "Attack"])).alias("fallback")), "select 'Label' as label_column, 'Attack' as fallback")
+
+
+def by_label_column(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of the corpus by three orders of columns: the wanted one, a candidate, scores where there is none."""
+    base = corpus(spark, d)
+    score = (F.col("k") * 37 % 101).cast("int")
+    parts = {"wanted": base.withColumn("y", F.lit("benign")), "candidate": base.withColumnsRenamed({"Label": "Attack"}), "scores": base.withColumn("risk_score", score).drop("Label")}
+    found = [prep.prepared(df, keys=("frame_no",)).select("frame_no", F.lit(how).alias("how"), F.lit(prep.label_column(df.columns)).alias("label_column"), "label") for how, df in parts.items()]
+    return prep.union(found)
+
+
+add("train_label_column", by_label_column, over_corpus("""select frame_no, 'wanted' as how, 'Label' as label_column, lab as label from prep union all select frame_no, 'candidate', 'Attack', lab from prep
+ union all select frame_no, 'scores', null, case when k*37%101>=70 then 'attack' when k*37%101>=40 then 'tampered' else 'benign' end from corpus"""))
 _SHOWN = ["len_bytes", "vlan_id", "tcp_win", "tcp_flag_SYN", "tcp_flag_ACK", "flow_pkts"]
 add("train_prep", lambda s, d: ready(s, d).select("frame_no", "label", *_SHOWN),
-    over_corpus("select frame_no, lab as label, cast(len_bytes as double) as len_bytes, coalesce(vlan_id,0)*1.0 as vlan_id, coalesce(tcp_win,0)*1.0 as tcp_win, case when tcp_flags like '%S%' then 1.0 else 0.0 end as tcp_flag_SYN, case when tcp_flags like '%A%' then 1.0 else 0.0 end as tcp_flag_ACK, 0.0 as flow_pkts from prep"))
+    over_corpus("select frame_no, lab as label, cast(len_bytes as double) as len_bytes, coalesce(vlan_id,0)*1.0 as vlan_id, coalesce(tcp_win,0)*1.0 as tcp_win, case when tcp_flags like '%S%' then 1.0 else 0.0 end as tcp_flag_SYN, case when tcp_flags like '%A%' then 1.0 else 0.0 end as tcp_flag_ACK, cast(flow_pkts as double) as flow_pkts from prep"))
 add("stratified_sample", lambda s, d: prep.stratified(ready(s, d), ["file", "chunk", "label"], "frame_no").select("frame_no", "label"),
     over_corpus("select frame_no, lab as label from (select *, row_number() over (partition by file, chunk, lab order by hsh, frame_no) as rn, count(*) over (partition by file, chunk, lab) as n from prep) x where rn <= round(n*0.15)"))
 add("per_file_cap", lambda s, d: prep.capped(ready(s, d), "file", "frame_no", 150).select("frame_no", "file"), over_corpus("select frame_no, file from (select *, row_number() over (partition by file order by hsh, frame_no) as rn from prep) x where rn<=150"))
@@ -116,9 +124,8 @@ add("ml_knn", ml_knn)
 def ml_score(spark: SparkSession, d: str, reload: bool = False) -> DataFrame:
     model = models.fit("dt", ready(spark, d))
     if reload:
-        conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        path = f"{conf or tempfile.mkdtemp()}/models/dt"
-        model.write().overwrite().save(path)
+        path = shared_path(spark, "model-dt")
+        model.write().save(path)
         model = PipelineModel.load(path)
     return models.score(model, features(packets(spark, d)), TRAIN_FEATURES).select("frame_no", "label", F.round("confidence", 9).alias("confidence"))
 
@@ -127,16 +134,19 @@ add("ml_score", ml_score)
 add("model_reload", lambda s, d: ml_score(s, d, reload=True))
 
 
-def stream_features(spark: SparkSession, d: str) -> DataFrame:
-    """Running counters from a stream over packet files, all of what is there, read back from its sink."""
-    import uuid
+STREAMED = [c for c in FEATURE_COLS if c.startswith("flow_")] + SSH_SMB
 
-    base = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
-    packets(spark, d).select("frame_no", "ip_src", "ip_dst", "l4_proto", "sport", "dport", "len_bytes", "tcp_flags").repartitionByRange(3, "frame_no").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
-    counted = streaming.running_counters(stream)
-    counted.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("frame_no", *streaming.COUNTERS)
 
-
-add("stream_features", stream_features, sql(f"select frame_no, {names(streaming.COUNTERS)} from rstate", "rstate"))
+def stream_features(spark: SparkSession, d: str) -> DataFrame:
+    """Running flow state from a stream over packet files, four micro-batches of all that is there, read back from its sink."""
+    base, table = shared_path(spark, "stream"), packets(spark, d)
+    last = table.agg(F.max("frame_no")).first()[0] or 0
+    for k in range(4):  # the file source takes files by time of writing
+        table.where(F.col("frame_no").between(last * k // 4 + 1, last * (k + 1) // 4)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    state = streaming.running_features(stream)
+    state.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("frame_no", *STREAMED)
+
+
+add("stream_features", stream_features, sql(f"select frame_no, {names(STREAMED)} from rstate", "rstate"))
