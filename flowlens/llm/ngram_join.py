@@ -207,10 +207,11 @@ def _prefixes(rows: DataFrame, n: int, seed: int, rank, buckets: int) -> DataFra
 
 
 def _met(rank, pair_buckets: int):
-    return lambda table: _first_pairs(table, rank.value, pair_buckets)
+    few, orders = FEW, ORDERS  # as the driver has them
+    return lambda table: _first_pairs(table, rank.value, pair_buckets, few, orders)
 
 
-def _first_pairs(table: pa.Table, rank: np.ndarray, pair_buckets: int) -> pa.Table:
+def _first_pairs(table: pa.Table, rank: np.ndarray, pair_buckets: int, few: int = FEW, orders: int = ORDERS) -> pa.Table:
     """kind 0: pairs to verify first, by bucket of the pair; kind 1: sets by shared shingle, where pairs are left."""
     h, e, size, place = unpacked(table, np.uint64, np.int64, np.int32, np.int32)
     order = np.lexsort((e, size, h))
@@ -226,25 +227,25 @@ def _first_pairs(table: pa.Table, rank: np.ndarray, pair_buckets: int) -> pa.Tab
     hot, count = hot[some], count[some]
     group = np.repeat(np.arange(len(count)), count)
     number = np.repeat(count, count)
-    pairs = []
+    pairs = [np.empty((2, 0), np.int64)]
 
     def add(a, b):
         ok = (e[a] != e[b]) & _may_match(size[a], place[a], size[b], place[b])
         a, b = e[a[ok]], e[b[ok]]
         pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
 
-    for step in range(1, FEW):  # all pairs of few sets, neighbours by size of many
+    for step in range(1, few):  # all pairs of few sets, neighbours by size of many
         a = np.arange(len(h) - step) if len(h) > step else np.empty(0, np.int64)
-        same = (group[a] == group[a + step]) & ((number[a] <= FEW) | (step == 1))
+        same = (group[a] == group[a + step]) & ((number[a] <= few) | (step == 1))
         add(a[same], a[same] + step)
-    big = np.flatnonzero(number > FEW)
-    for seed in range(ORDERS):  # neighbours in further orders, the same for all shingles
+    big = np.flatnonzero(number > few)
+    for seed in range(orders):  # neighbours in further orders, the same for all shingles
         key = mix(e[big].view(np.uint64) ^ mix(np.full(1, seed + 1, np.uint64)))
         other = big[np.lexsort((key, group[big]))]
         same = group[other[:-1]] == group[other[1:]]
         add(other[:-1][same], other[1:][same])
     found = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    left = (number > FEW) | np.repeat(hot, count)
+    left = (number > few) | np.repeat(hot, count)
     return pa.Table.from_batches([
         packed(0, list(split_by((mix(found[0].view(np.uint64)) % np.uint64(pair_buckets)).astype(np.int64), *found))),
         packed(1, [(0, [h[left], e[left], size[left].astype(np.int32), place[left].astype(np.int32)])]),

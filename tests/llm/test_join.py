@@ -51,8 +51,8 @@ def test_blocks_alone_find_all_groups(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PAIRWISE", 0)
     monkeypatch.setattr(ngram_join, "TOGETHER", 50)
     monkeypatch.setattr(set_blocks, "UNIT", 5_000)
-    empty = spark.createDataFrame([], "a long, b long")
-    monkeypatch.setattr(ngram_join, "_bounded", lambda pairs, classes: empty)  # no pair is verified first
+    monkeypatch.setattr(ngram_join, "FEW", 1)  # no pair is verified first
+    monkeypatch.setattr(ngram_join, "ORDERS", 0)
     rows = _near_copies(40) + [(100 + r[0], r[1], *r[2:]) for r in _corpus(20)]
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == _brute_groups([(r[0], r[1]) for r in rows])
