@@ -82,12 +82,23 @@ def _ip6(data: Column) -> Column:
     return F.when(mapped, F.concat(F.lit("::ffff:"), _ip4(F.substring(data, 13, 4)))).otherwise(h.bound(F.lower(F.hex(data)), short))
 
 
-def numbered(frames: DataFrame) -> DataFrame:
-    """Frames of several captures with frame_no running on from one to the next, in order of path."""
-    sizes = frames.groupBy("path").agg(F.max("frame_no").alias("_n"))
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    starts = sizes.select("path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return frames.join(starts, "path").withColumn("frame_no", F.col("frame_no") + F.col("_before")).drop("_before")
+def numbered(frames: DataFrame, span: int = 1 << 28) -> DataFrame:
+    """Frames of several captures with frame_no running on from one to the next, in order of path.
+
+    Where frames have their place in the file, `at`, they are counted by spans of
+    so many bytes, a row each, and numbered inside a span; else frame_no is their
+    number in the file.
+    """
+    if "at" not in frames.columns:
+        sizes = frames.groupBy("path").agg(F.max("frame_no").alias("_n"))
+        before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+        starts = sizes.select("path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        return frames.join(starts, "path").withColumn("frame_no", F.col("frame_no") + F.col("_before")).drop("_before")
+    spans = frames.withColumn("_span", F.floor(F.col("at") / span))
+    before = Window.orderBy("path", "_span").rowsBetween(Window.unboundedPreceding, -1)  # a row per span
+    starts = spans.groupBy("path", "_span").agg(F.count(F.lit(1)).alias("_n")).select("path", "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("path", "_span").orderBy("at"))
+    return spans.withColumn("frame_no", own.cast("long")).join(starts, ["path", "_span"]).withColumn("frame_no", F.col("frame_no") + F.col("_before")).drop("_span", "_before")
 
 
 def decoded(frames: DataFrame) -> DataFrame:
