@@ -17,6 +17,8 @@ from flowlens.operators.flows import flows, running, times_between
 from flowlens.operators.rules import coerced, with_heuristics
 from flowlens.plans.oracle import sql
 from flowlens.plans.packets import packets
+from flowlens.sources import capture, pcap
+from flowlens.sources.shared import partitions, shared_path
 from flowlens.schema import (
     EVIDENCE_COLS, EVIDENCE_EXPORT_COLS, FEATURE_COLS, FLAG_LETTERS, FLOW_COLS, SCORE_COLS, SSH_SMB, TOP_FLOW_COLS, TOP_PACKET_COLS, TRAIN_FEATURES,
 )
@@ -308,6 +310,21 @@ add("export_filename", on_packets(lambda p: p.select("frame_no", dashboard.expor
 add("flow_summary_lines", on_flows(dashboard.flow_lines),
     "select first_frame_no, flow_src_ip || ':' || cast(flow_src_port as varchar) || ' -> ' || flow_dst_ip || ':' || cast(flow_dst_port as varchar) || ' proto=' || cast(flow_proto as varchar) || ' pkts=' || cast(flow_pkts as varchar) || ' bytes=' || cast(flow_bytes as varchar) || ' dur=' || cast(cast(round(cast(flow_duration as decimal(30,12)),6) as decimal(30,6)) as varchar) || 's iat_min=' || cast(cast(round(cast(flow_iat_min as decimal(30,12)),6) as decimal(30,6)) as varchar) || 's iat_avg=' || cast(cast(round(cast(flow_iat_avg as decimal(30,12)),6) as decimal(30,6)) as varchar) || 's iat_max=' || cast(cast(round(cast(flow_iat_max as decimal(30,12)),6) as decimal(30,6)) as varchar) || 's' as line from flow", "flow")
 _OK = "case when {0}=1 then 'OK' else 'BAD' end"
+
+
+def capture_export(spark: SparkSession, d: str) -> DataFrame:
+    """All packets as capture files, read back in splits, numbered and decoded."""
+    capture.register(spark)
+    path = shared_path(spark, "captures")
+    frames = pcap.encoded(packets(spark, d)).repartitionByRange(partitions(spark), "frame_no").sortWithinPartitions("frame_no")
+    frames.write.format("capture").mode("append").save(path)
+    back = pcap.decoded(pcap.numbered(spark.read.format("capture").option("splitBytes", 1 << 22).load(path)))
+    return back.select(*_DECODED, F.length("payload").cast("long").alias("size"))
+
+
+_DECODED = "frame_no ts_us eth_src eth_dst vlan_id vlan_prio ip_version ip_tos dscp ecn ip_id ip_flags_df ip_flags_mf ip_frag_off ttl_hlim ip_proto ip_src ip_dst l4_proto sport dport tcp_flags tcp_win tcp_hdr_len ipv4_checksum_ok l4_checksum_ok".split()
+_SIZES = "case evidence when 'http' then length('GET /p' || cast(k as varchar) || ' HTTP/1.1..User-Agent: x..Host: h' || cast(user_id as varchar) || '.example....') when 'reply' then 19 when 'ssh' then length('SSH-2.0-srv_' || cast(k as varchar)) + 2 when 'smb2' then 8 when 'smb1' then 4 when 'tls' then 65 + length('s' || cast(user_id as varchar) || '.example') when 'tls0' then 56 else 0 end"
+add("capture_export", capture_export, f"select {names(_DECODED)}, cast({_SIZES} as bigint) as size from pkt", "pkt")
 _SIX = "cast(cast({0} as decimal(19,0))/1000000 as decimal(19,6))"
 # Payloads of the packet view as hex digits; of a hello as many as a preview shows.
 _BYTES = f"""case evidence when 'http' then hex(encode('GET /p' || cast(k as varchar) || ' HTTP/1.1' || chr(13) || chr(10) || 'User-Agent: x' || chr(13) || chr(10)))

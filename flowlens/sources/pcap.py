@@ -56,6 +56,30 @@ def pcap_bytes(frames: DataFrame, group: str = "part") -> DataFrame:
     return frames.groupBy(group).applyInPandas(write, f"{group} {dict(frames.dtypes)[group]}, content binary")
 
 
+def encoded(packets: DataFrame) -> DataFrame:
+    """frame_no, ts_us, wire_bytes and frame: Ethernet frames of IPv4 packets with TCP or UDP, as decoded() reads them.
+
+    Checksums are right where their column is 1 and wrong otherwise; lengths are
+    those of the frame, len_bytes is on the wire.  Missing numbers are 0.
+    """
+    digits = lambda x, n: F.lpad(F.hex(F.coalesce(x, F.lit(0)).cast("long")), n, "0")
+    c, tcp = F.col, F.col("l4_proto") == 6
+    stored = lambda data, ok: h.bound(h.ones_complement(data), lambda x: F.when(ok == 1, x).otherwise((x + 1) % 65536))
+    flags = sum((F.when(F.contains("tcp_flags", F.lit(x)), b).otherwise(0) for x, b in (("S", 2), ("R", 4), ("P", 8), ("A", 16), ("U", 32))), F.when(F.contains("tcp_flags", F.lit("F")), 1).otherwise(0))
+    data, size = F.coalesce("payload", F.lit(b"")), F.length(F.coalesce("payload", F.lit(b"")))
+    f = packets.withColumns({"_src": h.ip_bytes(c("ip_src")), "_dst": h.ip_bytes(c("ip_dst")), "_size": size + F.when(tcp, 20).otherwise(8)})
+    ports = F.concat(digits(c("sport"), 4), digits(c("dport"), 4))
+    l4 = lambda sums: F.concat(F.unhex(F.when(tcp, F.concat(ports, digits(c("tcp_seq"), 8), digits(c("tcp_ack"), 8), F.lit("50"), digits(flags, 2), digits(c("tcp_win"), 4), sums, F.lit("0000"))).otherwise(F.concat(ports, digits(c("_size"), 4), sums))), data)
+    ip = lambda sums: F.unhex(F.concat(digits(c("ip_tos") + 0x4500, 4), digits(c("_size") + 20, 4), digits(c("ip_id"), 4), digits(c("ip_flags_df") * 0x4000 + c("ip_flags_mf") * 0x2000 + c("ip_frag_off"), 4), digits(c("ttl_hlim") * 256 + c("l4_proto"), 4), sums, F.hex("_src"), F.hex("_dst")))
+    more = {x: F.lit(0) for x in ("tcp_seq", "tcp_ack") if x not in packets.columns}
+    pseudo = F.concat(c("_src"), c("_dst"), F.unhex(F.concat(digits(c("l4_proto"), 4), digits(c("_size"), 4))))
+    f = f.withColumns(more).withColumns({"_ip": stored(ip(F.lit("0000")), c("ipv4_checksum_ok")), "_sum": stored(F.concat(pseudo, l4(F.lit("0000"))), c("l4_checksum_ok"))})
+    mac = lambda x: F.unhex(F.replace(x, F.lit(":"), F.lit("")))
+    tag = F.when(c("vlan_id").isNotNull(), F.unhex(F.concat(F.lit("8100"), digits(c("vlan_prio") * 8192 + c("vlan_id"), 4)))).otherwise(F.lit(b""))
+    frame = F.concat(mac(c("eth_dst")), mac(c("eth_src")), tag, F.lit(b"\x08\x00"), ip(digits(c("_ip"), 4)), l4(digits(c("_sum"), 4)))
+    return f.select("frame_no", "ts_us", c("len_bytes").alias("wire_bytes"), frame.alias("frame"))
+
+
 def _mac(data: Column) -> Column:
     return F.regexp_replace(F.lower(F.hex(data)), "(..)(?=.)", "$1:")
 
