@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from flowlens.schema import FLAG_BITS, FLAG_LETTERS
 
@@ -149,23 +149,54 @@ PUBLIC_WITHIN_V4 = ["192.0.0.9", "192.0.0.10"]
 # End of fixed values.
 
 
-@F.pandas_udf(BooleanType())
-def _public_v6(ips):
+# Of 2000::/3, the blocks that are not public, and those inside them that are.  Outside it only fec0::/10 counts as public.
+NOT_PUBLIC_V6 = ["2001::/23", "2001:db8::/32", "2002::/16"]
+PUBLIC_WITHIN_V6 = ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
+# End of fixed values.
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_TAIL = rf"((?:{_OCTET}\.){{3}}{_OCTET})$"
+_GROUPS = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4})"
+_SHAPE = rf"^(?:{_GROUPS}{{7}}|(?:{_GROUPS}*)?::(?:{_GROUPS}*)?)$"
+
+
+def ipv6_digits(text: Column) -> Column:
+    """The 32 lower-case hex digits of an IPv6 address, with a dotted tail or a zone or not; NULL for anything else."""
+
+    def with_hex_tail(plain: Column) -> Column:
+        tail = F.regexp_extract(plain, _TAIL, 1)
+        digits = F.lower(F.hex(ip_bytes(tail)))
+        return F.when(tail != "", F.concat(F.regexp_replace(plain, _TAIL, ""), F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4))).otherwise(plain)
+
+    def whole(groups: Column) -> Column:
+        sides = F.split(groups, "::")
+        side = lambda k: F.filter(F.split(F.coalesce(F.get(sides, F.lit(k)), F.lit("")), ":"), lambda g: g != "")
+        filled = lambda k: F.array_join(F.transform(side(k), lambda g: F.lpad(g, 4, "0")), "")
+        zeros = F.repeat(F.lit("0000"), 8 - F.size(side(0)) - F.size(side(1)))
+        most = F.when(F.contains(groups, F.lit("::")), 7).otherwise(8)
+        return F.when(F.rlike(groups, F.lit(_SHAPE)) & (F.size(side(0)) + F.size(side(1)) <= most), F.concat(filled(0), zeros, filled(1)))
+
+    return bound(bound(F.regexp_replace(F.lower(text), "%[^%]+$", ""), with_hex_tail), whole)
+
+
+def _in_block(digits: Column, block: str) -> Column:
+    """Whether 128 bits, as 32 hex digits, lie in a block: such texts stand in the order of their numbers."""
     import ipaddress
 
-    def one(ip):
-        try:
-            a = ipaddress.ip_address(str(ip).strip())
-        except ValueError:
-            return False
-        return not (a.is_private or a.is_loopback or a.is_link_local or a.is_multicast or a.is_reserved or a.is_unspecified)
+    net = ipaddress.ip_network(block)
+    return digits.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}")
+
+
+def public_ipv6(text: Column) -> Column:
+    """Whether an IPv6 address is public.  False for mapped IPv4 addresses and for what is no address."""
+
+    def public(digits: Column) -> Column:
+        some = lambda blocks: reduce(lambda a, b: a | b, (_in_block(digits, x) for x in blocks))
+        return _in_block(digits, "2000::/3") & (~some(NOT_PUBLIC_V6) | some(PUBLIC_WITHIN_V6)) | _in_block(digits, "fec0::/10")
 
-    return ips.map(one, na_action=None).astype(bool)
+    return F.coalesce(bound(ipv6_digits(text), public), F.lit(False))
 
 
-def public_ip(ip: Column, ipv6: bool = False) -> Column:
-    """As public_ipv4; with ipv6, addresses with a colon are looked at by a pandas UDF."""
+def public_ip(ip: Column) -> Column:
+    """Whether an address of either family is public, in column expressions."""
     text = F.trim(ip)
-    if not ipv6:
-        return public_ipv4(text)
-    return F.when(F.contains(text, F.lit(":")), _public_v6(text)).otherwise(public_ipv4(text))
+    return F.when(F.contains(text, F.lit(":")), public_ipv6(text)).otherwise(public_ipv4(text))

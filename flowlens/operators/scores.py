@@ -23,7 +23,7 @@ def parsed_reputation(reputation: DataFrame) -> DataFrame:
     return reputation.select(F.trim("ip").alias("ip"), score.alias("rep_score"), level.alias("rep_risk"), F.coalesce(level, F.lit("scamalytics_unknown")).alias("rep_reason"))
 
 
-def with_reputation(features: DataFrame, reputation: DataFrame, ipv6: bool = False) -> DataFrame:
+def with_reputation(features: DataFrame, reputation: DataFrame) -> DataFrame:
     """Adds rep_score, rep_level and rep_reason: source first, then destination; public addresses only.
 
     The reason is the risk where an address is looked up for the first time, and
@@ -33,7 +33,7 @@ def with_reputation(features: DataFrame, reputation: DataFrame, ipv6: bool = Fal
     joined = features
     for side in ("src", "dst"):
         named = known.select(*[F.col(c).alias(f"{side}_{c}") for c in known.columns])
-        ip = F.when(public_ip(F.col(f"ip_{side}"), ipv6), F.trim(f"ip_{side}"))
+        ip = F.when(public_ip(F.col(f"ip_{side}")), F.trim(f"ip_{side}"))
         joined = joined.withColumn(f"_{side}", ip).join(named, F.col(f"_{side}") == F.col(f"{side}_ip"), "left")
     hit = lambda s: F.col(f"{s}_rep_score").isNotNull()
     # First lookups by address: a minimum over events, not a window over all of them.

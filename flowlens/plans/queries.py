@@ -143,8 +143,10 @@ add("packet_tuple", on_packets(lambda p: p.select("frame_no", "ip_src", "ip_dst"
 add("canonical_flow_key", on_packets(lambda p: with_flow_key(p).select("frame_no", *KEY)), f"select frame_no, {names(KEY)} from keyed", "facts")
 add("packet_direction", on_packets(lambda p: with_flow_key(p).select("frame_no", F.when(c("fwd"), "fwd").otherwise("rev").alias("direction"))), "select frame_no, case when fwd=1 then 'fwd' else 'rev' end as direction from keyed", "facts")
 _IP = lambda: F.concat_ws(".", *[(c("k") * m % n).cast("string") for m, n in ((3, 240), (7, 256), (11, 256), (13, 256))])
+_IP6 = lambda: F.concat(F.lower(F.hex(c("frame_no") * 31 % 65536)), lit(":1::5"))
 _IPS = "case when a in (0,10,127) or (a=169 and b=254) or (a=172 and b between 16 and 31) or (a=192 and b=168) or (a=192 and b=0 and cc=0 and not dd in (9,10)) or (a=192 and b=0 and cc=2) or (a=198 and b in (18,19)) or (a=198 and b=51 and cc=100) or (a=203 and b=0 and cc=113) or a>=224 then 0 else 1 end"
-add("public_ip_filter", on_packets(lambda p: p.select("frame_no", header.public_ip(_IP()).cast("int").alias("public"))), f"select frame_no, {_IPS} as public from (select frame_no, k*3%240 as a, k*7%256 as b, k*11%256 as cc, k*13%256 as dd from pkt) x", "pkt")
+add("public_ip_filter", on_packets(lambda p: p.select("frame_no", header.public_ip(_IP()).cast("int").alias("public"), header.public_ip(_IP6()).cast("int").alias("public6"))),
+    f"select frame_no, {_IPS} as public, case when g between 8192 and 16383 and g not in (8193, 8194) or g between 65216 and 65279 then 1 else 0 end as public6 from (select frame_no, frame_no*31%65536 as g, k*3%240 as a, k*7%256 as b, k*11%256 as cc, k*13%256 as dd from pkt) x", "pkt")
 _LABEL = lambda: F.element_at(F.array(*map(lit, ["Normal", " malicious", "Tainted ", "good", "bad", "weird", "anomaly"])), c("k") % 7 + 1)
 add("normalize_label", on_packets(lambda p: p.select("frame_no", text.label_name(_LABEL()).alias("by_name"), text.label_name(F.when(c("k") % 5 != 0, c("k") % 3), numeric=True).alias("by_number"))),
     "select frame_no, case k%7 when 0 then 'benign' when 1 then 'attack' when 2 then 'tampered' when 3 then 'benign' when 4 then 'attack' when 5 then 'weird' else 'attack' end as by_name, case when k%5=0 then 'nan' when k%3=1 then 'attack' else 'benign' end as by_number from pkt", "pkt")
