@@ -1,7 +1,10 @@
 """Labelled corpora: columns, labels, samples, caps and splits by hash.
 
-Samples and caps are taken by row numbers in the order of an integer hash, so
-they are exact and the same in every run.
+Samples, caps and splits take the first rows of each stratum in the order of an
+integer hash, so they are exact and the same in every run.  Where that order
+ends is found by histograms of the hash: rows are counted by bins, the bin in
+which a stratum's quota ends is counted by finer bins, until few enough rows
+are left in it to be put in order.  No task holds a stratum.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql.window import Window
 from flowlens.functions.header import flag_bits, flag_letters
 from flowlens.functions.text import aligned, existing, label_from_score, label_name, number
 from flowlens.schema import CLASSES, LABEL_CANDIDATES, TRAIN_FEATURES
+from flowlens.sources.shared import shared_path
 
 CHUNK_ROWS, SAMPLE, PER_FILE, TOTAL, VALIDATION = 200_000, 0.15, 80_000, 1_500_000, 0.2
 
@@ -55,22 +59,72 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def row_hash(key: Column, seed: int = 42) -> Column:
-    """An integer hash that other engines compute alike."""
-    return (key * 2654435761 + seed) % 4294967296
+    """An integer hash below 2**32 that other engines compute alike; of keys from 2**31 on the lower 31 bits count."""
+    return F.pmod(F.pmod(key, F.lit(1 << 31)) * 2654435761 + seed, F.lit(1 << 32))
+
+
+#: Most rows of a stratum that are put in order at once; bits by which bins grow finer; most strata sent to every task.
+BOUNDARY, BITS, STRATA = 500_000, 12, 20_000
+
+
+def _same(columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns))
+
+
+def _joined(df: DataFrame, bins: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """df with its stratum's row of bins, which names the stratum by the same columns after an underscore."""
+    few = bins.limit(STRATA + 1).count() <= STRATA  # bins is a written table
+    return df.join(F.broadcast(bins) if few else bins, _same(columns), how).drop(*[f"_{c}" for c in columns])
+
+
+def _cuts(df: DataFrame, strata: list[str], key: str, quota: Column, seed: int) -> DataFrame:
+    """strata (after an underscore), _cut: the last (hash, key) within quota, a column over `_n`, the stratum's rows.
+    Strata without any row within their quota are absent."""
+    slim = _written(df.select(*strata, row_hash(F.col(key), seed).alias("_h"), F.col(key).alias("_key")), "keys")  # read once a round
+    under = [F.col(c).alias(f"_{c}") for c in strata]
+    # _bin: the hash's leading bits; _want: rows to take of it; _n: rows in it.
+    bins = slim.groupBy(*under).agg(F.count("*").alias("_n")).withColumn("_want", F.least(quota.cast("long"), F.col("_n"))).where("_want > 0").withColumn("_bin", F.lit(0).cast("long"))
+    bins, bits = _written(bins, "strata"), 0
+    while bits < 32 and (bins.agg(F.max("_n")).first()[0] or 0) > BOUNDARY:
+        left, finer = 32 - bits, min(32, bits + BITS)
+        within = _joined(slim, bins.drop("_n"), strata, "inner").where(F.shiftright("_h", left) == F.col("_bin"))
+        counts = within.groupBy(*under, "_want", F.shiftright("_h", 32 - finer).alias("_bin")).agg(F.count("*").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*[f"_{c}" for c in strata]).orderBy("_bin"))  # 2**BITS rows a stratum at most
+        ended = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
+        bins, bits = _written(ended.withColumn("_want", F.col("_want") - F.col("_upto") + F.col("_n")).drop("_upto"), "strata"), finer
+    last = _joined(slim, bins.drop("_n"), strata, "inner").where(F.shiftright("_h", 32 - bits) == F.col("_bin"))
+    order = F.row_number().over(Window.partitionBy(*strata).orderBy("_h", "_key"))
+    at = last.withColumn("_k", order).where(F.col("_k") == F.col("_want"))
+    return at.select(*under, F.struct("_h", "_key").alias("_cut"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def first_rows(df: DataFrame, strata: list[str], key: str, quota: Column, seed: int = 42) -> DataFrame:
+    """df with boolean `first`: whether a row is among its stratum's quota first ones by hash and key.
+
+    quota is a column over `_n`, the rows of the stratum.  key is an integer, different in all rows;
+    rows with a null key are never first.  NULLs make a stratum of their own.
+    """
+    cuts = _written(_cuts(df.where(F.col(key).isNotNull()), strata, key, quota, seed), "cuts")
+    own = F.struct(row_hash(F.col(key), seed).alias("_h"), F.col(key).alias("_key"))
+    return _joined(df, cuts, strata, "left").withColumn("first", F.coalesce(own <= F.col("_cut"), F.lit(False)) & F.col(key).isNotNull()).drop("_cut")
 
 
 def stratified(df: DataFrame, strata: list[str], key: str, share: float = SAMPLE, seed: int = 42) -> DataFrame:
     """round(share * n) rows of each stratum; all of them unless 0 < share < 1."""
     if not 0 < share < 1:
         return df
-    own = Window.partitionBy(*strata)
-    df = df.withColumn("_k", F.row_number().over(own.orderBy(row_hash(F.col(key), seed), key))).withColumn("_n", F.count("*").over(own))
-    return df.where(F.col("_k") <= F.round(F.col("_n") * share)).drop("_k", "_n")
+    return first_rows(df, strata, key, F.round(F.col("_n") * share), seed).where("first").drop("first")
 
 
 def capped(df: DataFrame, group: str, key: str, most: int = PER_FILE, seed: int = 42) -> DataFrame:
-    order = Window.partitionBy(group).orderBy(row_hash(F.col(key), seed), key)
-    return df.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
+    """All rows of a group or `most` of them."""
+    return first_rows(df, [group], key, F.lit(most), seed).where("first").drop("first")
 
 
 def total_cap(df: DataFrame, chunk: list[str], most: int = TOTAL) -> DataFrame:
@@ -83,9 +137,8 @@ def total_cap(df: DataFrame, chunk: list[str], most: int = TOTAL) -> DataFrame:
 
 def split(df: DataFrame, key: str, label: str = "label", share: float = VALIDATION, seed: int = 42) -> DataFrame:
     """Adds `validation`: a share of each label."""
-    own = Window.partitionBy(label)
-    k, n = F.row_number().over(own.orderBy(row_hash(F.col(key), seed), key)), F.count("*").over(own)
-    return df.withColumn("validation", (k <= F.round(n * share)).cast("int"))
+    chosen = first_rows(df, [label], key, F.round(F.col("_n") * share), seed)
+    return chosen.withColumn("validation", F.col("first").cast("int")).drop("first")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
