@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomForestClassifier
+from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from pyspark.storagelevel import StorageLevel
 
 from flowlens.functions.text import aligned, confidence_label
 from flowlens.ml.prep import class_weights, with_flags
 from flowlens.schema import CLASSES, TRAIN_FEATURES
+from flowlens.sources.shared import shared_path
 
 
 def weighted(train: DataFrame) -> DataFrame:
@@ -33,20 +38,63 @@ def fit(kind: str, train: DataFrame, features: list[str] | None = None, seed: in
     if kind == "rf":
         last = [RandomForestClassifier(**common, seed=seed, **({"numTrees": 200, "maxDepth": 20} | options))]
     elif kind == "dt":
+        # Leaves of ten rows leave nothing to a bound of ten rows on what is split.
+        if options.get("impurity") == "log_loss":
+            options["impurity"] = "entropy"
         last = [DecisionTreeClassifier(**common, seed=seed, **({"maxDepth": 20, "minInstancesPerNode": 10} | options))]
     elif kind == "svm":
-        scale = StandardScaler(inputCol="x", outputCol="scaled", withMean=False, withStd=True)
-        sides = SQLTransformer(statement="SELECT *, " + ", ".join(f"CASE WHEN y = {k} THEN 1.0 ELSE 0.0 END AS _y{k}" for k in range(len(CLASSES))) + " FROM __THIS__")
-        svc = {"featuresCol": "scaled", "weightCol": "weight", "maxIter": options.pop("maxIter", 100), "regParam": options.pop("regParam", 1e-4)}
-        one_of = [LinearSVC(labelCol=f"_y{k}", predictionCol=f"_p{k}", rawPredictionCol=f"_m{k}", **svc) for k in range(len(CLASSES))]
-        margins = VectorAssembler(inputCols=[f"_m{k}" for k in range(len(CLASSES))], outputCol="margins")
-        # Sigmoid calibration of the margins, one class against the rest.
-        last = [scale, sides, *one_of, margins, LogisticRegression(featuresCol="margins", labelCol="y", weightCol="weight")]
+        return _calibrated_svm(train, features, **options)
     else:
         raise ValueError(f"no such model: {kind}")
     return Pipeline(stages=[*_stages(features), *last]).fit(weighted(train))
 
 
+def _platt(df: DataFrame, y: str) -> DataFrame:
+    """df with column y of 0 and 1 drawn in from the ends by the numbers of both: 1 / (zeros + 2), (ones + 1) / (ones + 2)."""
+    n = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(y), F.lit(0.0)).alias("ones")).first()
+    ones, zeros = n["ones"], n["n"] - n["ones"]
+    return df.withColumn(y, F.when(F.col(y) == 1, (ones + 1) / (ones + 2)).otherwise(1 / (zeros + 2)))
+
+
+def _calibrated_svm(train: DataFrame, features: list[str], method: str = "sigmoid", folds: int = 3, **options) -> PipelineModel:
+    """Scaled features, a linear SVM for each class against the rest, and its margin's calibration to a probability.
+
+    Calibration sees margins of rows that the SVM behind them was not fitted on: rows fall into folds by a hash of
+    their features, so equal rows share one, each fold's margins come from an SVM fitted on the others, and the
+    pooled margins fit a sigmoid (method "sigmoid", with targets drawn in from 0 and 1) or a monotone step function
+    with straight lines between (method "isotonic").  The SVM that scores is fitted on all rows.  Probabilities of a
+    row sum to 1; where all are 0, each class gets the same.
+    """
+    if method not in ("sigmoid", "isotonic"):
+        raise ValueError(f"no such calibration: {method}")
+    classes = range(len(CLASSES))
+    sides = ", ".join(f"CASE WHEN y = {k} THEN 1.0D ELSE 0.0D END AS _y{k}" for k in classes)
+    head = Pipeline(stages=[*_stages(features), StandardScaler(inputCol="x", outputCol="scaled", withMean=False, withStd=True), SQLTransformer(statement=f"SELECT *, {sides} FROM __THIS__")]).fit(weighted(train))
+    fold = F.pmod(F.xxhash64(*features), F.lit(folds)).alias("_fold")
+    rows = head.transform(weighted(train)).select("scaled", "weight", fold, *[f"_y{k}" for k in classes]).persist(StorageLevel.DISK_ONLY)
+    svm = {"featuresCol": "scaled", "weightCol": "weight", "maxIter": options.pop("maxIter", 100), "regParam": options.pop("regParam", 1e-4)} | options
+    last = []
+    try:
+        for k in classes:
+            linear = LinearSVC(labelCol=f"_y{k}", predictionCol=f"_p{k}", rawPredictionCol=f"_m{k}", **svm)
+            margin = VectorSlicer(inputCol=f"_m{k}", outputCol=f"_v{k}", indices=[1])
+            unseen = [margin.transform(linear.fit(rows.where(F.col("_fold") != i)).transform(rows.where(F.col("_fold") == i))) for i in range(folds)]
+            pooled = reduce(DataFrame.unionByName, unseen).select(f"_v{k}", f"_y{k}")
+            if method == "sigmoid":
+                # A small penalty keeps the slope finite where margins part the class from the rest.
+                curve = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol=f"_v{k}", labelCol=f"_y{k}", predictionCol=f"_c{k}", regParam=1e-6).fit(_platt(pooled, f"_y{k}"))
+            else:
+                curve = IsotonicRegression(featuresCol=f"_v{k}", labelCol=f"_y{k}", predictionCol=f"_c{k}").fit(pooled)
+            last += [linear.fit(rows), margin, curve]
+    finally:
+        rows.unpersist()
+    total = " + ".join(f"_c{k}" for k in classes)
+    parts = ", ".join(f"CASE WHEN {total} > 0 THEN _c{k} / ({total}) ELSE 1.0D / {len(CLASSES)} END AS _q{k}" for k in classes)
+    best = "CAST(array_position(array({0}), array_max(array({0}))) - 1 AS DOUBLE)".format(", ".join(f"_q{k}" for k in classes))
+    shares = [SQLTransformer(statement=f"SELECT *, {parts} FROM __THIS__"), VectorAssembler(inputCols=[f"_q{k}" for k in classes], outputCol="probability"), SQLTransformer(statement=f"SELECT *, {best} AS prediction FROM __THIS__")]
+    return PipelineModel([*head.stages, *last, *shares])
+
+
 def predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
     """df with `prediction_label` and `confidence`, the largest class probability."""
     labels = model.stages[0].labels
@@ -68,8 +116,8 @@ def score(model: PipelineModel, features: DataFrame, names: list[str] | None = N
     return out.select(*[c for c in features.columns if c != "label"], confidence_label(F.col("confidence")).alias("label"), "confidence")
 
 
-#: Queries of a block and training rows of a slice, about; training rows compared at once.
-BLOCK, SLICE, COLUMNS = 1_000, 20_000, 2_048
+#: Queries of a block and training rows of a slice, about; training rows compared at once; most cells.
+BLOCK, SLICE, COLUMNS, CELLS = 1_000, 20_000, 2_048, 256
 
 
 def _nearest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,37 +135,133 @@ def _nearest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return best, at
 
 
-def knn(train: DataFrame, queries: DataFrame, k: int = 25, key: str = "id") -> DataFrame:
-    """key, prediction of queries by distance-weighted votes of the k nearest training rows.
+def _points(table: pa.Table | pa.RecordBatch, name: str = "vector") -> np.ndarray:
+    column = table.column(name)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
-    Both have key (a unique number) and vector (array of doubles), train also label.
-    Queries come in blocks, training rows in slices; a task compares one block with one slice and
-    keeps each query's k nearest, and these meet by query.  Neither side's size is bounded.
-    A training row at distance 0 outvotes the rest; ties go to the alphabet.
-    """
-    n_blocks, n_slices = (max(1, -(-df.count() // n)) for df, n in ((queries, BLOCK), (train, SLICE)))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    asked = queries.select(key, "vector", dealt(n_blocks).alias("block"), each(n_slices).alias("slice"))
-    known = train.select(key, "vector", "label", dealt(n_slices).alias("slice"), each(n_blocks).alias("block"))
-    kind = dict(queries.dtypes)[key]
 
-    def points(table: pa.Table) -> np.ndarray:
-        return table.column("vector").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all of x from all of y."""
+    d = np.zeros((len(x), len(y)))
+    for a, b in zip(x.T, y.T, strict=True):
+        d += (a[:, None] - b[None, :]) ** 2
+    return np.sqrt(d)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _searched(asked: DataFrame, known: DataFrame, sizes: dict[int, int], k: int, key: str, kind: str) -> DataFrame:
+    """key, neighbour, label, d: the k nearest of each slice of the cells that a query asks, with `of`, the slice's rows, once.
+
+    asked has key, vector, cell, a row for each cell asked; known key, vector, label, cell.  A cell goes in slices and
+    its queries in blocks, and a task compares one block with one slice.
+    """
+    asked = _written(asked, "asked")
+    asking = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row per cell
+    table = lambda counts, most: F.element_at(F.array(*[F.lit(max(1, -(-counts.get(c, 0) // most))) for c in range(max([*sizes, *asking, 0]) + 1)]), F.col("cell") + 1)
+    slices, blocks = table(sizes, SLICE), table(asking, BLOCK)
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    dealt = lambda n: F.pmod(F.xxhash64(key), n).cast("int")
+    left = asked.select(key, "vector", "cell", dealt(blocks).alias("block"), each(slices).alias("slice"))
+    right = known.where(F.col("cell").isin(*asking)).select(key, "vector", "label", "cell", dealt(slices).alias("slice"), each(blocks).alias("block"))
 
     def search(some: pa.Table, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by(key)
-        d, at = _nearest(points(some), points(rows), k) if some.num_rows and rows.num_rows else (np.empty((0, 0)), np.empty((0, 0), np.int64))
+        d, at = _nearest(_points(some), _points(rows), k) if some.num_rows and rows.num_rows else (np.empty((0, 0)), np.empty((0, 0), np.int64))
         found = pa.array(at.ravel())
         mine = some.column(key).take(pa.array(np.repeat(np.arange(len(at)), at.shape[1])))
-        return pa.table({key: mine, "neighbour": rows.column(key).take(found), "label": rows.column("label").take(found), "d": np.sqrt(d).ravel()})
+        of = np.zeros(at.shape, np.int64)
+        of[:, :1] = rows.num_rows
+        return pa.table({key: mine, "neighbour": rows.column(key).take(found), "label": rows.column("label").take(found), "d": np.sqrt(d).ravel(), "of": of.ravel()})
+
+    units = left.groupBy("cell", "block", "slice").cogroup(right.groupBy("cell", "block", "slice"))
+    return units.applyInArrow(search, f"{key} {kind}, neighbour {kind}, label string, d double, of long")
+
 
-    units = asked.groupBy("block", "slice").cogroup(known.groupBy("block", "slice"))
-    found = units.applyInArrow(search, f"{key} {kind}, neighbour {kind}, label string, d double")
-    best = Window.partitionBy(key).orderBy("d", "neighbour")
-    top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+def _top(found: DataFrame, k: int, key: str) -> DataFrame:
+    own = Window.partitionBy(key)
+    ranked = found.withColumns({"n": F.row_number().over(own.orderBy("d", "neighbour")), "compared": F.sum("of").over(own)})
+    return ranked.where(F.col("n") <= k).drop("of")
+
+
+def nearest(train: DataFrame, queries: DataFrame, k: int = 25, key: str = "id") -> DataFrame:
+    """key, neighbour, label, d, n from 1, compared (training rows a query was compared with): the exact k nearest.
+
+    Training rows fall into cells, each around the nearest of at most CELLS pivots (the training rows first by a
+    hash; they decide cells only).  A query searches its nearest cells until they have k rows; its k-th distance then
+    bounds the cells that can hold nearer ones: those whose pivot is not farther than that and the cell's radius, and
+    whose border with the query's own cell is not farther.  Both sides may be of any size, and so may a cell.
+    """
+    spark, kind = train.sparkSession, dict(queries.dtypes)[key]
+    width = len((train.select("vector").first() or [[]])[0])
+    picked = train.orderBy(F.xxhash64(key), key).limit(CELLS).select("vector").collect()
+    pivots = np.unique(np.array([r[0] for r in picked], dtype=float).reshape(len(picked), width), axis=0)
+    if not len(pivots):
+        return spark.createDataFrame([], f"{key} {kind}, neighbour {kind}, label string, d double, n int, compared long")
+
+    def placed(batches):
+        for batch in batches:
+            d = _far(_points(batch), pivots)
+            cell = d.argmin(1) if len(d) else np.empty(0, np.int64)
+            for name, values in (("cell", cell.astype(np.int32)), ("r", d[np.arange(len(d)), cell])):
+                batch = batch.append_column(name, pa.array(values))
+            yield batch
+
+    known = _written(train.select(key, "vector", "label").mapInArrow(placed, f"{key} {kind}, vector array<double>, label string, cell int, r double"), "cells")
+    stats = {r["cell"]: r for r in known.groupBy("cell").agg(F.count("*").alias("rows"), F.max("r").alias("r")).collect()}  # CELLS rows at most
+    sizes = {c: r["rows"] for c, r in stats.items()}
+    cells = np.array(sorted(stats))
+    centres, rows, radius = pivots[cells], np.array([sizes[c] for c in cells]), np.array([stats[c]["r"] for c in cells])
+    apart = _far(centres, centres)
+
+    def first(d: np.ndarray) -> np.ndarray:
+        """Which cells a query searches first: the nearest until they have k rows."""
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(rows[order], axis=1) - rows[order]
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, before < k, 1)
+        return out
+
+    def chosen(batch, ask: np.ndarray) -> pa.RecordBatch:
+        q, c = np.nonzero(ask)
+        return pa.record_batch({n: batch.column(n).take(pa.array(q)) for n in (key, "vector")} | {"cell": pa.array(cells[c].astype(np.int32))})
+
+    def at_first(batches):
+        for batch in batches:
+            yield chosen(batch, first(_far(_points(batch), centres)))
+
+    def then(batches):
+        for batch in batches:
+            d = _far(_points(batch), centres)
+            bound = batch.column("bound").to_numpy(zero_copy_only=False)[:, None] * (1 + 1e-9) + 1e-9
+            own = d.argmin(1) if len(d) else np.empty(0, np.int64)
+            nearest_d, between = d.min(1, initial=np.inf)[:, None], apart[own]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                border = np.where(between > 0, (d**2 - nearest_d**2) / (2 * between), 0.0)
+            yield chosen(batch, (d - radius <= bound) & (border <= bound * (1 + 1e-9)) & ~first(d))
+
+    asked = queries.select(key, "vector")
+    schema = f"{key} {kind}, vector array<double>, cell int"
+    one = _written(_top(_searched(asked.mapInArrow(at_first, schema), known, sizes, k, key, kind), k, key), "nearest")
+    bounds = one.groupBy(key).agg(F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf")).alias("bound"))
+    two = _searched(asked.join(bounds, key).mapInArrow(then, schema), known, sizes, k, key, kind)
+    again = one.select(key, "neighbour", "label", "d", F.when(F.col("n") == 1, F.col("compared")).otherwise(0).alias("of"))
+    return _top(again.unionByName(two), k, key).select(key, "neighbour", "label", "d", "n", "compared")
+
+
+def knn(train: DataFrame, queries: DataFrame, k: int = 25, key: str = "id") -> DataFrame:
+    """key, prediction of queries by distance-weighted votes of the k nearest training rows.
+
+    Both have key (a unique number) and vector (array of doubles), train also label.
+    A training row at distance 0 outvotes the rest; ties go to the alphabet.
+    """
     vote = F.when(F.col("d") == 0, F.lit(1e18)).otherwise(1 / F.col("d"))
-    votes = top.groupBy(key, "label").agg(F.sum(vote).alias("votes"))
+    votes = nearest(train, queries, k, key).groupBy(key, "label").agg(F.sum(vote).alias("votes"))
     return votes.groupBy(key).agg(F.min(F.struct(-F.col("votes"), F.col("label")))["label"].alias("prediction"))
 
 
@@ -128,4 +272,4 @@ def scaled_vectors(train: DataFrame, rows: DataFrame, features: list[str] | None
     return [model.transform(df).withColumn("vector", vector_to_array("scaled")) for df in (train, rows)]
 
 
-__all__ = ["fit", "knn", "matrix", "predicted", "scaled_vectors", "score", "weighted"]
+__all__ = ["fit", "knn", "matrix", "nearest", "predicted", "scaled_vectors", "score", "weighted"]
