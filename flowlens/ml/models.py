@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import numpy as np
@@ -11,15 +12,15 @@ from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomF
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.storagelevel import StorageLevel
 
 from flowlens.functions.text import aligned, confidence_label
 from flowlens.ml.prep import class_weights, with_flags
-from flowlens.schema import CLASSES, TRAIN_FEATURES
-from flowlens.sources.shared import shared_path
+from flowlens.schema import TRAIN_FEATURES
+from flowlens.sources.shared import written
 
 
 def weighted(train: DataFrame) -> DataFrame:
@@ -67,11 +68,11 @@ def _calibrated_svm(train: DataFrame, features: list[str], method: str = "sigmoi
     """
     if method not in ("sigmoid", "isotonic"):
         raise ValueError(f"no such calibration: {method}")
-    classes = range(len(CLASSES))
-    sides = ", ".join(f"CASE WHEN y = {k} THEN 1.0D ELSE 0.0D END AS _y{k}" for k in classes)
-    head = Pipeline(stages=[*_stages(features), StandardScaler(inputCol="x", outputCol="scaled", withMean=False, withStd=True), SQLTransformer(statement=f"SELECT *, {sides} FROM __THIS__")]).fit(weighted(train))
+    head = Pipeline(stages=[*_stages(features), StandardScaler(inputCol="x", outputCol="scaled", withMean=False, withStd=True)]).fit(weighted(train))
+    classes = range(len(head.stages[0].labels))
+    sides = SQLTransformer(statement="SELECT *, " + ", ".join(f"CASE WHEN y = {k} THEN 1.0D ELSE 0.0D END AS _y{k}" for k in classes) + " FROM __THIS__")
     fold = F.pmod(F.xxhash64(*features), F.lit(folds)).alias("_fold")
-    rows = head.transform(weighted(train)).select("scaled", "weight", fold, *[f"_y{k}" for k in classes]).persist(StorageLevel.DISK_ONLY)
+    rows = sides.transform(head.transform(weighted(train))).select("scaled", "weight", fold, *[f"_y{k}" for k in classes]).persist(StorageLevel.DISK_ONLY)
     svm = {"featuresCol": "scaled", "weightCol": "weight", "maxIter": options.pop("maxIter", 100), "regParam": options.pop("regParam", 1e-4)} | options
     last = []
     try:
@@ -89,7 +90,7 @@ def _calibrated_svm(train: DataFrame, features: list[str], method: str = "sigmoi
     finally:
         rows.unpersist()
     total = " + ".join(f"_c{k}" for k in classes)
-    parts = ", ".join(f"CASE WHEN {total} > 0 THEN _c{k} / ({total}) ELSE 1.0D / {len(CLASSES)} END AS _q{k}" for k in classes)
+    parts = ", ".join(f"CASE WHEN {total} > 0 THEN _c{k} / ({total}) ELSE 1.0D / {len(classes)} END AS _q{k}" for k in classes)
     best = "CAST(array_position(array({0}), array_max(array({0}))) - 1 AS DOUBLE)".format(", ".join(f"_q{k}" for k in classes))
     shares = [SQLTransformer(statement=f"SELECT *, {parts} FROM __THIS__"), VectorAssembler(inputCols=[f"_q{k}" for k in classes], outputCol="probability"), SQLTransformer(statement=f"SELECT *, {best} AS prediction FROM __THIS__")]
     return PipelineModel([*head.stages, *last, *shares])
@@ -103,6 +104,26 @@ def predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.withColumns({"prediction_label": name, "confidence": F.array_max(vector_to_array("probability"))})
 
 
+def save(model: PipelineModel, path: str, features: list[str], validated: DataFrame | None = None, **facts) -> None:
+    """The model with its facts as JSON and, given label and prediction of rows held out, a report as text; old files are replaced."""
+    from flowlens.ml import metrics
+
+    model.write().overwrite().save(f"{path}/model")
+    texts = {"meta": json.dumps({"features": features, "classes": model.stages[0].labels, **facts}, indent=2)}
+    if validated is not None:
+        # Both are small: a row per class or name.
+        shown = [("Confusion Matrix:", metrics.confusion(validated).orderBy("label")), ("Classification Report:", metrics.report(validated))]
+        texts["report"] = "\n\n".join("\n".join([title, "\t".join(df.columns), *["\t".join(map(str, r)) for r in df.collect()]]) for title, df in shown)
+    for name, text in texts.items():
+        lines = validated.sparkSession if validated is not None else SparkSession.active()
+        lines.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    """A saved model and its facts."""
+    return PipelineModel.load(f"{path}/model"), json.loads("\n".join(r.value for r in spark.read.text(f"{path}/meta", wholetext=True).collect()))
+
+
 def matrix(features: DataFrame, names: list[str] | None = None) -> DataFrame:
     """features with the model's columns as training has them: flags of tcp_flags, missing columns and numbers 0, 32-bit floats."""
     names = names or TRAIN_FEATURES
@@ -149,19 +170,13 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(d)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _searched(asked: DataFrame, known: DataFrame, sizes: dict[int, int], k: int, key: str, kind: str) -> DataFrame:
     """key, neighbour, label, d: the k nearest of each slice of the cells that a query asks, with `of`, the slice's rows, once.
 
     asked has key, vector, cell, a row for each cell asked; known key, vector, label, cell.  A cell goes in slices and
     its queries in blocks, and a task compares one block with one slice.
     """
-    asked = _written(asked, "asked")
+    asked = written(asked, "asked")
     asking = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row per cell
     table = lambda counts, most: F.element_at(F.array(*[F.lit(max(1, -(-counts.get(c, 0) // most))) for c in range(max([*sizes, *asking, 0]) + 1)]), F.col("cell") + 1)
     slices, blocks = table(sizes, SLICE), table(asking, BLOCK)
@@ -212,7 +227,7 @@ def nearest(train: DataFrame, queries: DataFrame, k: int = 25, key: str = "id")
                 batch = batch.append_column(name, pa.array(values))
             yield batch
 
-    known = _written(train.select(key, "vector", "label").mapInArrow(placed, f"{key} {kind}, vector array<double>, label string, cell int, r double"), "cells")
+    known = written(train.select(key, "vector", "label").mapInArrow(placed, f"{key} {kind}, vector array<double>, label string, cell int, r double"), "cells")
     stats = {r["cell"]: r for r in known.groupBy("cell").agg(F.count("*").alias("rows"), F.max("r").alias("r")).collect()}  # CELLS rows at most
     sizes = {c: r["rows"] for c, r in stats.items()}
     cells = np.array(sorted(stats))
@@ -247,7 +262,7 @@ def nearest(train: DataFrame, queries: DataFrame, k: int = 25, key: str = "id")
 
     asked = queries.select(key, "vector")
     schema = f"{key} {kind}, vector array<double>, cell int"
-    one = _written(_top(_searched(asked.mapInArrow(at_first, schema), known, sizes, k, key, kind), k, key), "nearest")
+    one = written(_top(_searched(asked.mapInArrow(at_first, schema), known, sizes, k, key, kind), k, key), "nearest")
     bounds = one.groupBy(key).agg(F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf")).alias("bound"))
     two = _searched(asked.join(bounds, key).mapInArrow(then, schema), known, sizes, k, key, kind)
     again = one.select(key, "neighbour", "label", "d", F.when(F.col("n") == 1, F.col("compared")).otherwise(0).alias("of"))
@@ -272,4 +287,4 @@ def scaled_vectors(train: DataFrame, rows: DataFrame, features: list[str] | None
     return [model.transform(df).withColumn("vector", vector_to_array("scaled")) for df in (train, rows)]
 
 
-__all__ = ["fit", "knn", "matrix", "nearest", "predicted", "scaled_vectors", "score", "weighted"]
+__all__ = ["fit", "knn", "load", "matrix", "nearest", "save", "predicted", "scaled_vectors", "score", "weighted"]

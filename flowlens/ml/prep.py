@@ -18,9 +18,9 @@ from pyspark.sql.window import Window
 from flowlens.functions.header import flag_bits, flag_letters
 from flowlens.functions.text import aligned, existing, label_from_score, label_name, number
 from flowlens.schema import CLASSES, LABEL_CANDIDATES, TRAIN_FEATURES
-from flowlens.sources.shared import shared_path
+from flowlens.sources.shared import written
 
-CHUNK_ROWS, SAMPLE, PER_FILE, TOTAL, VALIDATION = 200_000, 0.15, 80_000, 1_500_000, 0.2
+SAMPLE, PER_FILE, TOTAL, VALIDATION = 0.15, 80_000, 1_500_000, 0.2
 
 
 def label_column(columns: list[str], wanted: str = "Label") -> str | None:
@@ -80,37 +80,31 @@ def _joined(df: DataFrame, bins: DataFrame, columns: list[str], how: str) -> Dat
 def _cuts(df: DataFrame, strata: list[str], key: str, quota: Column, seed: int) -> DataFrame:
     """strata (after an underscore), _cut: the last (hash, key) within quota, a column over `_n`, the stratum's rows.
     Strata without any row within their quota are absent."""
-    slim = _written(df.select(*strata, row_hash(F.col(key), seed).alias("_h"), F.col(key).alias("_key")), "keys")  # read once a round
+    slim = written(df.select(*strata, row_hash(F.col(key), seed).alias("_h"), F.col(key).alias("_key")), "keys")  # read once a round
     under = [F.col(c).alias(f"_{c}") for c in strata]
     # _bin: the hash's leading bits; _want: rows to take of it; _n: rows in it.
     bins = slim.groupBy(*under).agg(F.count("*").alias("_n")).withColumn("_want", F.least(quota.cast("long"), F.col("_n"))).where("_want > 0").withColumn("_bin", F.lit(0).cast("long"))
-    bins, bits = _written(bins, "strata"), 0
+    bins, bits = written(bins, "strata"), 0
     while bits < 32 and (bins.agg(F.max("_n")).first()[0] or 0) > BOUNDARY:
         left, finer = 32 - bits, min(32, bits + BITS)
         within = _joined(slim, bins.drop("_n"), strata, "inner").where(F.shiftright("_h", left) == F.col("_bin"))
         counts = within.groupBy(*under, "_want", F.shiftright("_h", 32 - finer).alias("_bin")).agg(F.count("*").alias("_n"))
         upto = F.sum("_n").over(Window.partitionBy(*[f"_{c}" for c in strata]).orderBy("_bin"))  # 2**BITS rows a stratum at most
         ended = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
-        bins, bits = _written(ended.withColumn("_want", F.col("_want") - F.col("_upto") + F.col("_n")).drop("_upto"), "strata"), finer
+        bins, bits = written(ended.withColumn("_want", F.col("_want") - F.col("_upto") + F.col("_n")).drop("_upto"), "strata"), finer
     last = _joined(slim, bins.drop("_n"), strata, "inner").where(F.shiftright("_h", 32 - bits) == F.col("_bin"))
     order = F.row_number().over(Window.partitionBy(*strata).orderBy("_h", "_key"))
     at = last.withColumn("_k", order).where(F.col("_k") == F.col("_want"))
     return at.select(*under, F.struct("_h", "_key").alias("_cut"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def first_rows(df: DataFrame, strata: list[str], key: str, quota: Column, seed: int = 42) -> DataFrame:
     """df with boolean `first`: whether a row is among its stratum's quota first ones by hash and key.
 
     quota is a column over `_n`, the rows of the stratum.  key is an integer, different in all rows;
     rows with a null key are never first.  NULLs make a stratum of their own.
     """
-    cuts = _written(_cuts(df.where(F.col(key).isNotNull()), strata, key, quota, seed), "cuts")
+    cuts = written(_cuts(df.where(F.col(key).isNotNull()), strata, key, quota, seed), "cuts")
     own = F.struct(row_hash(F.col(key), seed).alias("_h"), F.col(key).alias("_key"))
     return _joined(df, cuts, strata, "left").withColumn("first", F.coalesce(own <= F.col("_cut"), F.lit(False)) & F.col(key).isNotNull()).drop("_cut")
 

@@ -129,8 +129,10 @@ def flow_lines(flows: DataFrame) -> DataFrame:
     return flows.select("first_frame_no", line.alias("line"))
 
 
-def frame_lines(packets: DataFrame, preview: int = 32) -> DataFrame:
-    """The capture log's lines of each packet, with a preview of its first payload bytes.
+def frame_lines(packets: DataFrame, preview: int | None = 32) -> DataFrame:
+    """The capture log's lines of each packet, with a preview of its first bytes or, where preview is None, all of them.
+
+    Bytes are those of the frame, of the payload if packets have no frame.
 
     The line of times is written if packets have them (features.with_times); flags of the IP header, TCP
     sequence numbers, UDP lengths, all VLAN tags and IPv6 as such if packets have what decoded captures have.
@@ -152,6 +154,11 @@ def frame_lines(packets: DataFrame, preview: int = 32) -> DataFrame:
     v4 = F.concat(F.lit("L3: IPv"), s("ip_version"), F.lit(" "), F.col("ip_src"), F.lit("->"), F.col("ip_dst"), F.lit(" proto="), s("ip_proto"), F.lit(" ttl="), s("ttl_hlim"),
                   F.lit(" id="), s("ip_id"), told(" flags=", bits), F.lit(" DSCP="), s("dscp"), F.lit(" ECN="), s("ecn"), F.lit(" frag_off="), s("ip_frag_off"))
     v6 = F.concat(F.lit("L3: IPv6 "), F.col("ip_src"), F.lit("->"), F.col("ip_dst"), F.lit(" nh="), none(s("l4_proto")), F.lit(" hlim="), s("ttl_hlim"), F.lit(" tc="), (F.col("dscp") * 4 + F.col("ecn")).cast("string"))
+    data = F.col("frame" if "frame" in packets.columns else "payload")
+    if preview is None:
+        shown = F.concat(F.lit("FrameBytes("), F.length(data).cast("string"), F.lit("B): "), hex_preview(data))
+    else:
+        shown = F.concat(F.lit("PayloadPreview("), F.least(F.lit(preview), F.length(data)).cast("string"), F.lit("B): "), hex_preview(data, preview))
     lines = [
         F.concat(F.lit("=== Frame "), s("frame_no"), F.lit(" ===")),
         *times,
@@ -164,6 +171,6 @@ def frame_lines(packets: DataFrame, preview: int = 32) -> DataFrame:
         F.when(F.col("l4_proto").isin(6, 17), F.concat(F.lit("  L4_checksum="), ok("l4_checksum_ok"))),
         F.when(tcp, F.concat(F.lit("TLS SNI="), F.nullif(tls_sni(F.col("payload")), F.lit("")))),
         F.when(tcp, F.concat(F.lit("HTTP "), http["method"], F.lit(" host="), none(http["host"]), F.lit(" path="), none(http["path"]))),
-        F.concat(F.lit("PayloadPreview("), F.least(F.lit(preview), F.length("payload")).cast("string"), F.lit("B): "), hex_preview(F.col("payload"), preview)),
+        shown,
     ]
     return packets.select("frame_no", F.concat_ws("\n", *lines).alias("line"))

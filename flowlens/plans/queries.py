@@ -17,7 +17,7 @@ from flowlens.operators.flows import flows, running, times_between
 from flowlens.operators.rules import coerced, with_heuristics
 from flowlens.plans.oracle import sql
 from flowlens.plans.packets import packets
-from flowlens.sources import capture, pcap
+from flowlens.sources import capture, log, pcap
 from flowlens.sources.shared import partitions, shared_path
 from flowlens.schema import (
     EVIDENCE_COLS, EVIDENCE_EXPORT_COLS, FEATURE_COLS, FLAG_LETTERS, FLOW_COLS, SCORE_COLS, SSH_SMB, TOP_FLOW_COLS, TOP_PACKET_COLS, TRAIN_FEATURES,
@@ -344,5 +344,17 @@ add("frame_log_lines_all", on_packets(lambda p: dashboard.frame_lines(with_times
  || coalesce('HTTP ' || hm || ' host=' || case when evidence='http' then hh else 'None' end || ' path=' || hp || chr(10), '')
  || 'PayloadPreview(' || cast(least(32, length(shown)//2) as varchar) || 'B): ' || trim(regexp_replace(lower(left(shown, 64)), '(..)', '\\1 ', 'g')) as line
  from (select *, {_BYTES} as shown from keyed) x, (select ts_us as t0 from pkt order by frame_no limit 1) t""", "facts")
-add("log_lines", lambda s, d: dashboard.flow_lines(flows(packets(s, d))).select(F.length("line").cast("long").alias("size"), "line"),
+
+
+def _log(spark: SparkSession, d: str) -> str:
+    """The path of a written log of all packets and flows."""
+    path, p = shared_path(spark, "log"), packets(spark, d)
+    log.write_log(with_times(p), flows(p), path)
+    return path
+
+
+_LOGGED = "frame_no eth_src eth_dst eth_type vlan_id vlan_prio ip_version ip_src ip_dst ip_proto ttl_hlim ip_id dscp ecn ip_frag_off ipv4_checksum_ok l4_checksum_ok l4_proto sport dport tcp_flags tcp_win".split()
+add("log_packets", lambda s, d: log.read_packets(s, _log(s, d)).select(*_LOGGED, F.coalesce("http_path", F.lit("")).alias("path"), F.coalesce("tls_sni", F.lit("")).alias("name")),
+    f"select {names("nullif(tcp_flags, '') as tcp_flags" if c == 'tcp_flags' else c for c in _LOGGED)}, coalesce(hp, '') as path, coalesce(sni, '') as name from keyed", "facts")
+add("log_lines", lambda s, d: log.read_flow_lines(s, _log(s, d)).select(F.length("line").cast("long").alias("size"), "line"),
     ORACLE_SQL["flow_summary_lines"].replace("select first_frame_no, ", "select cast(length(line) as bigint) as size, line from (select ", 1) + ") t")

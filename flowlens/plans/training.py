@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from flowlens.plans.oracle import sql
 from flowlens.plans.packets import packets
 from flowlens.plans.queries import Query, names
 from flowlens.schema import FEATURE_COLS, SSH_SMB, TRAIN_FEATURES
+from flowlens.sources import tables
 from flowlens.sources.shared import shared_path
 from flowlens.streaming import flows as streaming
 
@@ -45,7 +45,20 @@ def ready(spark: SparkSession, d: str) -> DataFrame:
     return prep.prepared(corpus(spark, d), keys=("frame_no", "file", "chunk", "k"))
 
 
-add("train_scan", lambda s, d: corpus(s, d).groupBy("file", "chunk").agg(F.count("*").alias("n")), over_corpus("select file, chunk, count(*) as n from corpus group by file, chunk"))
+
+
+def train_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of chunks of 600 over CSV files of 2,000 packets, each in order, written and read back by a glob."""
+    path, part = shared_path(spark, "training"), F.floor(F.col("frame_no") / 2000).alias("part")
+    files = corpus(spark, d).select("frame_no", "len_bytes", "tcp_flags", "Label", part).repartition("part").sortWithinPartitions("part", "frame_no")
+    files.write.partitionBy("part").option("header", True).csv(path)
+    rows = tables.read_training(spark, f"{path}/part=*/*.csv", 600)
+    part = F.regexp_extract("file", "part=([0-9]+)/", 1).cast("long").alias("part")
+    return rows.groupBy(part, "chunk").agg(F.count("*").alias("n"), F.min(F.col("frame_no").cast("long")).alias("first"), F.max(F.col("frame_no").cast("long")).alias("last"))
+
+
+add("train_scan", train_scan, over_corpus("""select part, chunk, count(*) as n, min(frame_no) as first, max(frame_no) as last from
+ (select *, (row_number() over (partition by part order by frame_no) - 1)//600 as chunk from (select frame_no, frame_no//2000 as part from corpus) a) b group by part, chunk""").replace("frame_no%3 as file, frame_no//600 as chunk", "frame_no%3 as file"))
 add("train_columns", lambda s, d: prep.train_columns(corpus(s, d)).select("len_bytes", "dport", "tcp_flags"), over_corpus("select len_bytes, dport, tcp_flags from corpus"))
 
 
@@ -122,12 +135,13 @@ add("ml_knn", ml_knn)
 
 
 def ml_score(spark: SparkSession, d: str, reload: bool = False) -> DataFrame:
-    model = models.fit("dt", ready(spark, d))
+    model, names_ = models.fit("dt", ready(spark, d)), TRAIN_FEATURES
     if reload:
         path = shared_path(spark, "model-dt")
-        model.write().save(path)
-        model = PipelineModel.load(path)
-    return models.score(model, features(packets(spark, d)), TRAIN_FEATURES).select("frame_no", "label", F.round("confidence", 9).alias("confidence"))
+        models.save(model, path, names_)
+        model, facts = models.load(spark, path)
+        names_ = facts["features"]
+    return models.score(model, features(packets(spark, d)), names_).select("frame_no", "label", F.round("confidence", 9).alias("confidence"))
 
 
 add("ml_score", ml_score)

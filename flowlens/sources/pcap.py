@@ -172,4 +172,5 @@ def decoded(frames: DataFrame) -> DataFrame:
         F.when(tcp, long_at(4)).alias("tcp_seq"), F.when(tcp, long_at(8)).alias("tcp_ack"), F.when(udp, h.be16(F.col("_l4"), 4)).alias("udp_len"),
         h.l4_checksum_ok(F.when(v4, 4).when(v6, 6), F.col("_proto"), raw(13, 9), raw(17, 25), F.col("_l4")).alias("l4_checksum_ok"),
         F.when(tcp, F.substring(F.col("_l4"), offset + 1, F.greatest(size - offset, F.lit(0)))).otherwise(F.lit(b"")).alias("payload"),
+        "frame",
     )

@@ -9,7 +9,7 @@ from oracle import expected, rows
 #: One of each kind; tests/all_queries.py runs all of them.
 SOME = """features_table flows_table scores_table packet_score reputation_reason mac_ip_spoof ones_complement l4_checksum http_parse tls_sni
 flow_ssh flow_smb top_flows protocol_evidence_page export_protocol_evidence protocol_summary_text flow_summary_lines frame_log_lines_all model_feature_matrix train_prep train_label_column
-stratified_sample global_cap train_split classification_report stream_features""".split()
+train_scan log_packets log_lines stratified_sample global_cap train_split classification_report stream_features""".split()
 
 
 @pytest.mark.parametrize("name", SOME)
