@@ -12,7 +12,7 @@ from flowlens.plans.packets import packets
 from flowlens.plans.queries import Query, names
 from flowlens.schema import FEATURE_COLS, SSH_SMB, TRAIN_FEATURES
 from flowlens.sources import tables
-from flowlens.sources.shared import shared_path
+from flowlens.sources.shared import shared_path, written
 from flowlens.streaming import flows as streaming
 
 QUERIES: dict[str, Query] = {}
@@ -45,6 +45,12 @@ def ready(spark: SparkSession, d: str) -> DataFrame:
     return prep.prepared(corpus(spark, d), keys=("frame_no", "file", "chunk", "k"))
 
 
+def kept(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """ready(), of it columns if named, written once for queries that read it several times."""
+    df = ready(spark, d)
+    return written(df.select(*columns) if columns else df, "corpus")
+
+
 
 
 def train_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -76,17 +82,17 @@ add("train_label_column", by_label_column, over_corpus("""select frame_no, 'want
 _SHOWN = ["len_bytes", "vlan_id", "tcp_win", "tcp_flag_SYN", "tcp_flag_ACK", "flow_pkts"]
 add("train_prep", lambda s, d: ready(s, d).select("frame_no", "label", *_SHOWN),
     over_corpus("select frame_no, lab as label, cast(len_bytes as double) as len_bytes, coalesce(vlan_id,0)*1.0 as vlan_id, coalesce(tcp_win,0)*1.0 as tcp_win, case when tcp_flags like '%S%' then 1.0 else 0.0 end as tcp_flag_SYN, case when tcp_flags like '%A%' then 1.0 else 0.0 end as tcp_flag_ACK, cast(flow_pkts as double) as flow_pkts from prep"))
-add("stratified_sample", lambda s, d: prep.stratified(ready(s, d), ["file", "chunk", "label"], "frame_no").select("frame_no", "label"),
+add("stratified_sample", lambda s, d: prep.stratified(kept(s, d, "frame_no", "file", "chunk", "label"), ["file", "chunk", "label"], "frame_no").select("frame_no", "label"),
     over_corpus("select frame_no, lab as label from (select *, row_number() over (partition by file, chunk, lab order by hsh, frame_no) as rn, count(*) over (partition by file, chunk, lab) as n from prep) x where rn <= round(n*0.15)"))
-add("per_file_cap", lambda s, d: prep.capped(ready(s, d), "file", "frame_no", 150).select("frame_no", "file"), over_corpus("select frame_no, file from (select *, row_number() over (partition by file order by hsh, frame_no) as rn from prep) x where rn<=150"))
+add("per_file_cap", lambda s, d: prep.capped(kept(s, d, "frame_no", "file"), "file", "frame_no", 150).select("frame_no", "file"), over_corpus("select frame_no, file from (select *, row_number() over (partition by file order by hsh, frame_no) as rn from prep) x where rn<=150"))
 add("global_cap", lambda s, d: prep.total_cap(ready(s, d), ["file", "chunk"], 500).select("frame_no"),
     over_corpus("select frame_no from prep p join (select file, chunk from (select file, chunk, coalesce(sum(n) over (order by file, chunk rows between unbounded preceding and 1 preceding), 0) as b from (select file, chunk, count(*) as n from prep group by file, chunk) y) z where b<500) q on p.file=q.file and p.chunk=q.chunk"))
 # The caps at their full size.
-add("per_file_cap_full", lambda s, d: prep.capped(ready(s, d), "file", "frame_no").select("frame_no", "file"), ORACLE_SQL["per_file_cap"].replace("rn<=150", f"rn<={prep.PER_FILE}"))
+add("per_file_cap_full", lambda s, d: prep.capped(kept(s, d, "frame_no", "file"), "file", "frame_no").select("frame_no", "file"), ORACLE_SQL["per_file_cap"].replace("rn<=150", f"rn<={prep.PER_FILE}"))
 add("global_cap_full", lambda s, d: prep.total_cap(ready(s, d), ["file", "chunk"]).select("frame_no"), ORACLE_SQL["global_cap"].replace("b<500", f"b<{prep.TOTAL}"))
 add("union_by_name", lambda s, d: prep.union([corpus(s, d).where("file = 0").select("frame_no", "dport"), corpus(s, d).where("file = 1").select("ttl_hlim", "frame_no")]),
     over_corpus("select frame_no, dport, null as ttl_hlim from corpus where file=0 union all select frame_no, null, ttl_hlim from corpus where file=1"))
-add("train_split", lambda s, d: prep.split(ready(s, d), "frame_no").select("frame_no", "validation"),
+add("train_split", lambda s, d: prep.split(kept(s, d, "frame_no", "label"), "frame_no").select("frame_no", "validation"),
     over_corpus("select frame_no, case when rn <= round(n*0.2) then 1 else 0 end as validation from (select *, row_number() over (partition by lab order by hsh, frame_no) as rn, count(*) over (partition by lab) as n from prep) x"))
 add("class_weights", lambda s, d: prep.class_weights(ready(s, d)).select("label", F.round("weight", 9).alias("weight")), over_corpus("select lab as label, round((select count(*) from prep)/(3.0*count(*)), 9) as weight from prep group by lab"))
 
@@ -112,7 +118,7 @@ add("classification_report", lambda s, d: metrics.report(guessed(s, d)), over_co
 
 def _validated(kind: str, **options) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        parts = prep.split(ready(spark, d), "frame_no")
+        parts = written(prep.split(kept(spark, d), "frame_no"), "parts")
         model = models.fit(kind, parts.where("validation = 0"), **options)
         out = models.predicted(model, parts.where("validation = 1"))
         return metrics.report(out.select("label", F.col("prediction_label").alias("prediction")))
@@ -125,7 +131,7 @@ for kind in ("rf", "dt", "svm"):
 
 
 def ml_knn(spark: SparkSession, d: str) -> DataFrame:
-    parts = prep.split(ready(spark, d), "frame_no")
+    parts = written(prep.split(kept(spark, d), "frame_no"), "parts")
     train, rows = models.scaled_vectors(parts.where("validation = 0"), parts.where("validation = 1"))
     found = models.knn(train, rows, key="frame_no")
     return metrics.report(rows.select("frame_no", "label").join(found, "frame_no"))
@@ -135,7 +141,7 @@ add("ml_knn", ml_knn)
 
 
 def ml_score(spark: SparkSession, d: str, reload: bool = False) -> DataFrame:
-    model, names_ = models.fit("dt", ready(spark, d)), TRAIN_FEATURES
+    model, names_ = models.fit("dt", kept(spark, d)), TRAIN_FEATURES
     if reload:
         path = shared_path(spark, "model-dt")
         models.save(model, path, names_)
