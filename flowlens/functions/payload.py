@@ -34,7 +34,8 @@ def http_parse(payload: Column) -> Column:
     line = F.split(text, "\r\n")[0]
     is_request = F.rlike(line, F.lit("^(" + "|".join(HTTP_METHODS) + ") "))
     is_reply = F.startswith(line, F.lit("HTTP/"))
-    host = F.regexp_extract(text, r"(?is)\r\nhost:[ \t\n\x0b\f\r]*(.*?)[ \t\n\x0b\f\r]*(?:\r\n|\z)", 1)
+    host = F.regexp_extract(text, r"(?is)\r\nhost:(.*?)(?:\r\n|\z)", 1)
+    host = F.regexp_replace(host, r"\A[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+\z", "")
     read = lambda x: _utf8(F.encode(x, "ISO-8859-1"))
     return F.struct(
         F.when(is_request, F.split(line, " ")[0]).when(is_reply, "RESP").alias("method"),

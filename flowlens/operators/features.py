@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.header import ts_local
 from flowlens.operators.flowkey import with_flow_key
-from flowlens.operators.flows import KEY, SEGMENT, reassembled, running
+from flowlens.operators.flows import KEY, SEGMENT, running
+from flowlens.operators.reassembly import reassembled
 from flowlens.schema import FEATURE_COLS, SSH_SMB
 
 
@@ -49,7 +50,7 @@ def with_times(packets: DataFrame) -> DataFrame:
 def features(packets: DataFrame, wide: bool = False, width: int = SEGMENT, keep: tuple[str, ...] = ()) -> DataFrame:
     """The 78-column feature table; `wide` adds the SSH and SMB columns, `keep` other columns of packets."""
     flows = [c for c in FEATURE_COLS if c.startswith("flow_")] + SSH_SMB
-    evidence = reassembled(with_flow_key(packets).where("flow_proto is not null"))
+    evidence = reassembled(with_flow_key(packets).where("flow_proto is not null"), width)
     df = running(with_address_counts(with_times(packets), width), width, evidence)
     texts = {"flow_protocol_hint": "unknown", "flow_risk_level": "low", "flow_risk_reason": "flow_normal"}
     kinds = dict(df.dtypes)

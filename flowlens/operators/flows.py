@@ -9,12 +9,12 @@ that to what their own segment had so far.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.payload import http_head, server_name, smb_version, ssh_banner
 from flowlens.operators.flowkey import KEY, with_flow_key
+from flowlens.operators.reassembly import reassembled
 from flowlens.operators.rules import with_flow_risk
 from flowlens.schema import FLOW_COLS, HTTP_BUFFER, HTTP_PORTS, LOW_TTL, SMB_PORT, SSH_PORT, TLS_PORT, USUAL_DSCP
 
@@ -22,10 +22,6 @@ from flowlens.schema import FLOW_COLS, HTTP_BUFFER, HTTP_PORTS, LOW_TTL, SMB_POR
 SEGMENT = 1 << 18
 
 
-def _either(*ports: int) -> Column:
-    return F.col("sport").isin(*ports) | F.col("dport").isin(*ports)
-
-
 def with_proofs(packets: DataFrame) -> DataFrame:
     """Flow key, direction and payload evidence of each packet; few payloads are looked at closely."""
     data = F.col("payload")
@@ -147,38 +143,8 @@ def _measures(prefix: str = "", placed: bool = True) -> list[str]:
     return [f"{v} as {k}" for k, v in out.items()]
 
 
-def reassembled(facts: DataFrame) -> DataFrame:
-    """key, http_done, http_method, http_host, http_path, tls_done, tls_sni: flows whose payload was understood.
-
-    Payloads are folded in order of arrival, flow after flow of a sorted partition;
-    what is held of a flow is the last 4096 bytes of HTTP and one ClientHello.
-    done is the frame that completed the evidence.
-    """
-    wanted = (F.col("l4_proto") == 6) & (F.length("payload") > 0) & (_either(*HTTP_PORTS) | (F.col("dport") == TLS_PORT))
-    rows = facts.where(wanted).select(*KEY, "frame_no", "sport", "dport", "payload")
-    rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, "frame_no")
-    schema = "flow_src_ip string, flow_dst_ip string, flow_proto int, flow_src_port int, flow_dst_port int, "
-    schema += "http_done long, http_method string, http_host string, http_path string, tls_done long, tls_sni string"
-
-    def fold(batches):
-        key, state = None, None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False, name=None):
-                if row[:5] != key:
-                    if key is not None:
-                        out.append((*key, *state.result()))
-                    key, state = row[:5], _Evidence()
-                state.add(*row[5:])
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
-        if key is not None:
-            yield pd.DataFrame([(*key, *state.result())], columns=[f.split()[0] for f in schema.split(", ")])
-
-    return rows.mapInPandas(fold, schema)
-
-
 class _Evidence:
-    """Reassembly of one flow."""
+    """Reassembly of one flow, packet by packet, as streams need it; reassembled() says the same of a table."""
 
     def __init__(self):
         self.http, self.http_done, self.found = b"", None, (None, None, None)
@@ -201,6 +167,15 @@ class _Evidence:
         return (self.http_done, *(self.found if self.http_done else (None,) * 3), self.tls_done, self.sni)
 
 
+def _with_found(state: DataFrame, evidence: DataFrame) -> DataFrame:
+    """state with what reassembled() found of each flow.
+
+    Keys meet as one value that is never NULL, so that no checks of their parts go down into the plan of the packets.
+    """
+    key = F.struct(*KEY)
+    return state.withColumn("_key", key).join(evidence.withColumn("_key", key).drop(*KEY), "_key", "left").drop("_key")
+
+
 def with_evidence(state: DataFrame, frame: str) -> DataFrame:
     """HTTP, TLS, SSH and SMB columns of flow state as of frame number `frame`."""
     c = F.col
@@ -245,7 +220,7 @@ def flows(packets: DataFrame, width: int = SEGMENT) -> DataFrame:
     sums = _segment_sums(_in_segments(keyed, width))
     whole = sums.groupBy("_flow").agg(*[F.expr(f"{_AGGREGATE[kind]}({name}) as {name}") for name, kind in KINDS.items()])
     state = whole.selectExpr(*[f"_flow.{k} as {k}" for k in KEY], *_measures())
-    state = with_evidence(state.join(reassembled(keyed), KEY, "left"), "last_frame_no")
+    state = with_evidence(_with_found(state, reassembled(keyed, width)), "last_frame_no")
     return with_flow_risk(_named(state)).select(*FLOW_COLS, "first_frame_no")
 
 
@@ -257,13 +232,13 @@ def running(packets: DataFrame, width: int = SEGMENT, evidence: DataFrame | None
     """
     keyed = with_proofs(packets).withColumn("_lone", F.when(F.col("flow_proto").isNull(), F.col("frame_no")))
     if evidence is None:
-        evidence = reassembled(keyed.where("flow_proto is not null"))
+        evidence = reassembled(keyed.where("flow_proto is not null"), width)
     cut, columns = _in_segments(keyed, width), keyed.columns
     before = "over (partition by _flow order by _segment rows between unbounded preceding and 1 preceding)"  # a row per segment
     carried = ", ".join(f"{_AGGREGATE[kind]}({n}) {before} as {n}" for n, kind in KINDS.items())
     carry = _segment_sums(cut).selectExpr("_flow", "_segment", f"struct({carried}) as _before", *[f"_flow.{k} as {k}" for k in KEY])
     found = [c for c in evidence.columns if c not in KEY]
-    carry = carry.join(evidence, KEY, "left").select("_flow", "_segment", "_before", *found)
+    carry = _with_found(carry, evidence).select("_flow", "_segment", "_before", *found)
     here = "over (partition by _flow, _segment order by frame_no rows between unbounded preceding and current row)"
     own = cut.selectExpr("*", *[f"{_gathered(n)} {here} as _own_{n}" for n in KINDS])
     gap = "_own_start.value - _before.end.value"  # from the segment before to this one

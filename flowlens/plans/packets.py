@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.functions.header import bound
+
 #: Header columns in SQL that Spark and DuckDB share; {us} is ts in microseconds, {S} the string type.
 PACKET_SQL = """
 select frame_no, user_id, k, h, rev, udp, sp,
@@ -52,16 +54,17 @@ def payload():
     text = lambda c: F.encode(c, "ISO-8859-1")
     user, k = F.col("user_id").cast("string"), F.col("k").cast("string")
     request = F.concat(F.lit("GET /p"), k, F.lit(" HTTP/1.1\r\nUser-Agent: x\r\nHost: h"), user, F.lit(".example\r\n\r\n"))
-    kind = F.col("evidence")
-    return (
-        F.when(kind == "http", text(request))
+    # Bound, as the text of evidence would stand in every branch.
+    return bound(
+        F.col("evidence"),
+        lambda kind: F.when(kind == "http", text(request))
         .when(kind == "reply", F.lit(b"HTTP/1.1 200 OK\r\n\r\n"))
         .when(kind == "ssh", text(F.concat(F.lit("SSH-2.0-srv_"), k, F.lit("\r\n"))))
         .when(kind == "smb2", F.lit(b"\x00\x00\x00\x2a\xfeSMB"))
         .when(kind == "smb1", F.lit(b"\xffSMB"))
         .when(kind == "tls", client_hello(F.concat(F.lit("s"), user, F.lit(".example"))))
         .when(kind == "tls0", F.lit(NAMELESS_HELLO))
-        .otherwise(F.lit(b""))
+        .otherwise(F.lit(b"")),
     )
 
 
