@@ -1,10 +1,19 @@
 """Plans and tasks that must not grow with the table, or with each use of a value."""
 
 import ipaddress
+import random
 
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from flowlens.functions import header
+from flowlens.operators.features import with_times
+from flowlens.operators.flows import flows
+from flowlens.plans import training
+from flowlens.plans.packets import packets
+from flowlens.sources import log
+from flowlens.sources.shared import shared_path
+from oracle import expected, rows
 
 
 def test_ipv4_number_is_read_once(spark):
@@ -25,3 +34,51 @@ def test_ipv4_number_is_read_once(spark):
 
     assert {r.ip: r.p for r in df.collect()} == {i: public(i) for i in ips} | {None: False}
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_generated_methods_are_compiled(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(limit)
+    packets(spark, SMALL)
+    assert int(spark.conf.get(limit)) == 8000
+    spark.conf.set(limit, 500)
+    packets(spark, SMALL)
+    assert int(spark.conf.get(limit)) == 500
+    spark.conf.unset(limit)
+
+
+def test_checksum_takes_three_words_at_a_time(spark):
+    rng = random.Random(5)
+    data = [b"", b"\x00", bytes(40), b"\xff" * 12, b"\xff" * 13, *[rng.randbytes(n) for n in (*range(1, 30), 1500, 65535)], b"\xff" * 400_001]
+
+    def sum_of(b):
+        b += bytes(len(b) % 2)
+        total = sum(int.from_bytes(b[i : i + 2], "big") for i in range(0, len(b), 2))
+        while total >> 16:
+            total = (total & 0xFFFF) + (total >> 16)
+        return 65535 - total
+
+    df = spark.createDataFrame(list(enumerate(data)), "i int, b binary").select("i", header.ones_complement(F.col("b")).alias("c"))
+    assert {r.i: r.c for r in df.collect()} == {i: sum_of(b) for i, b in enumerate(data)}
+    assert ", 12)" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_log_by_small_pieces(spark, tmp_path, monkeypatch):
+    p = packets(spark, SMALL).limit(60)
+    log.write_log(with_times(p), flows(p), str(tmp_path), None)
+    shown = lambda df: sorted(map(repr, df.collect()))
+    whole, lines = shown(log.read_packets(spark, str(tmp_path))), shown(log.log_lines(spark, str(tmp_path)))
+    monkeypatch.setattr(log, "PIECE_BITS", 2)  # less than a record's lines
+    monkeypatch.setattr(log, "PIECES", 8)
+    assert shown(log.read_packets(spark, str(tmp_path))) == whole and len(whole) == 60
+    assert shown(log.log_lines(spark, str(tmp_path))) == lines
+    assert log._lines(spark, str(tmp_path))[0].rdd.getNumPartitions() > 8
+
+
+def test_stream_files_are_written_by_many_tasks(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(training, "packets", lambda s, d: packets(s, d).repartition(3))
+    monkeypatch.setattr(training, "shared_path", lambda s, n: paths.append(shared_path(s, n)) or paths[-1])
+    df = training.stream_features(spark, SMALL)
+    assert spark.read.parquet(f"{paths[0]}/in").select("_metadata.file_path").distinct().count() == 12
+    assert rows(df.collect()) == expected(training.ORACLE_SQL["stream_features"], SMALL, df.columns)
