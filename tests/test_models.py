@@ -55,6 +55,24 @@ def test_nearest_leaves_cells_out(spark, monkeypatch):
     print(sum(compared.values()) / len(train) / len(queries))
 
 
+def test_nearest_leaves_rows_of_a_cell_out(spark, monkeypatch):
+    """One cell holds all; before, its queries were compared with every row of it."""
+    monkeypatch.setattr(models, "CELLS", 1)
+    monkeypatch.setattr(models, "COLUMNS", 32)
+    r = random.Random(3)
+    at = lambda: [r.uniform(0, 100), float(r.randint(0, 3)), float(r.randint(0, 1))]
+    train, queries = [(i, at(), "x") for i in range(1500)], [(10_000 + i, at()) for i in range(100)]
+    got = models.nearest(spark.createDataFrame(train, "id long, vector array<double>, label string"), spark.createDataFrame(queries, "id long, vector array<double>"), 5).collect()
+    found, compared = {}, {}
+    for x in sorted(got, key=lambda x: x.n):
+        found.setdefault(x.id, []).append((x.neighbour, x.d))
+        compared[x.id] = x.compared
+    for i, q in queries:
+        want = sorted((math.dist(q, v), j) for j, v, _ in train)[:5]
+        assert [j for j, _ in found[i]] == [j for _, j in want] and all(math.isclose(d, w) for (_, d), (w, _) in zip(found[i], want, strict=True))
+    assert sum(compared.values()) < 0.3 * len(train) * len(queries)
+
+
 def _labelled(spark, n=400):
     r = random.Random(4)
     at = {"attack": (0.0, 0.0), "benign": (3.0, 0.0), "tampered": (0.0, 3.0)}
