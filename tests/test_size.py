@@ -65,3 +65,9 @@ def test_stream_files_are_written_by_many_tasks(spark, monkeypatch):
     df = training.stream_features(spark, SMALL)
     assert spark.read.parquet(f"{paths[0]}/in").select("_metadata.file_path").distinct().count() == 12
     assert rows(df.collect()) == expected(training.ORACLE_SQL["stream_features"], SMALL, df.columns)
+
+
+def test_scored_rows_are_computed_once(spark):
+    df = training.QUERIES["ml_score"](spark, SMALL)
+    assert not [f for f in df.inputFiles() if "events.parquet" in f]
+    assert df.select("frame_no").distinct().count() == spark.read.parquet(f"{SMALL}/events.parquet").count() == df.count()
