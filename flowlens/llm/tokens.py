@@ -24,11 +24,13 @@ from pyspark.sql.window import Window
 
 from flowlens.llm.common import partitions, shared_path, written
 
-#: Remembered pieces of each kind; beyond that, the memory starts anew.
-REMEMBERED = 350_000
+#: Remembered pieces of each kind; beyond that, they are the older ones, and what is older still is forgotten.
+REMEMBERED = 250_000
 _ODD = re.compile(r"[^\S \n]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?"
+#: Marks that may also stand in runs behind a word; an apostrophe may begin a token with letters.
+_RUNS = _MARKS + '"#$%&()*+-/<=>@[\\]^_`{|}~'
 _encoders: dict[str, Encoder] = {}
 
 
@@ -52,9 +54,10 @@ def _in_pieces(file: dict) -> bool:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, by a byte-level tokenizers file.
 
-    Of a new piece, a word, the mark behind it and line feeds are tokens apart
-    in any such vocabulary, so the words go to the file's model one by one, once
-    each; whatever is not letters goes through the whole tokenizer.  Files of
+    Of a new piece, a word, the run of marks behind it and line feeds are tokens
+    apart in any such vocabulary, so the words go to the file's model one by one,
+    once each; whatever is not letters goes through the whole tokenizer, and so
+    does what holds marks that the file's added tokens have.  Files of
     another kind (not byte-level, or with a normaliser, or with tokens that
     take in blanks) encode text by text.
     """
@@ -65,11 +68,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.in_pieces = _in_pieces(json.loads(self.tokenizer.to_str()))
+        file = json.loads(self.tokenizer.to_str())
+        self.in_pieces = _in_pieces(file)
+        added = {c for t in file["added_tokens"] for c in t["content"]}
+        self.tails = "".join(c for c in _RUNS if c not in added)
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}  # pieces at the start of a text or line
         self.inner: dict[str, bytes] = {}  # pieces behind a blank, without it
-        self.marks = {m: ids for m, ids in zip((*_MARKS, "\n"), self._whole([*_MARKS, "\n"]), strict=True)}
+        self.older: dict[bool, dict[str, bytes]] = {False: {}, True: {}}  # of both, by whether behind a blank
+        self.marks = {"": b"", "\n": self._whole(["\n"])[0]}  # runs of marks
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -80,37 +87,48 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str, blank: bool) -> bytes | None:
-        """Ids of letters, behind a blank or not; None for anything else."""
-        if not word.isalpha():
-            return None
+    def _word(self, word: str, blank: bool) -> bytes:
+        """Ids of letters, behind a blank or not."""
         known = self.inner if blank else self.known
         ids = known.get(word)
         if ids is None:
-            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            found = self.model.tokenize(self.letters[32] + spelt if blank else spelt)
-            ids = known[word] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            ids = self.older[blank].get(word)
+            if ids is None:
+                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                found = self.model.tokenize(self.letters[32] + spelt if blank else spelt)
+                ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            known[word] = ids
+        return ids
+
+    def _run(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self._whole([marks])[0]
+            if len(marks) <= 8 and len(self.marks) < REMEMBERED:
+                self.marks[marks] = ids
         return ids
 
     def _piece(self, piece: str, blank: bool) -> bytes | None:
+        """Ids of lines of a word each with a run of marks behind it; None for anything else."""
         out = []
         for line in piece.split("\n"):
-            if line[-1:] in self.marks and line:
-                word, mark = self._word(line[:-1], blank), self.marks[line[-1]]
-            else:
-                word, mark = self._word(line, blank), b""
-            if word is None:
+            word = line.rstrip(self.tails)
+            if not word.isalpha():
                 return None
-            out.append(word + mark)
+            out.append(self._word(word, blank) + self._run(line[len(word) :]))
             blank = False
         return self.marks["\n"].join(out)
 
     def _ids(self, piece: str, blank: bool) -> bytes:
         """Ids of a piece.  Those of more than a line hardly come again and are not remembered."""
+        if piece.isalpha():
+            return self._word(piece, blank)
         known = self.inner if blank else self.known
         ids = known.get(piece)
         if ids is None:
-            ids = self._piece(piece, blank)
+            ids = self.older[blank].get(piece)
+            if ids is None:
+                ids = self._piece(piece, blank)
             if ids is None:
                 ids = self._whole([" " + piece if blank else piece])[0]
             if "\n" not in piece:
@@ -120,9 +138,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.in_pieces:
             return self._whole(texts)
-        for known in (self.known, self.inner):
-            if len(known) > REMEMBERED:
-                known.clear()
+        if len(self.known) > REMEMBERED:
+            self.older[False], self.known = self.known, {}
+        if len(self.inner) > REMEMBERED:
+            self.older[True], self.inner = self.inner, {}
         out, inner = [], self.inner
         for text in texts:
             odd = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text)
