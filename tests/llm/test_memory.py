@@ -1,16 +1,34 @@
-"""What tasks hold and do again: remembered pieces of the encoder."""
+"""What tasks hold and do again: counts of toxicity, remembered pieces of the encoder."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from flowlens.llm import tokens
+from flowlens.llm import tokens, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def test_counts_of_letters_are_small():
+    """Many different words: the columns are narrow, and one at a time is put in order."""
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, row)) for row in rng.integers(97, 123, (200_000, 8))]
+    texts = [" ".join(words[a : a + 2_000]) for a in range(0, len(words), 2_000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "toxic": [k % 2 for k in range(len(texts))]})
+    list(toxicity._count([batch.slice(0, 1)]))
+    tracemalloc.start()
+    counted = pa.Table.from_batches(list(toxicity._count([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = {c: sum(counted.column(c).to_pylist()) for c in ("n0", "n1")}
+    assert sum(n.values()) == 8 * len(words) and n["n0"] == n["n1"]
+    assert counted.num_rows > 800_000 and most < 180e6
+
+
 class _Counted:
     """A file's model that tells what it was asked."""
 
