@@ -146,3 +146,12 @@ def test_svm_fits_run_together_and_margins_are_written_once(spark, monkeypatch):
     assert 1 < most[0] <= models.FITS
     assert tables == [["_v0", "_y0", "_v1", "_y1"]]
     assert models.predicted(model, train).where("prediction_label = label").count() > 200
+
+
+def test_forest_rows_keep_their_nodes(spark):
+    train = spark.range(400).selectExpr("if(id % 7 < 3, 'a', 'b') as label", "cast(id % 7 as double) as u", "cast(id % 11 as double) as v").coalesce(1)
+    dealt = models._dealt(train)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == models.FOREST_TASKS * spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= 1
+    forest, walked = (models.fit("rf", train, ["u", "v"], numTrees=3, maxDepth=5, **more).stages[-1] for more in ({}, {"cacheNodeIds": False}))
+    assert forest.getCacheNodeIds() and forest.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
