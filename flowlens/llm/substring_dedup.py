@@ -14,7 +14,7 @@ shard; consecutive windows mostly share theirs, so texts fall into short segment
      reaches 13 words, the least document of the matching suffixes is looked up.
   5  Repeats are merged and taken out of the texts.
 
-Rows are packed, many records to a row, so shuffles stay near the size of the records.
+Rows are packed, many records to a row, and texts and the words of segments compressed, so shuffles stay below the size of the records.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import partitions, written
 from flowlens.llm.fm_index import FMIndex, range_minimum
-from flowlens.llm.packed import PACKED, heads, packed, spread, split_by, unpacked
+from flowlens.llm.packed import DEALT, PACKED, dealt_rows, heads, packed, spread, split_by, squeezed, undealt, unpacked, unsqueezed
 from flowlens.llm.words import Words, _powers_to, blocks, grams, mix
 
 ANCHOR_WORDS = 5
@@ -34,6 +34,12 @@ ANCHOR_WORDS = 5
 BUCKET_BYTES, SHARD_WORDS = 24_000_000, 1_500_000
 #: Records that a task holds at most before it sums and sends them.
 HELD = 1_000_000
+_TEXTS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("text", pa.large_string())])
+
+
+def _by_bucket(docs: DataFrame, buckets: int):
+    """uid, doc_id and text of docs, by bucket of uid, for undealt()."""
+    return docs.mapInArrow(lambda batches: dealt_rows(batches, "uid", buckets, _TEXTS), DEALT).groupBy("bucket")
 
 
 def _segments(words: Words, size: int):
@@ -134,6 +140,7 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
     shards = max(partitions(spark), -(-(candidates.agg(F.sum("words")).first()[0] or 0) // SHARD_WORDS))
 
     def deal(key, texts: pa.Table, found: pa.Table) -> pa.Table:
+        texts = undealt(texts, _TEXTS)
         anchor, uid, start, windows = unpacked(found, np.uint64, np.int64, np.int32, np.uint8)
         out = []
         if len(uid):
@@ -167,18 +174,18 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
                 inner = spread(c)
                 vocabulary, code = np.unique(hashes[np.repeat(at[i], c) + inner], return_inverse=True)
                 code = code.astype(np.uint16 if len(vocabulary) < 65536 else np.uint32)
-                parts.append((k, [uid[i], doc[i], start[i].astype(np.int32), windows[i].astype(np.uint8), content[i], vocabulary, code]))
+                parts.append((k, squeezed([uid[i], doc[i], start[i].astype(np.int32), windows[i].astype(np.uint8), content[i], vocabulary, code])))
             out.append(packed(0, parts))
         return pa.Table.from_batches(out or [packed(0, [])])
 
-    texts = docs.withColumn("bucket", F.pmod("uid", F.lit(n))).groupBy("bucket")
-    dealt = texts.cogroup(candidates.groupBy("bucket")).applyInArrow(deal, PACKED)
+    dealt = _by_bucket(docs, n).cogroup(candidates.groupBy("bucket")).applyInArrow(deal, PACKED)
     dealt = written(dealt, "dealt")
 
     def match(table: pa.Table) -> pa.Table:
         """The shard's index, and the matching statistics of its segments."""
         uid, doc, start, windows, content, word, code = [], [], [], [], [], [], []
         for r in table.column("data").to_pylist():
+            r = [*map(unsqueezed, r)]
             v = np.frombuffer(r[5], np.uint64)
             word.append(v[np.frombuffer(r[6], np.uint16 if len(v) < 65536 else np.uint32)])
             for into, raw, t in zip((uid, doc, start, windows, content), r, (np.int64, np.int64, np.int32, np.uint8, np.uint64), strict=False):
@@ -258,6 +265,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13) -> DataFrame:
     spans, n = repeated_spans(rows.where("doc_id is not null"), size)
 
     def take_out(key, texts: pa.Table, found: pa.Table) -> pa.Table:
+        texts = undealt(texts, _TEXTS)
         uid, start, stop = unpacked(found, np.int64, np.int32, np.int32)
         order = np.argsort(uid, kind="stable")
         uid, start, stop = uid[order], start[order].astype(np.int64), stop[order].astype(np.int64)
@@ -279,5 +287,4 @@ def dedup_substrings(docs: DataFrame, size: int = 13) -> DataFrame:
         empty = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), ("removed", pa.int64()), ("kept", pa.string())])
         return pa.Table.from_batches(out, None if out else empty)
 
-    texts = rows.withColumn("bucket", F.pmod("uid", F.lit(n))).groupBy("bucket")
-    return texts.cogroup(spans.groupBy("bucket")).applyInArrow(take_out, "doc_id long, words long, removed long, kept string")
+    return _by_bucket(rows, n).cogroup(spans.groupBy("bucket")).applyInArrow(take_out, "doc_id long, words long, removed long, kept string")
