@@ -1,6 +1,7 @@
 """Training files in chunks, logs read back, saved models with their facts."""
 
 import random
+import re
 
 import pytest
 from flowlens.ml import models
@@ -90,3 +91,14 @@ def test_saved_model(spark, tmp_path):
     assert same(again) == same(model)
     text = spark.read.text(f"{path}/report", wholetext=True).first().value
     assert text.startswith("Confusion Matrix:\nlabel\tattack\tbenign\ttampered\nattack\t") and "\n\nClassification Report:\nname\tprecision" in text and "macro avg" in text
+
+
+def test_log_lines_are_rendered_once(spark, tmp_path, monkeypatch):
+    p, path, given, render = packets(spark, SMALL).where("frame_no <= 60"), str(tmp_path / "log"), [], log.frame_lines
+    monkeypatch.setattr(log, "frame_lines", lambda df, preview: (given.append(df), render(df, preview))[1])
+    monkeypatch.setattr(log, "flow_lines", lambda df: df)
+    log.write_log(p, spark.range(1).selectExpr("id as first_frame_no", "'a flow' as line"), path)
+    # What finds the bounds of ranges reads the packets, not their lines.
+    assert "RepartitionByExpression [frame_no" in given[0]._jdf.queryExecution().optimizedPlan().toString()
+    numbers = [int(n) for f in sorted((tmp_path / "log" / "packets").glob("part-*")) for n in re.findall("=== Frame ([0-9]+) ===", f.read_text())]
+    assert numbers == list(range(1, 61))
