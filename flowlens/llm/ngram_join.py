@@ -2,7 +2,7 @@
 
 Equal sets are one set from the start.  Shingles are ordered rare first, by
 counts of all shingles in hashed cells, then by hash: any one order for all
-sets gives right results, a rare-first one few candidates.  Two sets of similarity 3/4
+sets gives right results, a rare-first one few candidates, as long as the cells grow with the texts.  Two sets of similarity 3/4
 share a shingle among the first n/4 + 1 of the longer and n/7 + 1 of the shorter;
 sets meet by these, and length, position and suffix bounds (by the sizes of the sets' parts) drop
 pairs that cannot reach it before any text is read.
@@ -21,20 +21,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import partitions, with_hot_key, written
 from flowlens.llm.components import components
-from flowlens.llm.packed import PACKED, heads, packed, spread, split_by, unpacked
+from flowlens.llm.packed import PACKED, heads, packed, spread, split_by, squeezed, unpacked, unsqueezed
 from flowlens.llm.set_blocks import compared, required
 from flowlens.llm.words import LOWER, Words, blocks, grams, mix
 
 #: Similarity is at least NUM / DEN.
 NUM, DEN = 3, 4
-#: Cells that shingles are counted in, and their parts.
-CELLS, CELL_PARTS = 1 << 20, 16
+#: Bytes of text for each cell that shingles are counted in; bits of the fewest and of the most cells' number, and of a part of them.
+LETTERS, FEWEST_BITS, MOST_BITS, PART_BITS = 400, 20, 26, 18
+CELLS = 1 << FEWEST_BITS
+#: Shingles that a task holds at most before it counts them.
+COUNTED = 8_000_000
 #: Shingles of a bucket, about.
 BUCKET = 3_000_000
 #: Sets sharing a shingle: up to so many, all pairs are verified at once.
@@ -70,7 +72,7 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _sets(words: Words, n: int, rank: np.ndarray | None):
     """Distinct shingles by document: (hashes, sizes), rare first or, without rank, by hash."""
     h, doc = shingles(words, n)
-    order = np.lexsort((h, doc)) if rank is None else np.lexsort((h, rank[h & np.uint64(CELLS - 1)], doc))
+    order = np.lexsort((h, doc)) if rank is None else np.lexsort((h, rank[h & np.uint64(len(rank) - 1)], doc))
     h, doc = h[order], doc[order]
     keep = heads(h) | heads(doc)
     h, doc = h[keep], doc[keep]
@@ -85,39 +87,65 @@ def _set_ids(h: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     return np.where(size > 0, ids, np.uint64(0)).view(np.int64)
 
 
-def _cell_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """Counts of all shingles of all texts by cell; CELLS numbers, whatever the corpus."""
+def _cells(docs: DataFrame) -> int:
+    """How many cells shingles are counted in: a power of two that grows with the texts, so that a cell holds few, whatever the corpus."""
+    letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 << min(max(FEWEST_BITS, (letters // LETTERS).bit_length()), MOST_BITS)
+
+
+def _cell_counts(docs: DataFrame, n: int, cells: int) -> tuple[np.ndarray, int]:
+    """Codes (a byte, rising with the count) of the shingles of all texts by cell, and the number of all shingles."""
 
     def count(batches):
-        cells = np.zeros(CELLS, np.int64)
+        held, size = [], 0
+
+        def send():
+            at = np.concatenate(held)
+            held.clear()
+            rows = []
+            for part, (mine,) in split_by(at >> PART_BITS, at):
+                counts = np.bincount(mine & ((1 << PART_BITS) - 1), minlength=1 << PART_BITS).astype("<u4")
+                # By bytes of the same worth: high ones are nearly all 0.
+                rows.append((part, squeezed([counts.view(np.uint8).reshape(-1, 4).T])))
+            return packed(0, rows)
+
         for batch in batches:
             for _, words in blocks(batch.column("text"), LOWER):
                 h, _ = shingles(words, n)
-                cells += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        yield _parts(cells)
+                held.append((h & np.uint64(cells - 1)).astype(np.int32))
+                size += len(h)
+                if size > COUNTED:
+                    yield send()
+                    size = 0
+        if held:
+            yield send()
 
-    def _parts(cells):
-        salt = TaskContext.get().partitionId()
-        rows = np.split(cells, CELL_PARTS)
-        return pa.RecordBatch.from_pydict({"part": list(range(CELL_PARTS)), "salt": [salt] * CELL_PARTS, "data": [r.tobytes() for r in rows]})
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << PART_BITS, np.int64)
+        for (data,) in table.column("data").to_pylist():
+            total += np.ascontiguousarray(np.frombuffer(unsqueezed(data), np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+        return pa.table({"part": table.column("bucket")[:1], "n": [int(total.sum())], "data": pa.array([_coded(total).tobytes()], pa.binary())})
 
-    def add(batches):
-        cells: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                row = np.frombuffer(data, np.int64)
-                cells[part] = cells[part] + row if part in cells else row
-        if cells:
-            salt = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_pydict({"part": list(cells), "salt": [salt] * len(cells), "data": [c.tobytes() for c in cells.values()]})
-
-    schema = "part long, salt long, data binary"
-    some = docs.select("text").mapInArrow(count, schema).repartition(partitions(docs.sparkSession), "salt").mapInArrow(add, schema)
-    rows = some.repartition(CELL_PARTS, "part").mapInArrow(add, schema).collect()
-    out = np.zeros((CELL_PARTS, CELLS // CELL_PARTS), np.int64)
+    some = docs.select("text").mapInArrow(count, PACKED)
+    rows = written(some.groupBy("bucket").applyInArrow(add, "part long, n long, data binary"), "counts").collect()  # a byte a cell
+    out = np.zeros((-(-cells >> PART_BITS), 1 << PART_BITS), np.uint8)
     for r in rows:
-        out[r["part"]] += np.frombuffer(r["data"], np.int64)
-    return out.reshape(-1)
+        out[r["part"]] = np.frombuffer(r["data"], np.uint8)
+    return out.reshape(-1)[:cells], sum(r["n"] for r in rows)
+
+
+def _coded(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes, eight to an octave."""
+    return np.minimum(np.log2(counts + 1.0) * 8, 255).astype(np.uint8)
+
+
+_DECODED = (2 ** (np.arange(256) / 8)).astype(np.int64) - 1
+
+
+def _times(rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How often shingles of the same cells come; rank has counts or, as bytes, their codes."""
+    at = rank[h & np.uint64(len(rank) - 1)]
+    return _DECODED[at] if rank.dtype == np.uint8 else at
 
 
 def _may_match(n1, p1, n2, p2):
@@ -166,7 +194,7 @@ def _set_table(rows: DataFrame, n: int, seed: int) -> DataFrame:
 
 def _buckets(h: np.ndarray, e: np.ndarray, rank: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of each record: by shingle, those of hot cells by set as well."""
-    salt = mix(e.view(np.uint64)) % (rank[h & np.uint64(CELLS - 1)] // HOT + 1).astype(np.uint64)
+    salt = mix(e.view(np.uint64)) % (_times(rank, h) // HOT + 1).astype(np.uint64)
     return (mix(h + salt) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -220,7 +248,7 @@ def _first_pairs(table: pa.Table, rank: np.ndarray, pair_buckets: int, few: int
     h, e, size, place = h[keep], e[keep], size[keep], place[keep]
     start = np.flatnonzero(heads(h))
     count = np.diff(np.append(start, len(h)))
-    hot = rank[h[start] & np.uint64(CELLS - 1)] >= HOT  # others of the shingle are in other buckets
+    hot = _times(rank, h[start]) >= HOT  # others of the shingle are in other buckets
     some = (count > 1) | hot
     many = np.repeat(some, count)
     h, e, size, place = h[many], e[many], size[many], place[many]
@@ -378,9 +406,9 @@ def join_sets(docs: DataFrame, n: int = 5) -> Joined:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    counts = _cell_counts(rows, n)
-    buckets = int(max(partitions(spark), -(-counts.sum() // BUCKET)))
-    rank = spark.sparkContext.broadcast(counts.astype(np.int64))  # CELLS numbers
+    counts, n_shingles = _cell_counts(rows, n, _cells(rows))
+    buckets = max(partitions(spark), -(-n_shingles // BUCKET))
+    rank = spark.sparkContext.broadcast(counts)  # a byte a cell
     for seed in itertools.count(step=2):
         of = written(_set_table(rows, n, seed), "sets")
         one = F.min(F.struct("doc_id", "text_hash")).alias("one")
@@ -435,8 +463,8 @@ def _pairwise(placed: DataFrame, first: DataFrame, classes: DataFrame, members:
     return _verified(written(second, "second"), members, n)
 
 
-def similar_groups(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, links for every row of docs.
+def similar_groups(docs: DataFrame, n: int = 5, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, links for every row of docs; without count_links, no links.
 
     Texts are lower-cased (A-Z); a document's set holds its distinct shingles of n
     words, or its whole word sequence if that is shorter.  Two documents are
@@ -450,16 +478,16 @@ def similar_groups(docs: DataFrame, n: int = 5) -> DataFrame:
     An empty table gives an empty table.
     """
     joined = join_sets(docs, n)
-    between = joined.alike("links").groupBy(F.col("x").alias("set_id")).agg(F.sum("y").alias("others"))
     sets = joined.classes.join(joined.groups.withColumnRenamed("node", "set_id"), "set_id", "left").where("copies > 1 or component is not null")
     sets = written(sets.select("set_id", "copies", "least", F.coalesce("component", "set_id").alias("component")), "linked")
     least = sets.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = with_hot_key(sets.drop("least"), least, "component").join(between, "set_id", "left")
-    named = named.select("set_id", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    out = with_hot_key(joined.of.select("doc_id", "text_hash", "set_id", "size"), named, "set_id", "left")
-    return out.select(
-        "doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")
-    )
+    named, links = with_hot_key(sets.drop("least"), least, "component"), []
+    if count_links:  # their count takes every pair of a group, the group itself few
+        between = joined.alike("links").groupBy(F.col("x").alias("set_id")).agg(F.sum("y").alias("others"))
+        named = named.join(between, "set_id", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+        links = [F.coalesce("links", F.lit(0)).alias("links")]
+    out = with_hot_key(joined.of.select("doc_id", "text_hash", "set_id", "size"), named.drop("component", "copies", "others"), "set_id", "left")
+    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *links)
 
 
 def similar_pairs(docs: DataFrame, n: int = 5) -> DataFrame:

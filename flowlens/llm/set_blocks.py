@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from flowlens.llm.packed import heads
 
 #: Elements of a unit's side at most, about; every set counts as SET_COST more.
 UNIT, SET_COST = 250_000, 250
+#: Elements that are sent to units at once, about; what more units need goes in further rounds.
+ROUND = 250_000_000
 #: Sizes of a band differ by less than this: more than the largest ratio of similar sets (4/3).
 BAND = 1.34
 #: Elements that are compared at once.
@@ -170,4 +173,11 @@ def compared(members: DataFrame, contents: DataFrame, kind: str) -> DataFrame:
     total = placed.agg(F.sum(F.col("n").cast("long") + SET_COST)).first()[0] or 0
     tasks = max(partitions(members.sparkSession), -(-total // (4 * UNIT)))
     dealt = placed.withColumn("unit", F.pmod(F.xxhash64(*_PLACE), F.lit(tasks)))
-    return dealt.join(contents, "e").groupBy("unit").applyInArrow(_compare(kind), "x long, y long")
+    find = lambda some: some.join(contents, "e").groupBy("unit").applyInArrow(_compare(kind), "x long, y long")
+    if (rounds := -(-total // ROUND)) <= 1:
+        return find(dealt)
+    # Contents go to as many units as their group has parts: a share of the units at a time, so that disks hold only its contents.
+    found = [find(dealt.where(F.pmod("unit", F.lit(rounds)) == k)) for k in range(rounds)]
+    if kind == "links":
+        found = [f.groupBy("x").agg(F.sum("y").alias("y")) for f in found]
+    return reduce(DataFrame.unionByName, [written(f, "found") for f in found])
