@@ -11,7 +11,7 @@ The upper levels of the kd-tree are cells of the projected space that Spark
 partitions by; their splits are fitted on a bounded sample, every row is indexed.
 The lower levels are built within a cell.  A query searches its own cell first;
 the kth distance found there bounds, by the same test, which other cells can
-hold a nearer vector, and only those are searched then.
+hold a nearer vector, and only those are searched then, in rounds of the nearest cells left.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ SAMPLE = 20_000
 CELL, LEAF = 4096, 32
 #: Queries of a cell that are searched together.
 QUERIES = 2048
+#: Further cells that a query looks at first, four times as many then; searches of a cell by a query that are dealt together, about; rows of a batch of them.
+NEAR, LOT, SENT = 8, 1_000_000, 50_000
 #: A vector nearer than the kth is missed by a test with this probability at most.
 MISS = 0.02
 
@@ -220,7 +222,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
 
     index = written(rows.mapInArrow(placed, "id long, vector array<double>, cell long"), "index")
     queries = index.where(is_query(F.col("id"))).groupBy(F.col("id").alias("q_id")).agg(F.min(F.struct("vector", "cell")).alias("q"))
-    queries = queries.select("q_id", F.col("q.vector").alias("q_vector"), "q.cell")
+    queries = written(queries.select("q_id", F.col("q.vector").alias("q_vector"), "q.cell"), "queries")
 
     # Of equal vectors, the smallest ids; summed per task first, as min_k is.
     kept = index.groupBy("cell", "vector", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
@@ -257,33 +259,48 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
         right = asked.select("cell", "part", "block", "q_id", "q_vector", "bound").groupBy("cell", "part", "block")
         return left.cogroup(right).applyInArrow(search, "q_id long, id long, d double")
 
-    top = Window.partitionBy("q_id").orderBy("d", "id")
-    home = run(queries.withColumn("bound", F.lit(float("inf"))))
-    home = written(home.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k).drop("n"), "home")
-    kth = home.groupBy("q_id").agg(F.max("d").alias("kth"), F.count("*").alias("n"))
-    bounded = queries.join(kth, "q_id", "left").select(
-        "q_id", "q_vector", "cell", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(float("inf"))).alias("bound")
-    )
+    by = Window.partitionBy("q_id").orderBy("d", "id")
+
+    def top(found: DataFrame) -> DataFrame:
+        return written(found.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k).drop("n"), "found")
+
     limit = chi_square_quantile(1 - miss, DIMENSIONS)
 
-    def others(batches):
-        """A row for every other cell that the test does not rule out."""
-        for batch in batches:
-            v = _matrix(batch.column("q_vector"), width) @ axes
-            home_cell, bound = batch.column("cell").to_numpy(), batch.column("bound").to_numpy()
-            rows_, cells_ = [], []
-            for i in range(len(v)):
-                near = np.flatnonzero(cells.value.distances(v[i]) <= limit * bound[i] ** 2)
-                near = near[near != home_cell[i]]
-                rows_.append(np.full(len(near), i))
-                cells_.append(near)
-            rows_ = np.concatenate(rows_) if rows_ else np.empty(0, np.int64)
-            if len(rows_):
-                taken = batch.take(pa.array(rows_))
-                cell = pa.array(np.concatenate(cells_), pa.int64())
-                yield pa.RecordBatch.from_arrays([taken.column("q_id"), taken.column("q_vector"), taken.column("bound"), cell], ["q_id", "q_vector", "bound", "cell"])
-
-    away = bounded.mapInArrow(others, "q_id long, q_vector array<double>, bound double, cell long")
-    found = home.unionByName(run(written(away, "away")))
-    ranked = found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    def others(least: int, most: int):
+        """A row for every other cell that the test does not rule out, of the cells from the least to the most but one in order of nearness."""
+        sent = max(1, SENT // (most - least))  # queries to a batch, whatever the number of cells
+
+        def choose(batches):
+            for batch in batches:
+                v = _matrix(batch.column("q_vector"), width) @ axes
+                home_cell, bound = batch.column("cell").to_numpy(), batch.column("bound").to_numpy()
+                for first in range(0, len(v), sent):
+                    rows_, cells_ = [], []
+                    for i in range(first, min(first + sent, len(v))):
+                        gaps = cells.value.distances(v[i])
+                        order = np.argsort(gaps, kind="stable")
+                        order = order[order != home_cell[i]][least:most]
+                        near = order[gaps[order] <= limit * bound[i] ** 2]
+                        rows_.append(np.full(len(near), i))
+                        cells_.append(near)
+                    taken = pa.array(np.concatenate(rows_))
+                    yield pa.RecordBatch.from_arrays([batch.column("q_id").take(taken), batch.column("bound").take(taken), pa.array(np.concatenate(cells_), pa.int64())], ["q_id", "bound", "cell"])
+
+        return choose
+
+    # The home cell's bound holds for all others.  They are asked in rounds, nearest first; vectors go to a lot of queries and cells at a time.
+    best, at, span = top(run(queries.withColumn("bound", F.lit(float("inf"))))), 0, NEAR
+    kth = best.groupBy("q_id").agg(F.max("d").alias("kth"), F.count("*").alias("n"))
+    bound = F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(float("inf"))).alias("bound")
+    bounded = queries.join(kth, "q_id", "left").select("q_id", "q_vector", "cell", bound)
+    while at < 2**depth - 1:
+        away = written(bounded.mapInArrow(others(at, at + span), "q_id long, bound double, cell long"), "away")
+        if not (asked := away.count()):
+            break  # farther cells are ruled out as well
+        lots = -(-asked // LOT)
+        for lot in range(lots):
+            some = away.where(F.pmod("cell", F.lit(lots)) == lot).join(queries.drop("cell"), "q_id")
+            best = top(best.unionByName(run(some)))
+        at, span = at + span, 4 * span
+    ranked = best.withColumn("rank", F.row_number().over(by))
     return ranked.select(F.col("q_id").alias("query_id"), F.col("rank").cast("int"), F.col("id").alias("vec_id"), F.col("d").alias("score"))
