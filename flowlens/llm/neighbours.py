@@ -35,7 +35,7 @@ CELL, LEAF = 4096, 32
 #: Queries of a cell that are searched together.
 QUERIES = 2048
 #: Further cells that a query looks at first, four times as many then; searches of a cell by a query that are dealt together, about; rows of a batch of them.
-NEAR, LOT, SENT = 8, 1_000_000, 50_000
+NEAR, LOT, SENT = 256, 1_000_000, 50_000
 #: A vector nearer than the kth is missed by a test with this probability at most.
 MISS = 0.02
 
